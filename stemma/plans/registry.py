@@ -23,7 +23,7 @@ class Inputs:
 
 Query = Callable[[Inputs], DataFrame]
 QUERIES: dict[str, Query] = {}
-COMPARISONS: dict[str, str] = {}
+COMPARISON_TEXTS: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -34,7 +34,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            COMPARISONS[name] = comparison(sql)
+            COMPARISON_TEXTS[name] = sql
         return fn
 
     return add
+
+
+def comparisons() -> dict[str, str]:
+    """Complete comparison SQL per query that has one."""
+    return {name: comparison(text) for name, text in COMPARISON_TEXTS.items()}
