@@ -143,7 +143,7 @@ select 'jobs/load_o'||o_orderkey||'.json' as source, 'jobs/load_o'||o_orderkey||
  case substring(o_orderpriority, 1, 1)
   when '1' then '{{"name": "load", "description": "Load order '||o_orderkey||'", "owner": "team '||o_orderstatus||'", "schedule": "0 2 * * *", "sources": ["Stage.C'||o_custkey||'", "orders", ""], "targets": ["mart.o'||o_orderkey||'"], "transformations": ["join", "sum"], "dependencies": ["etl:first", "second", {{"name": "third"}}]}}'
   when '2' then '{{"etl_jobs": [{{"name": "a", "sources": "public.x'||o_custkey||'", "targets": []}}, "noise", {{"name": "a", "sources": ["dup"]}}, {{"sources": ["b'||o_custkey||'"], "dependencies": [{{"etl": "up'||o_orderkey||'"}}]}}]}}'
-  when '3' then '[{{"name": "l'||o_orderkey||'", "targets": ["\\"Quoted\\""]}}, 5]'
+  when '3' then '[{{"name": "l'||o_orderkey||'", "targets": ["''Quoted''"]}}, 5]'
   when '4' then '{{"jobs": 3, "processes": [{{"name": "p", "owner": "", "dependencies": [""]}}]}}'
   else '{{"broken": ' end as text
 from {orders}
