@@ -15,6 +15,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,26 +145,34 @@ def _cells_udf(pivots: np.ndarray, known: np.ndarray, radius: np.ndarray, size:
     return cells
 
 
-def _block_hits(k: int, key, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    flat = pc.list_flatten(column).to_numpy().astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _block_hits(k: int, queries: pa.Table, vectors: pa.Table, schema: pa.Schema) -> pa.Table:
     """k best vectors of one block for each query of one block, ties by id."""
-    if queries.empty or vectors.empty:
-        return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-    vectors = vectors.sort_values("id", kind="stable")
-    ids, v = vectors["id"].to_numpy(), _matrix(vectors["embedding"])
-    names, q = queries["query_id"].to_numpy(), _matrix(queries["embedding"])
-    out_q, out_v, out_d = [], [], []
+    if not queries.num_rows or not vectors.num_rows:
+        return schema.empty_table()
+    vectors = vectors.take(pc.sort_indices(vectors["id"]))
+    q, v = _rows(queries["embedding"]), _rows(vectors["embedding"])
+    k = min(k, len(v))
+    at_query, at_vector, distance = [], [], []
     for start in range(0, len(q), 256):
         block = np.round(_squared(q[start : start + 256], v), DECIMALS)
-        limit = np.partition(block, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+        limit = np.partition(block, k - 1, axis=1)[:, k - 1]
         for i, row in enumerate(block):
             near = np.flatnonzero(row <= limit[i])
             near = near[np.argsort(row[near], kind="stable")][:k]
-            out_q.append(np.repeat(names[start + i], len(near)))
-            out_v.append(ids[near])
-            out_d.append(row[near])
-    return pd.DataFrame(
-        {"query_id": np.concatenate(out_q), "id": np.concatenate(out_v), "distance": np.concatenate(out_d)}
-    )
+            at_query.append(np.full(len(near), start + i))
+            at_vector.append(near)
+            distance.append(row[near])
+    columns = [
+        queries["query_id"].take(pa.array(np.concatenate(at_query))),
+        vectors["id"].take(pa.array(np.concatenate(at_vector))),
+        pa.array(np.concatenate(distance)),
+    ]
+    return pa.table(columns, names=schema.names)
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int = 5) -> DataFrame:
@@ -207,12 +217,11 @@ def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int = 5) -> Dat
     )
     where = ["cell", "block", "chunk"]
 
-    def hits(key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return _block_hits(top_k, key, q, v)
+    def hits(q: pa.Table, v: pa.Table) -> pa.Table:
+        names = [q.schema.field("query_id"), v.schema.field("id"), pa.field("distance", pa.float64())]
+        return _block_hits(top_k, q, v, pa.schema(names))
 
-    return _ranked(
-        left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(hits, schema), top_k
-    )
+    return _ranked(left.groupBy(*where).cogroup(right.groupBy(*where)).applyInArrow(hits, schema), top_k)
 
 
 def _ranked(found: DataFrame, top_k: int) -> DataFrame:

@@ -61,7 +61,7 @@ where o_orderdate >= date '1998-01-01' order by o_orderdate desc, c_name, o_orde
 """,
 )
 def customers_recent_orders(t: Inputs) -> DataFrame:
-    recent = t("orders").where(F.col("o_orderdate") >= F.lit(RECENT).cast("timestamp"))
+    recent = t("orders").where(F.col("o_orderdate") >= F.lit(RECENT).cast("date"))
     return (
         recent.join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "inner")
         .select("c_custkey", "c_name", "c_mktsegment", "o_orderkey", "o_orderdate", "o_totalprice")
@@ -229,7 +229,7 @@ def load_product_sales_fact(t: Inputs) -> DataFrame:
     stored = t("part").select(
         F.col("p_partkey").alias("product_id"), F.lit(0.0).alias("line_revenue"), F.lit(0.0).alias("units_sold")
     )
-    recent = t("lineitem").where(F.col("l_shipdate") >= F.lit(RECENT).cast("timestamp"))
+    recent = t("lineitem").where(F.col("l_shipdate") >= F.lit(RECENT).cast("date"))
     new = recent.groupBy(F.col("l_partkey").alias("product_id")).agg(
         _double(line_revenue()).alias("line_revenue"),
         _double(F.col("l_quantity").cast("decimal(12,2)")).alias("units_sold"),

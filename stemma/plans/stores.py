@@ -75,9 +75,17 @@ def update_document_metadata(t: Inputs) -> DataFrame:
     return _flat(ST.update_document_metadata(stored_documents(t), changes)).select("id", "metadata")
 
 
-@query("clear_documents", "select id, text, metadata from {x_stored} where false")
+@query("clear_documents", "select count(*) as documents_before, 0::bigint as documents_after from {x_stored}")
 def clear_documents(t: Inputs) -> DataFrame:
-    return ST.clear_documents(_flat(stored_documents(t)))
+    docs = stored_documents(t)
+    store = new_folder(t.spark, "store")
+    SN.save_snapshot(docs, store, "documents")
+    before = SN.load_snapshot(t.spark, store, "documents", docs.schema)
+    SN.save_snapshot(ST.clear_documents(before), store, "documents")
+    after = SN.load_snapshot(t.spark, store, "documents", docs.schema)
+    return before.agg(F.count("id").alias("documents_before")).withColumn(
+        "documents_after", after.agg(F.count("id")).scalar()
+    )
 
 
 @query(
