@@ -29,7 +29,7 @@ SQL_TEXT = (
 
 def sql_files(t: Inputs) -> DataFrame:
     path = F.concat(F.lit("reports\\q"), F.col("sql_id").cast("string"), F.lit(".sql"))
-    return t("sql_texts").select(path.alias("source"), "sql")
+    return t.spread("sql_texts", "sql_id").select(path.alias("source"), "sql")
 
 
 def sql_docs(t: Inputs) -> DataFrame:
@@ -82,7 +82,7 @@ JOB_TEXT = (
 
 
 def jobs(t: Inputs) -> DataFrame:
-    return parse_etl_configs(t("etl_texts").select("source", "path", "text"))
+    return parse_etl_configs(t.spread("etl_texts", "o_orderkey").select("source", "path", "text"))
 
 
 def _job_row(df: DataFrame) -> DataFrame:

@@ -290,7 +290,7 @@ from named
 def extract_change_target(t: Inputs) -> DataFrame:
     from stemma.functions.changes import extract_change_target as target
 
-    return t("change_requests").select("request_id", "change_text", target(F.col("change_text")).alias("target"))
+    return t.spread("change_requests", "request_id").select("request_id", "change_text", target(F.col("change_text")).alias("target"))
 
 
 WARNING = (
@@ -311,7 +311,7 @@ def resolve_change_target(t: Inputs) -> DataFrame:
     from stemma.functions.changes import resolve_change_target as resolve
 
     return (
-        t("change_requests")
+        t.spread("change_requests", "request_id")
         .select("request_id", resolve(F.col("field_asset"), F.col("change_text")).alias("r"))
         .select("request_id", "r.*")
     )
@@ -338,7 +338,7 @@ from s
 """,
 )
 def change_impact(t: Inputs) -> DataFrame:
-    return G.change_impact(t("change_requests"), t("edges"), t("assets"))
+    return G.change_impact(t.spread("change_requests", "request_id"), t("edges"), t("assets"))
 
 
 @query(
@@ -350,7 +350,7 @@ from {x_neighbours} n join targets using (asset_id) where n.side = 'downstream'
 """,
 )
 def change_impact_items(t: Inputs) -> DataFrame:
-    return G.affected_assets(t("change_requests"), t("edges"), t("assets")).select(
+    return G.affected_assets(t.spread("change_requests", "request_id"), t("edges"), t("assets")).select(
         "asset_id", "neighbour_id", "asset_type", "relationship_type", "missing"
     )
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stemma.plans.star import comparison, relation
+from stemma.session import spread
 
 
 @dataclass(frozen=True)
@@ -16,9 +17,14 @@ class Inputs:
 
     spark: SparkSession
     sf_dir: str
+    known: dict[str, DataFrame] = field(default_factory=dict)
 
     def __call__(self, name: str) -> DataFrame:
-        return relation(self.spark, self.sf_dir, name)
+        return relation(self.spark, self.sf_dir, name, self.known)
+
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A relation for work that costs much CPU per row; see ``session.spread``."""
+        return spread(self(name), key)
 
 
 Query = Callable[[Inputs], DataFrame]

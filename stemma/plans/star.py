@@ -154,12 +154,19 @@ def names_in(text: str) -> list[str]:
     return sorted(set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text)))
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table or a derived relation as a DataFrame."""
-    if name in TABLES:
-        return table(spark, sf_dir, name)
-    text = RELATIONS[name]
-    return spark.sql(text, **{n: relation(spark, sf_dir, n) for n in names_in(text)})
+def relation(
+    spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """A given table or a derived relation; ``known`` keeps those already built."""
+    known = {} if known is None else known
+    if name not in known:
+        if name in TABLES:
+            known[name] = table(spark, sf_dir, name)
+        else:
+            text = RELATIONS[name]
+            parts = {n: relation(spark, sf_dir, n, known) for n in names_in(text)}
+            known[name] = spark.sql(text, **parts)
+    return known[name]
 
 
 def comparison(text: str) -> str:

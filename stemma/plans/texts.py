@@ -71,7 +71,7 @@ DESCRIBED = (
 
 
 def _parsed(t: Inputs) -> DataFrame:
-    return Q.parse_sql_texts(t("sql_texts"))
+    return Q.parse_sql_texts(t.spread("sql_texts", "sql_id"))
 
 
 def _join_text():
@@ -133,7 +133,7 @@ REASON = (
 
 @query("validate_sql", f"select sql_id, {REASON} = '' as valid, {REASON} as reason from {{sql_texts}}")
 def validate_sql(t: Inputs) -> DataFrame:
-    return Q.validate_sql_texts(t("sql_texts")).select("sql_id", "valid", "reason")
+    return Q.validate_sql_texts(t.spread("sql_texts", "sql_id")).select("sql_id", "valid", "reason")
 
 
 REFS = (
@@ -145,7 +145,7 @@ REFS = (
 @query("referenced_tables_naive", f"select sql_id, array_to_string({REFS}, ', ') as refs from {{sql_texts}}")
 def referenced_tables_naive(t: Inputs) -> DataFrame:
     refs = R.referenced_tables(F.col("sql"))
-    return t("sql_texts").select("sql_id", F.array_join(refs, ", ").alias("refs"))
+    return t.spread("sql_texts", "sql_id").select("sql_id", F.array_join(refs, ", ").alias("refs"))
 
 
 # An allowlist in the forms users write: qualified, quoted, mixed case.
@@ -166,7 +166,7 @@ from {{sql_texts}}
 )
 def check_allowed_tables(t: Inputs) -> DataFrame:
     allowed = F.array(*[F.lit(a) for a in ALLOWED])
-    texts = t("sql_texts").withColumn("allowed", allowed)
+    texts = t.spread("sql_texts", "sql_id").withColumn("allowed", allowed)
     outside = R.first_disallowed_table(F.col("sql"), F.col("allowed"))
     return Q.validate_sql_texts(texts, "sql", "allowed").select("sql_id", outside.alias("outside"), "reason")
 
@@ -185,7 +185,7 @@ from {{sql_texts}}
 """,
 )
 def basic_sql_safety(t: Inputs) -> DataFrame:
-    texts = t("sql_texts").withColumn("lowered", F.lower("sql"))
+    texts = t.spread("sql_texts", "sql_id").withColumn("lowered", F.lower("sql"))
     reason = F.coalesce(R.basic_safety_reason(F.col("lowered")), F.lit(""))
     return texts.select("sql_id", reason.alias("reason"))
 
@@ -205,7 +205,7 @@ from {{sql_texts}}
 )
 def strict_select_check(t: Inputs) -> DataFrame:
     reason = F.coalesce(R.strict_select_reason(F.col("sql")), F.lit(""))
-    return t("sql_texts").select("sql_id", reason.alias("reason"))
+    return t.spread("sql_texts", "sql_id").select("sql_id", reason.alias("reason"))
 
 
 @query(
@@ -217,7 +217,7 @@ from {{sql_texts}}
 """,
 )
 def validate_query_result(t: Inputs) -> DataFrame:
-    checked = Q.validate_sql_texts(t("sql_texts"))
+    checked = Q.validate_sql_texts(t.spread("sql_texts", "sql_id"))
     reason = F.when(~F.col("valid"), F.col("reason"))
     return (
         checked.withColumn("r", R.validation_result(reason))
@@ -244,7 +244,7 @@ from {sql_texts}
 """,
 )
 def explain_query(t: Inputs) -> DataFrame:
-    return t("sql_texts").select("sql_id", R.explain_query(F.col("sql")).alias("explanation"))
+    return t.spread("sql_texts", "sql_id").select("sql_id", R.explain_query(F.col("sql")).alias("explanation"))
 
 
 @query(
@@ -261,7 +261,7 @@ from found
 )
 def suggest_optimizations(t: Inputs) -> DataFrame:
     advice = R.suggest_optimizations(F.col("sql"))
-    return t("sql_texts").select("sql_id", F.array_join(advice, " | ").alias("suggestions"))
+    return t.spread("sql_texts", "sql_id").select("sql_id", F.array_join(advice, " | ").alias("suggestions"))
 
 
 # ---- names --------------------------------------------------------------------
@@ -359,7 +359,7 @@ from {conversations} where role = 'assistant'
 
 @query("extract_sql_from_text", "select reply_id, sql, explanation from {x_replies}")
 def extract_sql_from_text(t: Inputs) -> DataFrame:
-    return Q.extract_sql_from_texts(t("llm_replies")).select("reply_id", "sql", "explanation")
+    return Q.extract_sql_from_texts(t.spread("llm_replies", "reply_id")).select("reply_id", "sql", "explanation")
 
 
 @query(
@@ -373,7 +373,7 @@ from {x_replies}
 """,
 )
 def llm_result_shape(t: Inputs) -> DataFrame:
-    return Q.reply_results(t("llm_replies")).select("reply_id", "query", "confidence", "explanation")
+    return Q.reply_results(t.spread("llm_replies", "reply_id")).select("reply_id", "query", "confidence", "explanation")
 
 
 @query(
@@ -386,7 +386,7 @@ from {x_replies}
 """,
 )
 def normalize_llm_result(t: Inputs) -> DataFrame:
-    results = Q.reply_results(t("llm_replies"))
+    results = Q.reply_results(t.spread("llm_replies", "reply_id"))
     safe = F.col("confidence") > 0
     # What a caller gets from a model that leaves fields out.
     sparse = results.select(

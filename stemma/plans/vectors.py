@@ -66,7 +66,7 @@ from (select id, unnest(range(64)) as i, unnest(embedding) as value from {x_doc_
 )
 def embed_texts(t: Inputs) -> DataFrame:
     return (
-        V.embed_texts(t("catalog_docs"))
+        V.embed_texts(t.spread("catalog_docs", "id"))
         .select("id", F.posexplode("embedding").alias("position", "value"))
         .where(F.col("value") > 0)
         .withColumn("value", F.round("value", 9))
@@ -124,12 +124,12 @@ from {{{relation}}} h left join {{catalog_docs}} d on d.id = h.id
 
 @query("search_data_assets", _hits("x_question_hits"))
 def search_data_assets(t: Inputs) -> DataFrame:
-    return V.search_hits(t("questions"), t("catalog_docs"), 5)
+    return V.search_hits(t.spread("questions", "query_id"), t.spread("catalog_docs", "id"), 5)
 
 
 @query("search_similar_queries", _hits("x_example_hits"))
 def search_similar_queries(t: Inputs) -> DataFrame:
-    return V.search_hits(t("example_queries"), t("catalog_docs"), 3)
+    return V.search_hits(t.spread("example_queries", "query_id"), t.spread("catalog_docs", "id"), 3)
 
 
 # Comparison-only: prompt context of every question.
@@ -148,7 +148,7 @@ from {questions} q left join sums s on s.query_id = q.query_id group by q.query_
 
 
 def _contexts(t: Inputs) -> DataFrame:
-    return V.question_contexts(t("questions"), t("catalog_docs"), 5)
+    return V.question_contexts(t.spread("questions", "query_id"), t.spread("catalog_docs", "id"), 5)
 
 
 @query("catalog_context", "select query_id, context, tables_used from {x_contexts}")
