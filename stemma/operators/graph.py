@@ -106,7 +106,12 @@ def asset_lineage(requests: DataFrame, edges: DataFrame, assets: DataFrame) -> D
     A request without neighbours (or with an empty id) keeps one row with a null side.
     ``asset_known`` tells whether the requested asset itself is registered.
     """
-    wanted = lineage_requests(requests)
+    registered = assets.select("asset_id", F.lit(True).alias("_registered"))
+    wanted = (
+        lineage_requests(requests)
+        .join(registered, "asset_id", "left")
+        .select("asset_id", "direction", F.col("_registered").isNotNull().alias("asset_known"))
+    )
     asked = (F.col("direction") == "both") | (F.col("direction") == F.col("side"))
     found = edge_ends(edges).join(wanted, "asset_id", "inner").where(asked)
 
@@ -119,15 +124,9 @@ def asset_lineage(requests: DataFrame, edges: DataFrame, assets: DataFrame) -> D
     alone = (
         wanted.join(counts, "asset_id", "left")
         .where(F.coalesce(on_side, F.lit(0)) == 0)
-        .select("asset_id", "direction")
-    )
-    rows = describe_neighbours(found, assets).unionByName(alone, allowMissingColumns=True)
-    registered = assets.select("asset_id", F.lit(True).alias("_registered"))
-    return (
-        rows.join(registered, "asset_id", "left")
-        .withColumn("asset_known", F.col("_registered").isNotNull())
-        .drop("_registered")
+        .select("asset_id", "direction", "asset_known")
     )
+    return describe_neighbours(found, assets).unionByName(alone, allowMissingColumns=True)
 
 
 def asset_details(ids: DataFrame, edges: DataFrame, assets: DataFrame) -> DataFrame:
@@ -164,16 +163,19 @@ def degree_counts(edges: DataFrame) -> DataFrame:
     )
 
 
-def impact_scores(edges: DataFrame, assets: DataFrame) -> DataFrame:
-    """Score of every registered asset from its degree, next to the stored score."""
-    degrees = degree_counts(edges).select(
+def _degrees(edges: DataFrame) -> DataFrame:
+    return degree_counts(edges).select(
         "asset_id", (F.col("upstream_count") + F.col("downstream_count")).alias("degree")
     )
+
+
+def impact_scores(edges: DataFrame, assets: DataFrame) -> DataFrame:
+    """Score of every registered asset from its degree, next to the stored score."""
     return (
         assets.select(
             "asset_id", "asset_type", F.coalesce("impact_score", F.lit(0.0)).alias("stored_score")
         )
-        .join(degrees, "asset_id", "left")
+        .join(_degrees(edges), "asset_id", "left")
         .withColumn("degree", F.coalesce("degree", F.lit(0)))
         .withColumn("calculated_score", degree_score(F.col("degree")))
     )
@@ -190,11 +192,10 @@ def resolve_impact_scores(edges: DataFrame, assets: DataFrame) -> DataFrame:
 
 def recompute_impact_scores(edges: DataFrame, assets: DataFrame) -> DataFrame:
     """The asset relation with every stored score replaced by the calculated one."""
-    calculated = impact_scores(edges, assets).select("asset_id", "calculated_score")
     return (
-        assets.join(calculated, "asset_id", "left")
-        .withColumn("impact_score", F.col("calculated_score"))
-        .drop("calculated_score")
+        assets.join(_degrees(edges), "asset_id", "left")
+        .withColumn("impact_score", degree_score(F.col("degree")))
+        .drop("degree")
     )
 
 
@@ -323,13 +324,14 @@ def change_impact(requests: DataFrame, edges: DataFrame, assets: DataFrame) -> D
         F.col("_r.source").alias("asset_resolved_from"),
         F.col("_r.warning").alias("resolution_warning"),
     )
-    usage = usage_counts(edges, assets)
+    # Everything known per target first (one row per id), so the requests, of which
+    # many may name one target, are joined once.
     stored = assets.select("asset_id", F.coalesce("impact_score", F.lit(0.0)).alias("stored_score"))
+    known = usage_counts(edges, assets).join(stored, "asset_id", "full_outer")
     none = F.col("asset_id") == ""
     degree = F.coalesce(F.col("upstream_count") + F.col("downstream_count"), F.lit(0))
     scored = (
-        asked.join(usage, "asset_id", "left")
-        .join(stored, "asset_id", "left")
+        asked.join(known, "asset_id", "left")
         .withColumn(
             "impact_score", F.greatest(degree_score(degree), F.coalesce("stored_score", F.lit(0.0)))
         )

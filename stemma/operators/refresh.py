@@ -14,8 +14,11 @@ from stemma.sources import snapshots as SN
 
 
 def document_vectors(docs: DataFrame) -> DataFrame:
-    """Vector records of documents, with the scalar metadata as a flat map."""
-    flat = ST.flatten_metadata([(c, "string") for c in ("asset_type", "name", "owner", "description")])
+    """Vector records of documents, one per id, with the scalar metadata as a flat map."""
+    described = ["asset_type", "name", "owner", "description"]
+    flat = ST.flatten_metadata([(c, "string") for c in described])
+    docs = docs.where(F.coalesce("id", F.lit("")) != "").select("id", "text", *described)
+    docs = ST.last_per_key(docs, ["id"], F.struct("text", *described))
     return (
         docs.select("id", "text", flat.alias("metadata"))
         .join(embed_texts(docs.select("id", "text")), "id", "inner")

@@ -89,7 +89,8 @@ def upsert_documents(old: DataFrame, docs: DataFrame) -> DataFrame:
 
 def update_document_metadata(old: DataFrame, changes: DataFrame) -> DataFrame:
     """Set metadata entries of known ids; other entries stay, unknown ids are ignored."""
-    change = changes.select("id", F.col("metadata").alias("_new"))
+    change = last_per_key(changes.select("id", "metadata"), ["id"], F.to_json("metadata"))
+    change = change.withColumnRenamed("metadata", "_new")
     merged = F.when(
         F.col("_new").isNotNull(),
         F.map_concat(
@@ -110,9 +111,13 @@ def clear_documents(old: DataFrame) -> DataFrame:
 
 
 def register_assets(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert by asset_id; new attributes win, the stored score stays (0.0 for a new asset)."""
+    """Upsert by asset_id; new attributes win, the stored score stays (0.0 for a new asset).
+
+    Of several new rows with one id a single one is kept, chosen by its values.
+    """
     attributes = [c for c in old.columns if c not in ("asset_id", "impact_score")]
     incoming = new.where(F.coalesce("asset_id", F.lit("")) != "").select("asset_id", *attributes)
+    incoming = last_per_key(incoming, ["asset_id"], F.struct(*attributes))
     n = incoming.select("asset_id", F.struct(*attributes).alias("_new"))
     o = old.select("asset_id", "impact_score", F.struct(*attributes).alias("_old"))
     return (
@@ -142,8 +147,8 @@ def add_edges(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def update_impact_scores(old: DataFrame, scores: DataFrame) -> DataFrame:
-    """Set the score of known ids; unknown ids are ignored."""
-    new = scores.select("asset_id", F.col("impact_score").alias("_score"))
+    """Set the score of known ids; unknown ids are ignored, of several scores the highest counts."""
+    new = scores.groupBy("asset_id").agg(F.max("impact_score").alias("_score"))
     return (
         old.join(new, "asset_id", "left")
         .withColumn("impact_score", F.coalesce("_score", "impact_score"))

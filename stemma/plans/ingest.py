@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stemma.functions import etl_rules as E
 from stemma.operators import documents as D
 from stemma.operators import graph as G
+from stemma.operators.search import materialize
 from stemma.plans import texts, warehouse
 from stemma.plans.registry import Inputs, query
 from stemma.plans.star import RELATIONS
@@ -202,7 +203,7 @@ union all select distinct 'edge', source_asset_id, target_asset_id, relationship
 """,
 )
 def refresh_assets_edges(t: Inputs) -> DataFrame:
-    docs = documents(t)
+    docs = materialize(documents(t), "documents")
     edges = D.document_edges(docs).distinct()
     assets = D.document_assets(docs).select(
         F.lit("asset").alias("kind"), F.col("asset_id").alias("a"), F.col("asset_type").alias("b"),
@@ -242,7 +243,7 @@ from {x_documents} x left join d on d.id = x.id
 """,
 )
 def document_impact(t: Inputs) -> DataFrame:
-    docs = documents(t)
+    docs = materialize(documents(t), "documents")
     assets = D.document_assets(docs).withColumn("impact_score", F.lit(0.0))
     edges = D.document_edges(docs).distinct()
     return G.impact_scores(edges, assets).select(
