@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions.text import blank_to_null, change_table_ref, strip
@@ -23,20 +23,36 @@ def extract_change_target(text: Column, default_schema: str = "public") -> Colum
     return change_table_ref(named, default_schema)
 
 
-def resolve_change_target(field: Column, text: Column, default_schema: str = "public") -> Column:
-    """Struct: asset_id ('' when unknown), field_asset, inferred_asset, source, warning."""
-    typed = strip(F.coalesce(field, F.lit("")))
-    inferred = extract_change_target(text, default_schema)
+def differs_warning(typed: Column, inferred: Column) -> Column:
+    """Warning text when the field names another asset than the change text."""
     differs = inferred.isNotNull() & (typed != "") & (F.lower(typed) != F.lower(inferred))
-    warning = F.concat(
-        F.lit("Asset id field was `"), typed,
-        F.lit("` but the proposed change targets `"), inferred,
-        F.lit("` — analysis uses **"), inferred, F.lit("**."),
+    return F.when(
+        differs,
+        F.concat(
+            F.lit("Asset id field was `"), typed,
+            F.lit("` but the proposed change targets `"), inferred,
+            F.lit("` — analysis uses **"), inferred, F.lit("**."),
+        ),
     )
-    return F.struct(
-        F.coalesce(inferred, typed).alias("asset_id"),
-        blank_to_null(typed).alias("field_asset"),
-        inferred.alias("inferred_asset"),
-        F.when(inferred.isNotNull(), F.lit("change_text")).otherwise(F.lit("field")).alias("source"),
-        F.when(differs, warning).alias("warning"),
+
+
+def resolve_change_targets(
+    df: DataFrame,
+    field: str = "field_asset",
+    text: str = "change_text",
+    default_schema: str = "public",
+) -> DataFrame:
+    """Adds asset_id ('' when unknown), inferred_asset, source and warning.
+
+    The change text beats the field. The patterns run once per row: their result
+    is a column before anything refers to it.
+    """
+    typed, inferred = F.col("_typed"), F.col("inferred_asset")
+    return (
+        df.withColumn("_typed", strip(F.coalesce(field, F.lit(""))))
+        .withColumn("inferred_asset", extract_change_target(F.col(text), default_schema))
+        .withColumn("asset_id", F.coalesce(inferred, typed))
+        .withColumn("source", F.when(inferred.isNotNull(), F.lit("change_text")).otherwise(F.lit("field")))
+        .withColumn("warning", differs_warning(typed, inferred))
+        .drop("_typed")
     )

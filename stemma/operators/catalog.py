@@ -173,3 +173,15 @@ def short_texts(assets: DataFrame) -> DataFrame:
         asset_label(F.col("asset_id"), F.col("name"), F.col("asset_type")).alias("label"),
         F.substring(F.coalesce("description", F.lit("")), 1, DESCRIPTION_CHARS).alias("shown_description"),
     )
+
+
+def hit_blocks(hits: DataFrame) -> DataFrame:
+    """Heading and shortened text per search hit: (query_id, rank, block)."""
+    # format_number rounds the exact binary value, as the scores are shown elsewhere.
+    heading = F.concat(
+        F.lit("### "), F.col("rank").cast("string"), F.lit(". "), "data_asset", F.lit(" ("),
+        F.coalesce("asset_type", F.lit("asset")), F.lit(", score="),
+        F.format_number("relevance_score", 3), F.lit(")\n"),
+    )
+    shown = F.substring(F.coalesce("description", F.lit("")), 1, HIT_CHARS)
+    return hits.select("query_id", "rank", F.concat(heading, shown).alias("block"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.functions.changes import resolve_change_target
+from stemma.functions.changes import resolve_change_targets
 from stemma.functions.scores import degree_score, risk_level
 from stemma.functions.text import strip
 
@@ -315,14 +315,13 @@ def change_impact(requests: DataFrame, edges: DataFrame, assets: DataFrame) -> D
     The affected assets themselves are ``affected_assets``, keyed by target, so a
     hub that many requests name is listed once and not once per request.
     """
-    resolved = requests.withColumn("_r", resolve_change_target(F.col("field_asset"), F.col("change_text")))
-    asked = resolved.select(
+    asked = resolve_change_targets(requests).select(
         "request_id",
         F.coalesce("field_asset", F.lit("")).alias("asset_id_field"),
         "change_text",
-        F.col("_r.asset_id").alias("asset_id"),
-        F.col("_r.source").alias("asset_resolved_from"),
-        F.col("_r.warning").alias("resolution_warning"),
+        "asset_id",
+        F.col("source").alias("asset_resolved_from"),
+        F.col("warning").alias("resolution_warning"),
     )
     # Everything known per target first (one row per id), so the requests, of which
     # many may name one target, are joined once.
@@ -359,8 +358,7 @@ def change_impact(requests: DataFrame, edges: DataFrame, assets: DataFrame) -> D
 
 def affected_assets(requests: DataFrame, edges: DataFrame, assets: DataFrame) -> DataFrame:
     """Downstream neighbours of every distinct change target."""
-    target = resolve_change_target(F.col("field_asset"), F.col("change_text"))["asset_id"]
-    targets = requests.select(target.alias("asset_id")).where(F.col("asset_id") != "").distinct()
+    targets = resolve_change_targets(requests).select("asset_id").where(F.col("asset_id") != "").distinct()
     ends = one_side(edges, DOWNSTREAM).join(targets, "asset_id", "left_semi")
     return describe_neighbours(ends, assets)
 

@@ -311,12 +311,24 @@ def snippet_of(text: Column) -> Column:
     ).otherwise(trimmed)
 
 
-def question_contexts(questions: DataFrame, docs: DataFrame, top_k: int = 5) -> DataFrame:
-    """Prompt context of every question; a question without hits gets an empty one."""
-    hits = search_documents(questions, docs, top_k)
-    snippets = docs.select("id", snippet_of(F.col("text")).alias("snippet"), "asset_type")
-    context = catalog_context(hits.join(snippets, "id", "left"))
-    return questions.join(context, "query_id", "left").select(
+def stored_hits(questions: DataFrame, vectors: DataFrame, top_k: int = 5) -> DataFrame:
+    """Search hits of questions (query_id, text) in a stored vector collection."""
+    q = materialize(embed_texts(questions, "query_id"), "question-vectors")
+    hits = vector_search(q, vectors, top_k)
+    return hits.join(vectors.select("id", "text", "metadata"), "id", "left").select(
+        "query_id",
+        "rank",
+        F.col("id").alias("data_asset"),
+        F.col("text").alias("description"),
+        F.col("score").alias("relevance_score"),
+        "metadata",
+        F.try_element_at("metadata", F.lit("asset_type")).alias("asset_type"),
+    )
+
+
+def with_contexts(questions: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Questions with the context of their hits; without hits the context is empty."""
+    return questions.join(catalog_context(ranked), "query_id", "left").select(
         "query_id",
         "text",
         F.coalesce("context", F.lit("")).alias("context"),
@@ -324,6 +336,25 @@ def question_contexts(questions: DataFrame, docs: DataFrame, top_k: int = 5) ->
     )
 
 
+def context_of_hits(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """Prompt context from the public shape of search hits."""
+    ranked = hits.select(
+        "query_id", "rank", F.col("data_asset").alias("id"),
+        snippet_of(F.col("description")).alias("snippet"), "asset_type",
+    )
+    return with_contexts(questions, ranked)
+
+
+def question_contexts(questions: DataFrame, docs: DataFrame, top_k: int = 5) -> DataFrame:
+    """Prompt context of every question over documents (id, text, asset_type).
+
+    Only the snippet of a document, not its text, travels to the hits.
+    """
+    hits = search_documents(questions, docs, top_k)
+    snippets = docs.select("id", snippet_of(F.col("text")).alias("snippet"), "asset_type")
+    return with_contexts(questions, hits.join(snippets, "id", "left"))
+
+
 def question_prompts(contexts: DataFrame) -> DataFrame:
     """Chat messages per question, ready for a batch model outside."""
     return contexts.select(

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemma.functions import changes
 from stemma.functions import scores as S
+from stemma.functions.changes import resolve_change_targets
+from stemma.functions.text import strip
 from stemma.operators import graph as G
 from stemma.plans.registry import Inputs, query
 from stemma.plans.star import RELATIONS
@@ -288,9 +291,8 @@ from named
 
 @query("extract_change_target", "select request_id, change_text, inferred as target from {x_targets}")
 def extract_change_target(t: Inputs) -> DataFrame:
-    from stemma.functions.changes import extract_change_target as target
-
-    return t.spread("change_requests", "request_id").select("request_id", "change_text", target(F.col("change_text")).alias("target"))
+    target = changes.extract_change_target(F.col("change_text"))
+    return t.spread("change_requests", "request_id").select("request_id", "change_text", target.alias("target"))
 
 
 WARNING = (
@@ -308,12 +310,10 @@ from {{x_targets}}
 """,
 )
 def resolve_change_target(t: Inputs) -> DataFrame:
-    from stemma.functions.changes import resolve_change_target as resolve
-
-    return (
-        t.spread("change_requests", "request_id")
-        .select("request_id", resolve(F.col("field_asset"), F.col("change_text")).alias("r"))
-        .select("request_id", "r.*")
+    resolved = resolve_change_targets(t.spread("change_requests", "request_id"))
+    return resolved.select(
+        "request_id", "asset_id", F.nullif(strip(F.col("field_asset")), F.lit("")).alias("field_asset"),
+        "inferred_asset", "source", "warning",
     )
 
 

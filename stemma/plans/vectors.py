@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stemma.functions import replies as P
 from stemma.functions.scores import distance_to_score
 from stemma.operators import search as V
+from stemma.operators.catalog import hit_blocks
 from stemma.plans.registry import Inputs, query
 from stemma.plans.star import RELATIONS
 
@@ -127,6 +128,17 @@ def search_data_assets(t: Inputs) -> DataFrame:
     return V.search_hits(t.spread("questions", "query_id"), t.spread("catalog_docs", "id"), 5)
 
 
+@query(
+    "search_hit_blocks",
+    f"""
+select query_id, rank, '### '||rank||'. '||data_asset||' ('||coalesce(asset_type, 'asset')||', score='||printf('%.3f', relevance_score)||')'||chr(10)||substring(description, 1, 1500) as block
+from ({_hits('x_question_hits')})
+""",
+)
+def search_hit_blocks(t: Inputs) -> DataFrame:
+    return hit_blocks(search_data_assets(t))
+
+
 @query("search_similar_queries", _hits("x_example_hits"))
 def search_similar_queries(t: Inputs) -> DataFrame:
     return V.search_hits(t.spread("example_queries", "query_id"), t.spread("catalog_docs", "id"), 3)

@@ -113,7 +113,11 @@ def foreign_key_edges(t: Inputs) -> DataFrame:
 
 def metadata(t: Inputs) -> DataFrame:
     return WH.assemble_table_metadata(
-        kept(t), scan_columns(t), scan_table_comments(t), scan_primary_keys(t), _foreign(t)
+        kept(t),
+        WH.scan_columns(t("wh_columns")),
+        WH.scan_table_comments(t("wh_classes"), t("wh_namespaces")),
+        WH.scan_primary_keys(t("wh_constraints"), t("wh_key_usage")),
+        WH.scan_foreign_keys(t("wh_constraints"), t("wh_key_usage"), t("wh_constraint_usage")),
     )
 
 
@@ -150,7 +154,8 @@ from {x_table_docs}
 """,
 )
 def scan_tables_minimal(t: Inputs) -> DataFrame:
-    return _flat(WH.assemble_table_metadata(kept(t), scan_columns(t), scan_table_comments(t)))
+    comments = WH.scan_table_comments(t("wh_classes"), t("wh_namespaces"))
+    return _flat(WH.assemble_table_metadata(kept(t), WH.scan_columns(t("wh_columns")), comments))
 
 
 # Names users ask for: qualified, unqualified and unknown ones.

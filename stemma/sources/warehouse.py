@@ -73,18 +73,23 @@ def ordered_tables(kept: DataFrame) -> DataFrame:
 _KEY = ["table_schema", "table_name"]
 
 
-def scan_columns(columns: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row per column of the kept tables."""
-    return (
-        columns.join(kept.select(*_KEY), _KEY, "left_semi")
-        .select(
-            *_KEY,
-            "ordinal_position",
-            F.col("column_name").alias("name"),
-            F.col("data_type").alias("type"),
-            (F.col("is_nullable") == "YES").alias("nullable"),
-            F.col("column_default").alias("default"),
-        )
+def _of_kept(rows: DataFrame, kept: DataFrame | None) -> DataFrame:
+    return rows if kept is None else rows.join(kept.select(*_KEY), _KEY, "left_semi")
+
+
+def scan_columns(columns: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """One row per column of the kept tables.
+
+    Without ``kept`` all tables count; here and in the other scans that is the
+    form to feed ``assemble_table_metadata``, which keeps the kept tables itself.
+    """
+    return _of_kept(columns, kept).select(
+        *_KEY,
+        "ordinal_position",
+        F.col("column_name").alias("name"),
+        F.col("data_type").alias("type"),
+        (F.col("is_nullable") == "YES").alias("nullable"),
+        F.col("column_default").alias("default"),
     )
 
 
@@ -96,31 +101,34 @@ def _comments(classes: DataFrame, namespaces: DataFrame) -> DataFrame:
     ).select("table_schema", F.col("relname").alias("table_name"), "relkind", "description")
 
 
-def scan_table_comments(classes: DataFrame, namespaces: DataFrame, kept: DataFrame) -> DataFrame:
+def scan_table_comments(
+    classes: DataFrame, namespaces: DataFrame, kept: DataFrame | None = None
+) -> DataFrame:
     """Filled comments of ordinary tables."""
-    return (
-        _comments(classes.where((F.col("relkind") == "r") & (F.col("description") != "")), namespaces)
-        .join(kept.select(*_KEY), _KEY, "left_semi")
-        .select(*_KEY, "description")
-    )
+    filled = classes.where((F.col("relkind") == "r") & (F.col("description") != ""))
+    return _of_kept(_comments(filled, namespaces), kept).select(*_KEY, "description")
 
 
 _CONSTRAINT = ["constraint_name", "table_schema", "table_name"]
 
 
-def scan_primary_keys(constraints: DataFrame, key_usage: DataFrame, kept: DataFrame) -> DataFrame:
+def scan_primary_keys(
+    constraints: DataFrame, key_usage: DataFrame, kept: DataFrame | None = None
+) -> DataFrame:
     """One row per primary key column."""
-    return (
+    keys = (
         constraints.where(F.col("constraint_type") == "PRIMARY KEY")
         .select(*_CONSTRAINT)
         .join(key_usage.select(*_CONSTRAINT, "column_name", "ordinal_position"), _CONSTRAINT, "inner")
-        .join(kept.select(*_KEY), _KEY, "left_semi")
-        .select(*_KEY, "ordinal_position", "column_name")
     )
+    return _of_kept(keys, kept).select(*_KEY, "ordinal_position", "column_name")
 
 
 def scan_foreign_keys(
-    constraints: DataFrame, key_usage: DataFrame, constraint_usage: DataFrame, kept: DataFrame
+    constraints: DataFrame,
+    key_usage: DataFrame,
+    constraint_usage: DataFrame,
+    kept: DataFrame | None = None,
 ) -> DataFrame:
     """One row per pair of key column and referenced column of a constraint.
 
@@ -133,21 +141,20 @@ def scan_foreign_keys(
         F.concat("table_schema", F.lit("."), "table_name").alias("references"),
         F.col("column_name").alias("foreign_column"),
     )
-    return (
+    pairs = (
         constraints.where(F.col("constraint_type") == "FOREIGN KEY")
         .select(*_CONSTRAINT)
         .join(key_usage.select(*_CONSTRAINT, "column_name"), _CONSTRAINT, "inner")
         .join(used, ["constraint_name", "table_schema"], "inner")
-        .join(kept.select(*_KEY), _KEY, "left_semi")
-        .select(
-            *_KEY,
-            F.col("column_name").alias("column"),
-            "references",
-            "foreign_column",
-            F.col("references").alias("source"),
-            F.concat("table_schema", F.lit("."), "table_name").alias("target"),
-            F.lit("foreign_key").alias("relationship_type"),
-        )
+    )
+    return _of_kept(pairs, kept).select(
+        *_KEY,
+        F.col("column_name").alias("column"),
+        "references",
+        "foreign_column",
+        F.col("references").alias("source"),
+        F.concat("table_schema", F.lit("."), "table_name").alias("target"),
+        F.lit("foreign_key").alias("relationship_type"),
     )
 
 

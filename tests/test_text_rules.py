@@ -170,7 +170,7 @@ def test_change_text_beats_the_field(spark):
     )
     got = [
         (r.asset_id, r.source, r.warning is not None)
-        for (r,) in df.select(changes.resolve_change_target(F.col("f"), F.col("t"))).collect()
+        for r in changes.resolve_change_targets(df, "f", "t").collect()
     ]
     assert got == [
         ("public.orders", "change_text", False), ("public.bb", "change_text", True),
