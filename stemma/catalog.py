@@ -41,6 +41,12 @@ class Catalog:
             return value
         return self.spark.createDataFrame([(value,)], f"{column} string")
 
+    def _graph(self, *ids: str | DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Edges and assets; for ids given as values only the part around them."""
+        if any(isinstance(i, DataFrame) for i in ids):
+            return self.edges, self.assets
+        return G.around([i.strip() for i in ids], self.edges, self.assets)
+
     def refresh(self, documents: DataFrame) -> DataFrame:
         return refresh_catalog(documents, self.store)
 
@@ -55,7 +61,7 @@ class Catalog:
         return self.search_data_assets(query, top_k)
 
     def search_by_table(self, table: str | DataFrame) -> DataFrame:
-        return G.search_by_table(self._batch(table, "asset_id"), self.edges, self.assets)
+        return G.search_by_table(self._batch(table, "asset_id"), *self._graph(table))
 
     def search_by_owner(self, owner: str) -> DataFrame:
         return C.search_by_owner(self.assets, owner)
@@ -66,14 +72,14 @@ class Catalog:
         requests = self._batch(asset, "asset_id")
         if "direction" not in requests.columns:
             requests = requests.withColumn("direction", F.lit(direction))
-        return G.asset_lineage(requests, self.edges, self.assets)
+        return G.asset_lineage(requests, *self._graph(asset))
 
     def analyze_data_usage(self, asset: str | DataFrame) -> DataFrame:
-        return G.data_usage(self._batch(asset, "asset_id"), self.edges, self.assets)
+        return G.data_usage(self._batch(asset, "asset_id"), *self._graph(asset))
 
     def usage_items(self, asset: str | DataFrame) -> DataFrame:
         ids = self._batch(asset, "asset_id").select("asset_id").distinct()
-        return G.usage_items(self.edges, self.assets).join(ids, "asset_id", "left_semi")
+        return G.usage_items(*self._graph(asset)).join(ids, "asset_id", "left_semi")
 
     def assess_change_impact(self, asset: str | DataFrame, change: str = "") -> DataFrame:
         """A DataFrame of changes has request_id, field_asset and change_text."""
@@ -85,9 +91,10 @@ class Catalog:
 
     def compare_data_assets(self, asset1: str | DataFrame, asset2: str = "") -> DataFrame:
         """A DataFrame of pairs has asset1 and asset2."""
-        if not isinstance(asset1, DataFrame):
-            asset1 = self.spark.createDataFrame([(asset1, asset2)], "asset1 string, asset2 string")
-        return G.compare_assets(asset1, self.edges, self.assets)
+        pairs, graph = asset1, self._graph(asset1, asset2)
+        if not isinstance(pairs, DataFrame):
+            pairs = self.spark.createDataFrame([(asset1, asset2)], "asset1 string, asset2 string")
+        return G.compare_assets(pairs, *graph)
 
     def persist_scores(self) -> None:
         """Store the resolved score of every asset whose score rises."""
@@ -133,7 +140,7 @@ class Catalog:
         return C.list_etl_processes(self.assets)
 
     def get_asset_details(self, asset: str | DataFrame) -> DataFrame:
-        return G.asset_details(self._batch(asset, "asset_id"), self.edges, self.assets)
+        return G.asset_details(self._batch(asset, "asset_id"), *self._graph(asset))
 
     def _questions(self, query: str | DataFrame) -> DataFrame:
         if isinstance(query, DataFrame):

@@ -13,6 +13,8 @@ form adaptive execution can split when a hub makes one partition too large.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,20 @@ def downstream_assets(edges: DataFrame, assets: DataFrame) -> DataFrame:
     return describe_neighbours(one_side(edges, DOWNSTREAM), assets)
 
 
+def around(ids: Sequence[str], edges: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The part of the graph that questions about a few given ids need.
+
+    The ids go into the filter of the edge scan, and the assets are cut to those
+    the remaining edges mention, so the joins that follow move only that part.
+    """
+    source, target = F.col("source_asset_id"), F.col("target_asset_id")
+    near = edges.where(source.isin(*ids) | target.isin(*ids))
+    mentioned = near.select(F.explode(F.array(source, target)).alias("asset_id")).distinct()
+    known = assets.join(mentioned, "asset_id", "left_semi")
+    alone = assets.where(F.col("asset_id").isin(*ids)).join(mentioned, "asset_id", "left_anti")
+    return near, known.unionByName(alone)
+
+
 def lineage_requests(requests: DataFrame) -> DataFrame:
     """Trimmed asset_id and a valid direction per request, each combination once."""
     wanted = F.lower(strip(F.coalesce("direction", F.lit("both"))))

@@ -16,8 +16,8 @@ from stemma.session import TABLES, table
 RELATIONS: dict[str, str] = {}
 
 RELATIONS["edges"] = """
-select distinct 'supplier.s'||l_suppkey as source_asset_id, 'part.p'||l_partkey as target_asset_id, 'supplies' as relationship_type from {lineitem}
-union all select distinct 'part.p'||l_partkey, 'ord.o'||l_orderkey, 'line_item' from {lineitem}
+select 'supplier.s'||l_suppkey as source_asset_id, 'part.p'||l_partkey as target_asset_id, 'supplies' as relationship_type from (select distinct l_suppkey, l_partkey from {lineitem}) s
+union all select 'part.p'||l_partkey, 'ord.o'||l_orderkey, 'line_item' from (select distinct l_partkey, l_orderkey from {lineitem}) l
 union all select 'customer.c'||o_custkey, 'ord.o'||o_orderkey, 'foreign_key' from {orders}
 union all select 'nation.n'||c_nationkey, 'customer.c'||c_custkey, 'foreign_key' from {customer}
 """

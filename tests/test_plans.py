@@ -90,3 +90,19 @@ def test_a_hub_with_a_third_of_all_edges_is_split(spark, hub_settings):
     assert down.where("not missing and neighbour_id = 'hub'").count() == n // 3
     usage = graph.usage_counts(edges, assets)
     assert usage.where("asset_id = 'hub'").first()["upstream_count"] == n // 3
+
+
+def test_a_single_question_filters_the_edge_scan(spark, tmp_path):
+    from stemma.catalog import Catalog
+    from stemma.sources import snapshots
+
+    edges = spark.range(1000).selectExpr("'a' || id as source_asset_id", "'b' || id as target_asset_id", "'fk' as relationship_type")
+    assets = spark.range(1000).selectExpr("'b' || id as asset_id", "'table' as asset_type", "'n' as name", "'' as description",
+                                          "'o' as owner", "'{}' as metadata", "0.0D as impact_score")
+    snapshots.save_snapshot(edges, str(tmp_path), "edges")
+    snapshots.save_snapshot(assets, str(tmp_path), "assets")
+    lineage = Catalog(spark, str(tmp_path)).get_lineage("b7")
+    assert "PushedFilters: [Or(EqualTo(source_asset_id,b7),EqualTo(target_asset_id,b7))]" in formatted(lineage)
+    assert [(r.neighbour_id, r.missing, r.asset_known) for r in lineage.collect()] == [("a7", True, True)]
+    usage = Catalog(spark, str(tmp_path)).analyze_data_usage("a7").first()
+    assert (usage.downstream_count, usage.table_count, usage.asset_known) == (1, 1, False)
