@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from stemma.operators import documents as D
 from stemma.operators import graph as G
 from stemma.operators import store as ST
-from stemma.operators.search import embed_texts, materialize
-from stemma.schemas import ASSETS, EDGES, VECTORS
+from stemma.operators.search import embed_texts
+from stemma.schemas import ASSETS, EDGES
+from stemma.session import materialize
 from stemma.sources import snapshots as SN
 
 

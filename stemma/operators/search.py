@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from stemma.functions.replies import prompt_messages
 from stemma.functions.scores import distance_to_score
 from stemma.functions.text import strip
-from stemma.session import new_folder
+from stemma.session import materialize
 
 DIMENSIONS = 64
 PIVOTS = 64
@@ -236,13 +236,6 @@ def _ranked(found: DataFrame, top_k: int) -> DataFrame:
 # ---- questions over documents -------------------------------------------------
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write once to the shared folder and read back; the result survives lost executors."""
-    path = new_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def search_documents(questions: DataFrame, docs: DataFrame, top_k: int = 5) -> DataFrame:
     """Nearest documents of each question by hashed word counts.
 

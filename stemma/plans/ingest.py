@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from stemma.functions import etl_rules as E
 from stemma.operators import documents as D
 from stemma.operators import graph as G
-from stemma.operators.search import materialize
 from stemma.plans import texts, warehouse
 from stemma.plans.registry import Inputs, query
 from stemma.plans.star import RELATIONS
+from stemma.session import materialize
 from stemma.sources.files import parse_etl_configs
 
 # ---- SQL documents ------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stemma.operators import store as ST
 from stemma.plans.registry import Inputs, query
-from stemma.session import new_folder
+from stemma.session import materialize, new_folder
 
 RECENT = "1998-01-01"
 
@@ -172,16 +172,9 @@ def product_sales(t: Inputs) -> DataFrame:
 # ---- load jobs ----------------------------------------------------------------
 
 
-def written(df: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
-    """Write a target table to the shared folder and return it as stored."""
-    path = new_folder(df.sparkSession, purpose)
-    df.write.mode(mode).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @query("etl_orders_summary", ORDERS_PER_CUSTOMER)
 def load_orders_summary(t: Inputs) -> DataFrame:
-    return written(_orders_per_customer(t), "orders-summary")
+    return materialize(_orders_per_customer(t), "orders-summary")
 
 
 @query(
@@ -210,7 +203,12 @@ def load_order_line_facts(t: Inputs) -> DataFrame:
             ],
         )
     )
-    return written(facts, "order-line-fact")
+    # Append only: earlier rows of the target are never touched by a later load.
+    target = new_folder(t.spark, "order-line-fact")
+    early = F.coalesce(F.col("o_orderdate") < F.lit(RECENT).cast("date"), F.lit(True))
+    for batch in (early, ~early):
+        facts.where(batch).write.mode("append").parquet(target)
+    return t.spark.read.schema(facts.schema).parquet(target)
 
 
 @query(
@@ -234,7 +232,7 @@ def load_product_sales_fact(t: Inputs) -> DataFrame:
         _double(line_revenue()).alias("line_revenue"),
         _double(F.col("l_quantity").cast("decimal(12,2)")).alias("units_sold"),
     )
-    return written(ST.upsert(stored, new, ["product_id"]), "product-sales-fact")
+    return materialize(ST.upsert(stored, new, ["product_id"]), "product-sales-fact")
 
 
 @query(
@@ -261,7 +259,7 @@ def load_employee_dim(t: Inputs) -> DataFrame:
             F.col("r_name").alias("region"),
         )
     )
-    return written(ST.upsert(stored, active, ["employee_id"]), "employee-dim")
+    return materialize(ST.upsert(stored, active, ["employee_id"]), "employee-dim")
 
 
 def scd2(current: DataFrame, incoming: DataFrame, key: str, effective: str) -> DataFrame:
@@ -333,7 +331,7 @@ def load_customer_dim(t: Inputs) -> DataFrame:
             F.col("s_name").alias("customer_name"), F.lit("PARTNER").alias("segment"),
         )
     )
-    dim = written(scd2(current, incoming, "customer_id", "2002-01-01"), "customer-dim")
+    dim = materialize(scd2(current, incoming, "customer_id", "2002-01-01"), "customer-dim")
     return dim.withColumn("valid_from", F.col("valid_from").cast("string")).withColumn(
         "valid_to", F.col("valid_to").cast("string")
     )

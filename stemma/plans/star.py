@@ -11,10 +11,13 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.session import TABLES, table
+from stemma.session import TABLES, materialize, table
 
 RELATIONS: dict[str, str] = {}
 
+# Relations that several scans of one query read: written once, not derived again each time.
+STORED = ("wh_columns", "wh_key_usage")
+
 RELATIONS["edges"] = """
 select 'supplier.s'||l_suppkey as source_asset_id, 'part.p'||l_partkey as target_asset_id, 'supplies' as relationship_type from (select distinct l_suppkey, l_partkey from {lineitem}) s
 union all select 'part.p'||l_partkey, 'ord.o'||l_orderkey, 'line_item' from (select distinct l_partkey, l_orderkey from {lineitem}) l
@@ -165,7 +168,8 @@ def relation(
         else:
             text = RELATIONS[name]
             parts = {n: relation(spark, sf_dir, n, known) for n in names_in(text)}
-            known[name] = spark.sql(text, **parts)
+            derived = spark.sql(text, **parts)
+            known[name] = materialize(derived, name) if name in STORED else derived
     return known[name]
 
 
