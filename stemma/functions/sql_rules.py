@@ -94,11 +94,8 @@ def _ref(raw: Column, default_schema: str) -> Column:
 def extract_tables(masked: Column, default_schema: str = "public") -> Column:
     """Sorted distinct ``schema.table`` names a masked statement touches, CTEs left out."""
     bare = F.transform(_names(masked), lambda x: F.lower(F.translate(x, '"`', "")))
-    ctes = cte_names(masked)
-    kept = F.filter(
-        bare,
-        lambda x: (x != "") & ~x.isin(*NOT_NAMES) & ~F.array_contains(ctes, x),
-    )
+    real = F.array_except(bare, cte_names(masked))
+    kept = F.filter(real, lambda x: (x != "") & ~x.isin(*NOT_NAMES))
     return F.array_sort(F.array_distinct(F.transform(kept, lambda x: sql_table_ref(x, default_schema))))
 
 
