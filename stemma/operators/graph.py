@@ -105,14 +105,11 @@ def around(ids: Sequence[str], edges: DataFrame, assets: DataFrame) -> tuple[Dat
 
 
 def lineage_requests(requests: DataFrame) -> DataFrame:
-    """Trimmed asset_id and a valid direction per request, each combination once."""
+    """Trimmed asset_id and a valid direction per request."""
     wanted = F.lower(strip(F.coalesce("direction", F.lit("both"))))
-    return (
-        requests.select(
-            strip(F.coalesce("asset_id", F.lit(""))).alias("asset_id"),
-            F.when(wanted.isin(UPSTREAM, DOWNSTREAM), wanted).otherwise("both").alias("direction"),
-        )
-        .distinct()
+    return requests.select(
+        strip(F.coalesce("asset_id", F.lit(""))).alias("asset_id"),
+        F.when(wanted.isin(UPSTREAM, DOWNSTREAM), wanted).otherwise("both").alias("direction"),
     )
 
 
@@ -125,11 +122,17 @@ def asset_lineage(requests: DataFrame, edges: DataFrame, assets: DataFrame) -> D
     registered = assets.select("asset_id", F.lit(True).alias("_registered"))
     wanted = (
         lineage_requests(requests)
+        .distinct()
         .join(registered, "asset_id", "left")
         .select("asset_id", "direction", F.col("_registered").isNotNull().alias("asset_known"))
     )
-    asked = (F.col("direction") == "both") | (F.col("direction") == F.col("side"))
-    found = edge_ends(edges).join(wanted, "asset_id", "inner").where(asked)
+    # One row per wanted side: the edges then join on (asset_id, side), for which both
+    # inputs are shuffled anew, the form in which adaptive execution splits a hub.
+    sides = F.when(
+        F.col("direction") == "both", F.array(F.lit(UPSTREAM), F.lit(DOWNSTREAM))
+    ).otherwise(F.array("direction"))
+    asked = wanted.withColumn("side", F.explode(sides))
+    found = edge_ends(edges).join(asked, ["asset_id", "side"], "inner")
 
     counts = degree_counts(edges).select("asset_id", "upstream_count", "downstream_count")
     on_side = (
@@ -374,7 +377,10 @@ def change_impact(requests: DataFrame, edges: DataFrame, assets: DataFrame) -> D
 
 def affected_assets(requests: DataFrame, edges: DataFrame, assets: DataFrame) -> DataFrame:
     """Downstream neighbours of every distinct change target."""
-    targets = resolve_change_targets(requests).select("asset_id").where(F.col("asset_id") != "").distinct()
+    # Distinct with a second column: the join below then reads two plain shuffles, the
+    # form in which adaptive execution splits a hub.
+    resolved = resolve_change_targets(requests).where(F.col("asset_id") != "")
+    targets = resolved.select("asset_id", "source").distinct()
     ends = one_side(edges, DOWNSTREAM).join(targets, "asset_id", "left_semi")
     return describe_neighbours(ends, assets)
 
