@@ -206,6 +206,7 @@ def best_fit_places(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndar
                 full, left = full + 1, 0
             if full < count:
                 tree.add(rest, first + full, count - full)
+    out.sort()
     return np.array(out, dtype=np.int64).reshape(-1, 4)
 
 
