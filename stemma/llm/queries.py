@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import exact_dedup, mixing, packing, warc
+from stemma.llm import exact_dedup, mixing, ngram_join, packing, substring_dedup, warc
 from stemma.session import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,18 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@_query("op6_substring_dedup")
+def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of each document that other documents have too, and what would be removed."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("key")
+
+
+@_query("op8_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at five words and a similarity of 0.8."""
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).drop("key")
+
+
 @_query("op9_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
