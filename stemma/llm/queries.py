@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import exact_dedup, mixing, ngram_join, packing, substring_dedup, warc
+from stemma.llm import exact_dedup, mixing, ngram_join, packing, quality_knn, substring_dedup, warc
 from stemma.session import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,14 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+@_query("op1_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from the votes of labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    voters = quality_knn.train(docs, table(spark, sf_dir, "labels"))
+    return quality_knn.scored(docs, voters).drop("key")
+
+
 @_query(
     "op4_warc_round_trip",
     """
