@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import exact_dedup, mixing, ngram_join, packing, quality_knn, substring_dedup, warc
+from stemma.llm import exact_dedup, html_text, mixing, ngram_join, packing, perplexity, quality_knn, secrets, substring_dedup, warc
 from stemma.session import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,19 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.scored(docs, voters).drop("key")
 
 
+@_query("op2_ngram_perplexity")
+def ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures of every document and whether its perplexity lies in its language's band."""
+    return perplexity.judged(table(spark, sf_dir, "documents"))
+
+
+@_query("op3_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by patterns and by the ratio of two models trained on all of them."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.find_secrets(docs, secrets.log_ratio(secrets.count_pairs(docs)))
+
+
 @_query(
     "op4_warc_round_trip",
     """
@@ -79,6 +92,12 @@ def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("key")
 
 
+@_query("op7_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 @_query("op8_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document at five words and a similarity of 0.8."""
