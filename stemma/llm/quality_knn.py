@@ -242,3 +242,19 @@ def scored(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: st
         "doc_id", "key", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def predicted_rows(docs: DataFrame, voters: Voters, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns and in no order, that are not predicted as label 0. The rows are not moved."""
+    sent = docs.sparkSession.sparkContext.broadcast(vars(voters))
+    at = docs.columns.index(text_col)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = term_counter()
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                counts = counter([(t or "").encode() for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array(vote(counts, Voters(**sent.value)) >= THRESHOLD))
+
+    return docs.mapInArrow(choose, docs.schema)

@@ -1,5 +1,9 @@
-"""All queries of this subpackage with those of the pipeline on top of it."""
+"""All queries of this subpackage with the pipeline on top of it."""
 
-from stemma.llm.queries import QUERIES, SQL
+import corpus_pipeline
 
-__all__ = ["QUERIES", "SQL"]
+from stemma.llm.queries import QUERIES as _OPERATORS
+from stemma.llm.queries import SQL as _SQL
+
+QUERIES = _OPERATORS | {"pipeline": corpus_pipeline.run}
+SQL = _SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
