@@ -68,6 +68,8 @@ def record_plan(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> D
         .where("n > 1")
         .drop("n")
     )
+    # Written, so that its size is known: few groups are broadcast by Spark, many meet the pages in a shuffle.
+    shared = stored(shared, "warc-shared")
     return (
         rows.join(shared, ["wide", "digest", "bytes"], "left")
         .withColumn("response_id", F.when(~F.col("response_id").eqNullSafe(F.col("page_id")), F.col("response_id")))
@@ -76,10 +78,13 @@ def record_plan(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> D
 
 
 def write_archives(
-    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+    compression: str = "gzip",
 ) -> None:
     """One WARC record per page below ``path``, a folder that all executors share.
 
+    ``compression`` is gzip (a file is read by one task) or none (a file can be split).
+
     Null html is an empty payload. Of pages with equal payloads of ``LEAST_SHARED`` bytes or more, the one with
     the largest id is the response; rows tied on that id are all responses. A null id is never
     the largest unless all are null. Control characters and spaces in a url are percent-encoded.
@@ -102,33 +107,57 @@ def write_archives(
         F.lit("\r\n" + HTTP_HEAD),
     )
     records = plan.select(F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload"))).alias("value"))
-    records.write.option("lineSep", RECORD_END).text(path)
+    records.write.option("lineSep", RECORD_END).option("compression", compression).text(path)
 
 
-def segments(spark: SparkSession, path: str) -> DataFrame:
-    """Archives cut at every version line, with the offset at which the line stands, as a stored table.
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Archives cut at every version line: where each part stands, its header lines and the bytes it claims.
 
-    The text before the first version line of a file (none in a sound archive) is left out.
+    A plan that is read anew each time: (file, split, line) name the same part while the files stay as they are.
     """
-    lines = (
-        spark.read.option("lineSep", VERSION).text(path)
-        .select(
-            F.col("value").alias("body"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("split"),
-            F.monotonically_increasing_id().alias("line"),
-            F.octet_length("value").cast("long").alias("size"),
-        )
+    lines = spark.read.option("lineSep", VERSION).text(path).select(
+        F.col("value").alias("body"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"),
+        F.octet_length("value").cast("long").alias("size"),
     )
-    end = F.instr("body", RECORD_END)
-    head = F.when(end > 0, F.expr("substring(body, 1, instr(body, '\\r\\n\\r\\n') - 1)"))
-    number = F.regexp_extract(F.concat(F.lit("\r\n"), head), r"(?i)\r\nContent-Length:[ \t]*([0-9]{1,18})[ \t]*(?:\r\n|$)", 1)
-    lines = stored(
+    head = F.when(F.instr("body", RECORD_END) > 0, F.substring_index("body", RECORD_END, 1))
+    number = F.regexp_extract(F.concat(F.lit("\r\n"), "head"), r"(?i)\r\nContent-Length:[ \t]*([0-9]{1,18})[ \t]*(?:\r\n|$)", 1)
+    return (
         lines.withColumn("head", head)
         .withColumn("content", F.when(number != "", number.cast("long")))
-        .withColumn("reach", F.octet_length("head") + 2 * len(RECORD_END) + F.col("content")),
-        "warc-lines",
+        .withColumn("reach", F.octet_length("head") + 2 * len(RECORD_END) + F.col("content"))
     )
+
+
+def _with_payload(lines: DataFrame) -> DataFrame:
+    """``lines`` (head, content, body) with the payload: what comes after the HTTP header of the block."""
+    block = F.expr("substring(cast(body as binary), cast(octet_length(head) + 5 as int), cast(content as int))")
+    http = F.substring_index(F.col("block").cast("string"), RECORD_END, 1)
+    return (
+        lines.withColumn("block", block)
+        .withColumn("http", http)
+        .withColumn("payload", F.expr("substring(block, cast(octet_length(http) + 5 as int))"))
+        .drop("block", "http", "body")
+    )
+
+
+def _digests(rows: DataFrame) -> DataFrame:
+    """``rows`` with payload_bytes and payload_digest in place of the payload."""
+    return rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn(
+        "payload_digest", F.sha1("payload")
+    ).drop("payload")
+
+
+def segments(spark: SparkSession, path: str) -> DataFrame:
+    """Candidate records of all archives as a stored table without their texts.
+
+    file, split, line, size, offset of the version line, next (offset of the successor), head, and the
+    payload's size and digest as far as the segment holds it. The text before the first version line of a file (none in a
+    sound archive) is left out.
+    """
+    lines = stored(_digests(_with_payload(_lines(spark, path))), "warc-lines")
     step = F.lit(len(VERSION)).cast("long")
     in_split = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     of_file = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -136,15 +165,15 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
         "file", "split", F.coalesce(F.sum("length").over(of_file), F.lit(0)).alias("split_start")
     )
     placed = (
-        lines.select("file", "split", "line", "size", "reach")
-        .withColumn("in_split", F.coalesce(F.sum(F.col("size") + step).over(in_split), F.lit(0)))
+        lines.withColumn("in_split", F.coalesce(F.sum(F.col("size") + step).over(in_split), F.lit(0)))
         .join(starts, ["file", "split"])
         # The version line stands before the body, so it starts that much earlier.
         .withColumn("offset", F.col("split_start") + F.col("in_split") - step)
         .where("offset >= 0")
-        .select("file", "split", "line", "size", "offset", (F.col("offset") + step + F.col("reach")).alias("next"))
+        .withColumn("next", F.col("offset") + step + F.col("reach"))
+        .select("file", "split", "line", "size", "offset", "next", "head", "payload_bytes", "payload_digest")
     )
-    return lines.select("file", "split", "line", "body", "head", "content").join(placed, ["file", "split", "line"])
+    return stored(placed, "warc-segments")
 
 
 def _block_exits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,30 +273,32 @@ def reachable(candidates: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     return marked.mapInPandas(_in_block, "file string, offset long, next long")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: file, offset, head (its header lines) and payload (binary, after the HTTP header).
+def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Per record: file, offset, head (its header lines), and the payload (binary, after the HTTP header).
 
-    A version line inside a payload is part of it: the segments from a record to its successor are joined.
-    A last record that its file does not hold completely is left out.
+    Without ``payloads`` its payload_bytes and payload_digest instead: then the texts of records are
+    digested where they are read and not moved. A version line inside a payload is part of it: the segments from a
+    record to its successor are joined. A last record that its file does not hold completely is left out.
     """
-    cut = stored(segments(spark, path), "warc-segments")
-    places = cut.select("file", "offset", "next", "size")
-    records = reachable(places).select("file", "offset", F.col("offset").alias("record"))
+    cut = segments(spark, path)
+    records = reachable(cut.select("file", "offset", "next")).select("file", "offset", F.col("offset").alias("record"))
     until = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     after = F.col("offset") + len(VERSION) + F.col("size")
+    real = F.col("record").isNotNull()
     owned = stored(
-        places.join(records, ["file", "offset"], "left")
-        .withColumn("whole", F.col("record").isNotNull() & (F.col("next") == after))
+        cut.join(records, ["file", "offset"], "left")
+        .withColumn("whole", real & (F.col("next") == after))
         .withColumn("owner", F.last("record", True).over(until))
-        .select("file", "offset", "whole", "owner", F.when(F.col("record").isNotNull(), F.col("next")).alias("end")),
+        .withColumn("end", F.when(real, F.col("next")))
+        .drop("record", "next"),
         "warc-owned",
     )
-    plain = cut.join(owned.where("whole"), ["file", "offset"], "left_semi").select("file", "offset", "head", "content", "body")
     # Only records with a version line in their payload: their segments meet, at most one record's bytes.
     split = owned.where("end is not null and not whole").select("file", "owner", F.col("end").alias("record_end"))
-    parts = owned.select("file", "offset", "owner").join(split, ["file", "owner"])
+    parts = stored(owned.join(split, ["file", "owner"]).select("file", "split", "line", "offset", "owner", "record_end", "size"), "warc-parts")
+    bodies = _lines(spark, path).drop("size", "reach")
     joined = (
-        cut.join(parts, ["file", "offset"])
+        bodies.join(parts, ["file", "split", "line"])
         .groupBy("file", "owner", "record_end")
         .agg(
             F.sort_array(F.collect_list(F.struct("offset", "body"))).alias("parts"),
@@ -280,16 +311,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             F.array_join(F.transform("parts", lambda p: p["body"]), VERSION).alias("body"),
         )
     )
-    block = F.expr("substring(cast(body as binary), cast(octet_length(head) + 5 as int), cast(content as int))")
-    return (
-        plain.unionByName(joined)
-        .select("file", "offset", "head", block.alias("block"))
-        .withColumn("http", F.expr("substring_index(cast(block as string), '\\r\\n\\r\\n', 1)"))
-        .select(
-            "file", "offset", "head",
-            F.expr("substring(block, cast(octet_length(http) + 5 as int))").alias("payload"),
-        )
-    )
+    joined = _with_payload(joined).drop("content")
+    plain = owned.where("whole").select("file", "split", "line", "offset", "head", "payload_bytes", "payload_digest")
+    if not payloads:
+        return plain.drop("split", "line").unionByName(_digests(joined))
+    found = bodies.join(plain.select("file", "split", "line", "offset"), ["file", "split", "line"])
+    return _with_payload(found).select("file", "offset", "head", "payload").unionByName(joined)
 
 
 def header(name: str) -> Column:
@@ -299,7 +326,7 @@ def header(name: str) -> Column:
 
 
 def page_records(records: DataFrame) -> DataFrame:
-    """Per record read back: page_id, payload_bytes, payload_digest, record_type and refers_to.
+    """Per record read back without payloads: page_id, payload_bytes, payload_digest, record_type and refers_to.
 
     A revisit has the figures of the response that it refers to, found by page id and digest.
     """
@@ -307,7 +334,7 @@ def page_records(records: DataFrame) -> DataFrame:
         header("X-Page-ID").try_cast("long").alias("page_id"), header("WARC-Type").alias("record_type"),
         header("X-Refers-To-Page-ID").try_cast("long").alias("refers_to"),
         F.substring_index(header("WARC-Payload-Digest"), ":", -1).alias("told"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
+        "payload_bytes", "payload_digest",
     )
     read = stored(read, "warc-read")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
