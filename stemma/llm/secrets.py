@@ -28,11 +28,11 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Words of letters that train the model of ordinary identifiers.
 ORDINARY = r"[A-Za-z_]{4,40}"
 #: Log-likelihood ratio per character above which a string is random.
-MARGIN = 0.35
+MARGIN = 1.5
 #: Characters of the models: all others are one more.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Added to each pair's count.
-SMOOTHING = 0.5
+#: Added to each pair's count in the models of ordinary and of random strings: random ones come close to uniform.
+SMOOTHING = (0.05, 5.0)
 #: States of a model: the alphabet, all others, and the edge of a string.
 STATES = len(ALPHABET) + 2
 
@@ -113,7 +113,7 @@ def count_pairs(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def log_ratio(counts: DataFrame) -> np.ndarray:
     """Log-likelihood ratio of random over ordinary per character pair, from at most 2 x ``STATES``**2 counts."""
-    table = np.full((2, STATES, STATES), SMOOTHING)
+    table = np.broadcast_to(np.reshape(SMOOTHING, (2, 1, 1)), (2, STATES, STATES)).copy()
     for label, pair, n in counts.collect():
         table[label, pair // STATES, pair % STATES] += n
     probability = np.log(table / table.sum(axis=2, keepdims=True))
