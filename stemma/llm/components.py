@@ -11,34 +11,42 @@ from stemma.llm.common import stored
 def connected_components(edges: DataFrame) -> DataFrame:
     """(vertex, component) for every end of ``edges`` (a, b); a component is named by its smallest vertex.
 
-    Each round a vertex takes the smallest name among itself and its neighbours and then the name of that
-    vertex (pointer jumping), until nothing changes. A round's result is a stored table. Names are
-    combined before the shuffle, so a hub is no hot key.
+    Each round a vertex takes the smallest name among itself and its neighbours, and then the name which that
+    vertex took. The edges are then contracted to these names, so every round has at most half
+    of the vertices and the work shrinks with it. A round's result is a stored table, and
+    smallest names are combined before the shuffle, so a hub is no hot key.
     """
-    both = stored(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "component-edges",
-    )
-    names = stored(
-        both.groupBy("a").agg(F.min("b").alias("low")).select(
-            F.col("a").alias("vertex"), F.least("a", "low").alias("component")
-        ),
-        "component-names",
-    )
+    left = stored(_ordered(edges, "a", "b"), "component-edges")
+    rounds = []
     while True:
-        near = (
-            both.join(names.select(F.col("vertex").alias("b"), F.col("component").alias("far")), "b")
-            .groupBy(F.col("a").alias("vertex"))
-            .agg(F.min("far").alias("far"))
-        )
-        lower = names.join(near, "vertex").select(
-            "vertex", F.col("component").alias("before"), F.least("component", "far").alias("component")
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooked = stored(
+            both.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("low")).select(
+                "vertex", F.least("vertex", "low").alias("near")
+            ),
+            "component-names",
         )
-        jump = names.select(F.col("vertex").alias("component"), F.col("component").alias("next"))
-        after = stored(
-            lower.join(jump, "component").select("vertex", "before", F.least("component", "next").alias("component")),
+        if hooked.limit(1).count() == 0:
+            break
+        beyond = hooked.select(F.col("vertex").alias("near"), F.col("near").alias("component"))
+        names = stored(hooked.join(beyond, "near").select("vertex", "component"), "component-names")
+        rounds.append(names)
+        start = names.select(F.col("vertex").alias("a"), F.col("component").alias("from"))
+        end = names.select(F.col("vertex").alias("b"), F.col("component").alias("to"))
+        left = stored(_ordered(left.join(start, "a").join(end, "b"), "from", "to"), "component-edges")
+    if not rounds:
+        return hooked.select("vertex", F.col("near").alias("component"))
+    found = rounds[-1]
+    for earlier in reversed(rounds[:-1]):
+        later = found.select(F.col("vertex").alias("component"), F.col("component").alias("final"))
+        found = stored(
+            earlier.join(later, "component", "left").select("vertex", F.coalesce("final", "component").alias("component")),
             "component-names",
         )
-        names = after.select("vertex", "component")
-        if after.where(F.col("before") != F.col("component")).limit(1).count() == 0:
-            return names
+    return found
+
+
+def _ordered(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct edges between different ends, the smaller end first."""
+    ends = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return ends.where(F.col("a") != F.col("b")).distinct()

@@ -171,17 +171,20 @@ def _sides(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.nda
     return list(first), rows, np.flatnonzero(side == low), np.flatnonzero(side == high)
 
 
-def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, count: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between ``left`` and ``right`` (rows and columns of ``linked``)."""
-    label = np.arange(count)
-    out = []
+def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, names: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Stars that connect what the links between ``left`` and ``right`` (rows and columns of ``linked``) connect.
+
+    The centre is the smallest name, so stars of several buckets with the same classes have the same edges.
+    """
+    label = np.arange(len(names))
     for r, i in enumerate(left):
-        hits = right[linked[r]]
-        for other in np.unique(label[hits]):
+        for other in np.unique(label[right[linked[r]]]):
             if other != label[i]:
-                out.append((int(i), int(hits[label[hits] == other][0])))
                 label[label == other] = label[i]
-    return out
+    members: dict[int, list[bytes]] = {}
+    for name, group in zip(names, label.tolist()):
+        members.setdefault(group, []).append(name)
+    return [(centre, m) for group in members.values() if (centre := min(group)) for m in group if m != centre]
 
 
 EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())])
@@ -214,7 +217,7 @@ def candidate_edges(reps: DataFrame, least: int) -> DataFrame:
                     out.append((names[0], names[1], 0))
             else:
                 linked = np.stack([(low[right] == low[i]).sum(axis=1) >= least for i in left])
-                out += [(names[i], names[j], 0) for i, j in _forest(linked, left, right, len(names))]
+                out += [(a, b, 0) for a, b in _forest(linked, left, right, names)]
             if len(out) > 20_000:
                 yield _edge_batch(out)
                 out = []
@@ -276,7 +279,7 @@ def verified_links(family: DataFrame, texts: DataFrame, n: int, similarity: floa
             if left[0] != right[0]:
                 links[right] += (linked * size[left][:, None]).sum(axis=0)
             out += [(names[i], None, int(links[i])) for i in np.flatnonzero(links)]
-            out += [(names[i], names[j], 0) for i, j in _forest(linked, left, right, len(names))]
+            out += [(a, b, 0) for a, b in _forest(linked, left, right, names)]
             if len(out) > 20_000:
                 yield _edge_batch(out)
                 out = []
