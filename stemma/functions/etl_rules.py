@@ -26,10 +26,10 @@ def is_object(v: Column) -> Column:
 
 
 def jobs_of(doc: Column) -> Column:
-    """Job objects of one parsed file: a list root, a list under a known key, or the root itself."""
+    """Filled job objects of one parsed file: a list root, a list under a known key, or the root itself."""
     candidates = [_list_of(doc, "$")] + [_list_of(doc, f"$.{k}") for k in JOB_LIST_KEYS]
     whole = F.when(is_object(doc), F.array(doc))
-    return F.filter(F.coalesce(*candidates, whole), is_object)
+    return F.filter(F.coalesce(*candidates, whole), lambda v: is_object(v) & (F.schema_of_variant(v) != "OBJECT<>"))
 
 
 def _text(job: Column, field: str) -> Column:

@@ -29,11 +29,27 @@ STRICT_EMPTY = "SQL query is empty"
 STRICT_DANGEROUS = "Query contains dangerous keyword: "
 STRICT_NO_SELECT = "Query must contain SELECT statement"
 
-NAME = r"""[\w."`$]+"""
-TABLE_INTRO = r"\b(?:from|join|into|update|table)\s+(?:if\s+(?:not\s+)?exists\s+|only\s+)?"
+# A quoted part is one unit, blanks included.
+NAME_PART = r"""(?:"[^"]+"|`[^`]+`|[\w$]+|\*)"""
+NAME = "(?>" + NAME_PART + r"(?:\." + NAME_PART + ")*)"
+TABLE_INTRO = (
+    r"(?:\b(?:from|join)\s*(?:\(\s*)*(?<=[\s(])|\b(?:into|using|(?<!\bon\s{1,9})update|table)\s+)"
+    r"(?:if\s+(?:not\s+)?exists\s+|only\s*(?<=[\s])\(?\s*)?"
+)
 ONE_REF = NAME + r"(?:\s+(?:as\s+)?\w+)?"
+MORE_REFS = r"(?:\s*,\s*" + ONE_REF + ")+"
 TABLE_AFTER_WORD = "(?iU)" + TABLE_INTRO + "(" + NAME + ")"
-TABLE_LIST = "(?iU)" + TABLE_INTRO + "(" + ONE_REF + r"(?:\s*,\s*" + ONE_REF + ")+)"
+TABLE_LIST = "(?iU)" + TABLE_INTRO + "(" + ONE_REF + MORE_REFS + ")"
+# A comma after a join condition goes on with the FROM list.
+CLAUSE_WORDS = (
+    "where|group|order|having|limit|union|except|intersect|join|left|right|inner|full|cross|natural|select|from|set|"
+    "when|window|returning|then|do|conflict|update|delete"
+)
+LIST_AFTER_ON = (
+    r"(?iU)\bon\s+(?:(?!\b(?:" + CLAUSE_WORDS + r")\b)[^,()])++(" + MORE_REFS + ")"
+)
+FUNCTION_IN_FROM = r"(?iU)(\b(?:from|join)\s+)(?!(?:only|lateral|values|select)\b)" + NAME + r"\s*\([^()]*\)"
+FROM_CALLS = r"(?iU)\b(?:extract|substring|trim|overlay|position)\s*$"
 CTE_FIRST = r"(?iU)\bwith\s+(?:recursive\s+)?(\w+)\s*(?:\([^()]*\)\s*)?as\b"
 CTE_NEXT = r"(?iU),\s*(\w+)\s*(?:\([^()]*\)\s*)?as\s*(?:not\s+)?(?:materialized\s*)?\("
 JOIN = (
@@ -61,11 +77,51 @@ def is_blank(sql: Column) -> Column:
 
 
 def mask(sql: Column) -> Column:
-    """Comments, quoted literals and calls that use FROM as an argument word become blanks."""
-    plain = F.regexp_replace(sql, r"'[^']*'|--[^\n]*|/\*[\s\S]*?\*/", " ")
-    return F.regexp_replace(
-        plain, r"(?iU)\b(?:extract|substring|trim|overlay|position)\s*\((?:[^()]++|\([^()]*\))*+\)", " "
+    """Comments, quoted literals and whatever uses FROM as a word of an expression become blanks.
+
+    Calls that use FROM are followed through parentheses of any depth.
+    """
+    plain = F.regexp_replace(
+        sql, r"(?i)\be'(?:[^'\\]|\\.|'')*+'|'[^']*'|\$(\w*)\$[\s\S]*?\$\1\$|--[^\n]*|/\*[\s\S]*?\*/", " "
     )
+    plain = F.regexp_replace(plain, r"(?iU)\bis\s+(?:not\s+)?distinct\s+from\b", " = ")
+
+    def step(state: Column, part: Column) -> Column:
+        opens, closes = F.startswith(part, F.lit("(")), F.startswith(part, F.lit(")"))
+        depth = state["depth"] + opens.cast("int") - closes.cast("int")
+        begins = state["inside"].isNull() & opens & state["text"].rlike(FROM_CALLS)
+        ends = state["inside"].isNotNull() & closes & (depth <= state["inside"])
+        text = (
+            F.when(begins, F.regexp_replace(state["text"], FROM_CALLS, " "))
+            .when(ends, F.concat(state["text"], F.lit(" "), F.substring(part, 2, 2**31 - 1)))
+            .when(state["inside"].isNotNull(), state["text"])
+            .otherwise(F.concat(state["text"], part))
+        )
+        inside = F.when(begins, state["depth"]).when(ends, F.lit(None)).otherwise(state["inside"])
+        return F.struct(depth.alias("depth"), inside.cast("int").alias("inside"), text.alias("text"))
+
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("inside"), F.lit("").alias("text"))
+    masked = F.aggregate(F.split(plain, "(?=[()])"), begin, step)["text"]
+    calls = F.when(F.contains(plain, F.lit("(")), masked).otherwise(plain)
+    return F.regexp_replace(calls, FUNCTION_IN_FROM, "$1lateral")
+
+
+def outer_text(sql: Column) -> Column:
+    """The text outside all parentheses, whatever their depth; an outermost pair becomes '#'."""
+
+    def step(state: Column, part: Column) -> Column:
+        opens, closes = F.startswith(part, F.lit("(")), F.startswith(part, F.lit(")"))
+        depth = F.greatest(state["depth"] + opens.cast("int") - closes.cast("int"), F.lit(0))
+        kept = (
+            F.when(opens & (state["depth"] == 0), F.lit("#"))
+            .when(closes & (depth == 0), F.substring(part, 2, 2**31 - 1))
+            .when(depth == 0, part)
+            .otherwise(F.lit(""))
+        )
+        return F.struct(depth.alias("depth"), F.concat(state["text"], kept).alias("text"))
+
+    begin = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+    return F.aggregate(F.split(sql, "(?=[()])"), begin, step)["text"]
 
 
 def cte_names(masked: Column) -> Column:
@@ -79,7 +135,10 @@ def cte_names(masked: Column) -> Column:
 
 
 def _names(masked: Column) -> Column:
-    lists = F.regexp_extract_all(masked, F.lit(TABLE_LIST), F.lit(1))
+    lists = F.concat(
+        F.regexp_extract_all(masked, F.lit(TABLE_LIST), F.lit(1)),
+        F.regexp_extract_all(masked, F.lit(LIST_AFTER_ON), F.lit(1)),
+    )
     listed = F.flatten(F.transform(lists, lambda x: F.split(x, ",")))
     return F.concat(
         F.regexp_extract_all(masked, F.lit(TABLE_AFTER_WORD), F.lit(1)),
@@ -132,10 +191,7 @@ def statement_type(masked: Column) -> Column:
 
 def select_columns(masked: Column, kind: Column) -> Column:
     """Sorted plain column names of the first SELECT list (best effort)."""
-    body = masked
-    for _ in range(3):
-        body = F.regexp_replace(body, r"\([^()]*\)", "#")
-    items = F.split(F.regexp_extract(body, r"(?isU)\bselect\s+(?:distinct\s+)?(.*?)\bfrom\b", 1), ",")
+    items = F.split(F.regexp_extract(outer_text(masked), r"(?isU)\bselect\s+(?:distinct\s+)?(.*?)\bfrom\b", 1), ",")
     plain = F.transform(
         items,
         lambda x: F.regexp_extract(

@@ -217,18 +217,17 @@ def load_order_line_facts(t: Inputs) -> DataFrame:
 select p_partkey as product_id, coalesce(s.line_revenue, 0.0::double) as line_revenue, coalesce(s.units_sold, 0.0::double) as units_sold
 from {{part}} left join (
  select l_partkey, sum({REVENUE})::double as line_revenue, sum(cast(l_quantity as decimal(12,2)))::double as units_sold
- from {{lineitem}} where l_shipdate >= date '1998-01-01' group by l_partkey) s on s.l_partkey = p_partkey
+ from {{lineitem}} group by l_partkey) s on s.l_partkey = p_partkey
 union all
 select l_partkey, sum({REVENUE})::double, sum(cast(l_quantity as decimal(12,2)))::double
-from {{lineitem}} where l_shipdate >= date '1998-01-01' and l_partkey not in (select p_partkey from {{part}}) group by l_partkey
+from {{lineitem}} where l_partkey not in (select p_partkey from {{part}}) group by l_partkey
 """,
 )
 def load_product_sales_fact(t: Inputs) -> DataFrame:
     stored = t("part").select(
         F.col("p_partkey").alias("product_id"), F.lit(0.0).alias("line_revenue"), F.lit(0.0).alias("units_sold")
     )
-    recent = t("lineitem").where(F.col("l_shipdate") >= F.lit(RECENT).cast("date"))
-    new = recent.groupBy(F.col("l_partkey").alias("product_id")).agg(
+    new = t("lineitem").groupBy(F.col("l_partkey").alias("product_id")).agg(
         _double(line_revenue()).alias("line_revenue"),
         _double(F.col("l_quantity").cast("decimal(12,2)")).alias("units_sold"),
     )
