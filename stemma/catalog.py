@@ -6,7 +6,9 @@ the method also takes a DataFrame of many; a single value is a batch of one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.functions import sql_rules as R
@@ -20,6 +22,10 @@ from stemma.schemas import ASSETS, EDGES
 from stemma.sources import snapshots as SN
 
 
+def _names(allowed: Sequence[str]) -> Column:
+    return F.array(*[F.lit(a) for a in allowed]).cast("array<string>")
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, store: str):
         self.spark, self.store = spark, store
@@ -39,7 +45,7 @@ class Catalog:
     def _batch(self, value: str | DataFrame, column: str) -> DataFrame:
         if isinstance(value, DataFrame):
             return value
-        return self.spark.createDataFrame([(value,)], f"{column} string")
+        return self.spark.createDataFrame([(value if column == "sql" else value.strip(),)], f"{column} string")
 
     def _graph(self, *ids: str | DataFrame) -> tuple[DataFrame, DataFrame]:
         """Edges and assets; for ids given as values only the part around them."""
@@ -89,6 +95,14 @@ class Catalog:
             )
         return G.change_impact(asset, self.edges, self.assets)
 
+    def affected_assets(self, asset: str | DataFrame, change: str = "") -> DataFrame:
+        """The assets behind the counts of ``assess_change_impact``, once per change target."""
+        if not isinstance(asset, DataFrame):
+            asset = self.spark.createDataFrame(
+                [(0, asset, change)], "request_id long, field_asset string, change_text string"
+            )
+        return G.affected_assets(asset, self.edges, self.assets)
+
     def compare_data_assets(self, asset1: str | DataFrame, asset2: str = "") -> DataFrame:
         """A DataFrame of pairs has asset1 and asset2."""
         pairs, graph = asset1, self._graph(asset1, asset2)
@@ -110,12 +124,14 @@ class Catalog:
         hits = V.stored_hits(questions, self.vectors, top_k)
         return V.question_prompts(V.context_of_hits(questions, hits))
 
-    def query_results(self, replies: DataFrame) -> DataFrame:
-        """Checked results of model replies (column ``reply``)."""
-        return Q.reply_results(replies)
+    def query_results(self, replies: DataFrame, allowed: Sequence[str] = ()) -> DataFrame:
+        """Checked results of model replies (column ``reply``); ``allowed`` tables, none for no check."""
+        listed = replies.withColumn("_allowed", _names(allowed))
+        return Q.reply_results(listed, allowed="_allowed").drop("_allowed")
 
-    def validate_query(self, sql: str | DataFrame) -> DataFrame:
-        checked = Q.validate_sql_texts(self._batch(sql, "sql"))
+    def validate_query(self, sql: str | DataFrame, allowed: Sequence[str] = ()) -> DataFrame:
+        listed = self._batch(sql, "sql").withColumn("_allowed", _names(allowed))
+        checked = Q.validate_sql_texts(listed, allowed="_allowed").drop("_allowed")
         result = R.validation_result(F.when(~F.col("valid"), F.col("reason")))
         return checked.withColumn("_r", result).drop("valid", "reason").select("*", "_r.*").drop("_r")
 

@@ -175,15 +175,20 @@ def _block_hits(k: int, queries: pa.Table, vectors: pa.Table, schema: pa.Schema)
     return pa.table(columns, names=schema.names)
 
 
+def _filled(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int = 5) -> DataFrame:
     """The ``top_k`` nearest vectors of each query by squared L2 distance.
 
     Input (query_id, embedding) and (id, embedding); output (query_id, rank, id,
     distance, score). Distances count to six decimals, ties go by id. Only the
-    pivots and one row of figures per cell reach the driver.
+    pivots and one row of figures per cell reach the driver. Rows without a vector, or with nulls in
+    it, take no part.
     """
-    queries = queries.select("query_id", "embedding")
-    vectors = vectors.select("id", "embedding")
+    queries = _filled(queries.select("query_id", "embedding"))
+    vectors = _filled(vectors.select("id", "embedding"))
     kinds = dict(queries.dtypes), dict(vectors.dtypes)
     schema = f"query_id {kinds[0]['query_id']}, id {kinds[1]['id']}, distance double"
 

@@ -49,6 +49,9 @@ def test_lineage_and_usage(catalog, rows):
 def test_change_and_comparison(catalog, rows):
     impact = catalog.assess_change_impact("", "drop column x on customers")
     assert rows(impact, "asset_id", "affected_queries", "affected_etl", "risk_level") == [("public.customers", 1, 1, "low")]
+    affected = catalog.affected_assets("", "drop column x on customers")
+    assert sorted(r.neighbour_id for r in affected.collect()) == [LOAD, ORDERS]
+    assert catalog.analyze_data_usage(" public.customers ").first()["downstream_count"] == 2
     compared = catalog.compare_data_assets(ORDERS, LOAD)
     # Unregistered neighbours are the same item only with the same relationship type.
     assert rows(compared, "list_name", "neighbour_id") == [
@@ -73,6 +76,8 @@ def test_sql_tools(spark, catalog):
     assert len(catalog.suggest_optimizations("select * from a").first()["suggestions"]) == 1
     replies = spark.createDataFrame([("```sql\nselect 1\n```",)], "reply string")
     assert catalog.query_results(replies).first()["query"] == "select 1"
+    assert not catalog.validate_query("select * from a.x", allowed=["y"]).first()["valid"]
+    assert catalog.validate_query("select * from a.x", allowed=["x"]).first()["valid"]
 
 
 def test_browsing(catalog, rows):

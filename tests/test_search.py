@@ -122,3 +122,9 @@ def test_question_finds_the_matching_document(spark):
     )
     first = search.search_hits(q, docs, 1).collect()[0]
     assert (first.data_asset, first.relevance_score, first.total) == ("a", 1.0, 1)
+
+
+def test_rows_without_a_vector_take_no_part(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [None, 1.0])], "id string, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id int, embedding array<double>")
+    assert [(r.query_id, r.id) for r in search.vector_search(queries, vectors, 3).collect()] == [(1, "a")]
