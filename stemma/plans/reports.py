@@ -205,9 +205,7 @@ def load_order_line_facts(t: Inputs) -> DataFrame:
     )
     # Append only: earlier rows of the target are never touched by a later load.
     target = new_folder(t.spark, "order-line-fact")
-    early = F.coalesce(F.col("o_orderdate") < F.lit(RECENT).cast("date"), F.lit(True))
-    for batch in (early, ~early):
-        facts.where(batch).write.mode("append").parquet(target)
+    facts.write.mode("append").parquet(target)
     return t.spark.read.schema(facts.schema).parquet(target)
 
 

@@ -34,9 +34,12 @@ JDBC_RELATIONS = {
 
 
 def read_catalog(spark: SparkSession, url: str, properties: dict[str, str]) -> dict[str, DataFrame]:
-    """The catalog relations over JDBC; filters of the scans below are pushed to the warehouse."""
+    """The catalog relations over JDBC; filters of the scans below are pushed to the warehouse.
+
+    Rows come in portions of ``fetchsize``, so that no reader holds a whole relation.
+    """
     return {
-        name: spark.read.jdbc(url, relation, properties=properties)
+        name: spark.read.jdbc(url, relation, properties={"fetchsize": "10000", **properties})
         for name, relation in JDBC_RELATIONS.items()
     }
 
