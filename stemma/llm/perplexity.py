@@ -28,7 +28,7 @@ ORDER = 5
 BROADCAST_ENTRIES = 6_000_000
 #: Deviations that a text may lie below and above the median. Passages that many texts share are well known to the
 #: model and pull clean texts down, so the lower side is wider.
-WIDTHS = (5.5, 3.2)
+WIDTHS = (5.5, 2.6)
 #: Stands before the first character of a text; in a text it is read as U+FFFD.
 EDGE = 0x02
 #: Distinct n-grams that a counting task holds before it sends them.
