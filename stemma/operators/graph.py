@@ -134,17 +134,9 @@ def asset_lineage(requests: DataFrame, edges: DataFrame, assets: DataFrame) -> D
     asked = wanted.withColumn("side", F.explode(sides))
     found = edge_ends(edges).join(asked, ["asset_id", "side"], "inner")
 
-    counts = degree_counts(edges).select("asset_id", "upstream_count", "downstream_count")
-    on_side = (
-        F.when(F.col("direction") == UPSTREAM, F.col("upstream_count"))
-        .when(F.col("direction") == DOWNSTREAM, F.col("downstream_count"))
-        .otherwise(F.col("upstream_count") + F.col("downstream_count"))
-    )
-    alone = (
-        wanted.join(counts, "asset_id", "left")
-        .where(F.coalesce(on_side, F.lit(0)) == 0)
-        .select("asset_id", "direction", "asset_known")
-    )
+    # Only edges of asked ids take part; the rows of a hub are reduced to one per task.
+    answered = found.select("asset_id", "direction").distinct()
+    alone = wanted.join(answered, ["asset_id", "direction"], "left_anti")
     return describe_neighbours(found, assets).unionByName(alone, allowMissingColumns=True)
 
 
@@ -404,9 +396,12 @@ def compare_assets(pairs: DataFrame, edges: DataFrame, assets: DataFrame) -> Dat
         F.struct(F.lit(2).alias("who"), F.col("asset2").alias("asset_id")),
     )
     wanted = asked.select("asset1", "asset2", F.inline(members))
+    # Distinct with a second column: the join below then reads two plain shuffles, as in ``affected_assets``.
+    compared = wanted.select("asset_id", "who").distinct()
+    ends = edge_ends(edges).join(compared, "asset_id", "left_semi")
     # Copies of one item at one asset are counted before the pairs multiply them.
     items = (
-        describe_neighbours(edge_ends(edges), assets)
+        describe_neighbours(ends, assets)
         .groupBy("asset_id", "side", "neighbour_id", "relationship_type", "missing")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
