@@ -1,14 +1,15 @@
 """Quality rules with the perplexity of a character n-gram model.
 
-Spark counts every n-gram of ``ORDER`` characters of all texts by language and derives from these counts the
+Spark counts every n-gram of ``ORDER`` characters of all distinct texts by language and derives from these counts the
 modified Kneser-Ney probabilities of all orders (interpolated, three discounts per order and
 language). The model is held as sorted arrays of n-gram hashes with their log-probabilities and, for contexts,
 their back-off weights; tasks look n-grams up by binary search. A model of more than ``BROADCAST_ENTRIES`` entries is
 not sent to the tasks: then n-grams counted per text are joined with it instead.
 
 A text is rejected if its perplexity lies outside the band of its language: the median of that language's
-texts, with ``WIDTHS`` times their robust deviation, which grows for short texts as a mean of
-few characters does.
+distinct texts, with ``WIDTHS`` times their robust deviation, which grows for short texts as a mean of
+few characters does. Copies of a text count once in the model and in the band, so a text that most rows repeat
+does not decide what is usual.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import row_key, stored
+from stemma.llm.common import row_key, stored, whole_text
 from stemma.llm.text_arrays import RangeHash, random_bits, scrambled, word_hashes
 
 ORDER = 5
@@ -112,7 +113,11 @@ def _strings(grams: np.ndarray) -> pa.Array:
 
 
 def count_grams(docs: DataFrame, order: int = ORDER, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, gram, n) of every ``order``-gram of all texts; a task adds up its own before the shuffle."""
+    """(lang, gram, n) of every ``order``-gram of all distinct texts; a task adds up its own before the shuffle.
+
+    Texts are compared whole, and copies in one task merge before they are dealt out, so one text that many rows
+    repeat is one row per task.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict[str, _Counter] = {}
@@ -137,7 +142,7 @@ def count_grams(docs: DataFrame, order: int = ORDER, lang_col: str = "lang", tex
         for lang, counter in counters.items():
             yield from batch_of(lang, *counter.take())
 
-    rows = docs.select(language(F.col(lang_col)), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(language(F.col(lang_col)), F.col(text_col).cast("string").alias("text")).distinct()
     return rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -305,7 +310,7 @@ def figures(
     docs: DataFrame, model: dict | None, order: int = ORDER, id_col: str = "doc_id", lang_col: str = "lang",
     text_col: str = "text",
 ) -> DataFrame:
-    """Per row: doc_id, key, lang, the base figures, n_scored, and with a model the sums of -log p and its square."""
+    """Per row: doc_id, key, digest, lang, the base figures, n_scored, and with a model the sums of -log p and its square."""
     kind = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model) if model is not None else None
@@ -313,8 +318,8 @@ def figures(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RangeHash()
         for batch in batches:
-            langs = batch.column(2).to_pylist()
-            texts = [t or "" for t in batch.column(3).to_pylist()]
+            langs = batch.column(3).to_pylist()
+            texts = [t or "" for t in batch.column(4).to_pylist()]
             base = np.array([base_figures(t, hasher) for t in texts], dtype=np.int64).reshape(-1, 5)
             size = np.array([len(t) for t in texts], dtype=np.int64)
             sums = np.zeros((len(texts), 2))
@@ -334,10 +339,10 @@ def figures(
                         group, held = ([i], len(texts[i])) if i is not None else ([], 0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), batch.column(2), *[pa.array(base[:, k]) for k in range(5)],
+                    *[batch.column(c) for c in range(4)], *[pa.array(base[:, k]) for k in range(5)],
                     pa.array(size), pa.array(sums[:, 0]), pa.array(sums[:, 1]),
                 ],
-                ["doc_id", "key", "lang", *FIGURES, "n_scored", "nats", "squares"],
+                ["doc_id", "key", "digest", "lang", *FIGURES, "n_scored", "nats", "squares"],
             )
 
     def _add_scores(group: list[int], lang: str, texts: list[str], sums: np.ndarray) -> None:
@@ -355,10 +360,11 @@ def figures(
 
     rows = docs.select(
         F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"),
-        language(F.col(lang_col)), F.col(text_col).cast("string").alias("text"),
+        F.unhex(F.md5(whole_text(F.col(text_col)))).alias("digest"), language(F.col(lang_col)),
+        F.col(text_col).cast("string").alias("text"),
     )
     longs = ", ".join(f"{c} long" for c in [*FIGURES, "n_scored"])
-    return rows.mapInArrow(measure, f"doc_id {kind}, key long, lang string, {longs}, nats double, squares double")
+    return rows.mapInArrow(measure, f"doc_id {kind}, key long, digest binary, lang string, {longs}, nats double, squares double")
 
 
 def joined_scores(
@@ -416,9 +422,12 @@ def joined_scores(
 def bands(measured: DataFrame) -> DataFrame:
     """Per language: the median of -log p per character, the deviation of texts, and that of one character.
 
-    Taken over all texts that pass the base rules; sketches and sums are combined before the shuffle.
+    Taken over all distinct texts that pass the base rules; copies, sketches and sums are combined before the shuffle.
     """
-    rows = measured.where("not base_failed and n_scored > 0").withColumn("mean", F.col("nats") / F.col("n_scored"))
+    texts = measured.where("not base_failed and n_scored > 0").groupBy("lang", "digest").agg(
+        *[F.min(c).alias(c) for c in ("nats", "squares", "n_scored")]
+    )
+    rows = texts.withColumn("mean", F.col("nats") / F.col("n_scored"))
     middle = rows.groupBy("lang").agg(
         F.percentile_approx("mean", F.lit(0.5), F.lit(10_000)).alias("middle"),
         F.sum("nats").alias("all_nats"), F.sum("squares").alias("all_squares"), F.sum("n_scored").alias("chars"),
@@ -438,7 +447,7 @@ def judged(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, the base figures, base_failed, kept, perplexity and the band's edges.
 
-    The model is trained on all texts of ``docs``. A null text has no words and fails the base rules; its
+    The model is trained on all distinct texts of ``docs``. A null text has no words and fails the base rules; its
     perplexity is null. A null language is a language of its own. Repeated rows get equal results.
     """
     tables = model_tables(count_grams(docs, order, lang_col, text_col), order)

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stemma.llm import (
     exact_dedup, html_text, mixing, ngram_join, packing, perplexity, quality_knn, secrets, substring_dedup, warc,
@@ -409,6 +410,33 @@ def test_counts_cover_every_gram(spark, monkeypatch):
     assert {r.gram: r.n for r in perplexity.count_grams(docs, 3).collect()} == expected
 
 
+def test_copies_do_not_move_the_band(spark):
+    """A text that 60 % of the rows repeat: figures, bands and kept are those of the distinct texts."""
+    plain = [" ".join(words(120 + 7 * k, 500 + k)) for k in range(40)]
+    odd = "".join(chr(0x3041 + (k * k * 7 + k) % 80) + (" " if k % 5 == 4 else "") for k in range(700))
+    once = [(k, t, "a") for k, t in enumerate([*plain, odd])]
+    copies = [(100 + k, plain[0], "a") for k in range(60)]
+    as_en = lambda rows: documents(spark, rows).withColumn("lang", F.lit("en"))
+    grams = lambda rows: sorted(map(tuple, perplexity.count_grams(as_en(rows), 4).collect()))
+    assert grams(once + copies) == grams(once)
+    alone = {r.doc_id: r for r in perplexity.judged(as_en(once), order=4).collect()}
+    for limit in (perplexity.BROADCAST_ENTRIES, 0):
+        found = {r.doc_id: r for r in perplexity.judged(as_en(once + copies), order=4, broadcast_entries=limit).collect()}
+        assert len(found) == len(once) + len(copies)
+        assert all(r.kept == alone[r.doc_id if r.doc_id < 100 else 0].kept for r in found.values())
+        assert abs(found[1].highest - alone[1].highest) < 1e-3 * alone[1].highest
+    # The band by brute force: median and deviation of the means of the distinct texts.
+    means = np.log([r.perplexity for r in alone.values() if not r.base_failed])
+    middle = np.sort(means)[(len(means) - 1) // 2]
+    spread = np.sort(abs(means - middle))[(len(means) - 1) // 2] * 1.4826
+    below, above = perplexity.WIDTHS
+    for r in alone.values():
+        outer = (math.log(r.highest) - middle) / above
+        assert outer >= spread - 1e-9 and abs((middle - math.log(r.lowest)) / below - outer) < 1e-6
+        assert r.kept == (not r.base_failed and r.lowest <= r.perplexity <= r.highest)
+    assert all(alone[k].kept for k in range(40))
+
+
 def test_base_figures():
     hasher = RangeHash()
     eight = "a b c d e f g h"
