@@ -2,8 +2,9 @@
 
 Every block of text gives points for its length and commas to the elements around it: all to the nearest
 container, half to the next, a sixth to the one after. A container's points count by the share of its text that is not in
-links. The best container stays, with those of its siblings that score enough; if it is part of an article or
-main element, that element stays. Parts that are no article (menus, adverts and so on) are left out by element, role or name.
+links. The best container stays, with those of its siblings that score enough and what stands between them; if it is part
+of an article or main element, that element stays. Parts that are no article (menus, adverts and so on) are left out by
+element or role. A class, id or form lowers an element's points and leaves it out only if it holds little of the page's text.
 """
 
 from __future__ import annotations
@@ -36,12 +37,13 @@ TEXT_BLOCKS = frozenset("p li dd dt td th pre blockquote h1 h2 h3 h4 h5 h6 figca
 
 # What is no article: by element, by role and by a part of its class or id.
 LEFT_OUT = frozenset(
-    "nav footer aside form script style noscript iframe button select option textarea input template dialog svg canvas "
-    "object embed noembed noframes xmp menu head title math audio video map search fieldset label".split()
+    "nav footer aside script style noscript iframe button select option textarea input template dialog svg canvas "
+    "object embed noembed noframes xmp menu head title annotation annotation-xml audio video map search".split()
 )
 LEFT_OUT_ROLES = frozenset(
-    "navigation contentinfo complementary search dialog alert alertdialog menu menubar toolbar form banner status".split()
+    "navigation contentinfo complementary search dialog alert alertdialog menu menubar toolbar banner status".split()
 )
+FORMS = frozenset(("form", "fieldset"))
 LEFT_OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion nav navbar "
     "navigation menu menus submenu breadcrumb breadcrumbs sidebar aside footer foot masthead banner notice notices "
@@ -52,7 +54,18 @@ LEFT_OUT_NAMES = frozenset(
 #: Names of a page's head; inside an article they hold its title.
 HEAD_NAMES = frozenset(("header", "topbar", "head"))
 WHOLE = frozenset(("article", "main"))
-KEPT_ALWAYS = frozenset(("html", "body", "article", "main"))
+#: Their class and id say nothing of their text; nor do those of inline elements.
+KEPT_ALWAYS = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that belong to the text beside them.
+FLOW = TEXT_BLOCKS | frozenset("ul ol dl table figure section hr".split())
+
+#: A named element with more than this share of the page's unlinked text stays, as does a name that more than that share has in all.
+NAMED_SHARE, NAME_TOTAL = 1 / 4, 1 / 2
+#: What is left of the points of text in a named element that stays.
+LOWERED = 1 / 4
+#: A block beside the best container stays up to this share of its text in links.
+LINKED_SHARE = 1 / 4
 
 POINT_CHARS = 100
 MOST_LENGTH_POINTS = 3
@@ -76,21 +89,33 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _is_left_out(tag: str, text: str, in_article: bool) -> bool:
-    """Whether an element and all in it is no article, by its tag and attributes."""
+def _is_left_out(tag: str, given: dict[str, str], in_article: bool) -> bool:
+    """Whether an element and all in it is no article, by its tag, role or because it is hidden."""
     if tag in LEFT_OUT or (tag == "header" and not in_article):
         return True
-    if not text or tag in KEPT_ALWAYS:
+    if not given or tag in WHOLE or tag in ("html", "body"):
         return False
-    given = _attributes(text)
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true":
         return True
     if re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", "")):
         return True
-    if given.get("role", "").lower() in LEFT_OUT_ROLES:
-        return True
-    names = {p.lower() for p in NAME_PART.findall(f"{given.get('class', '')} {given.get('id', '')}")}
-    return bool(names & LEFT_OUT_NAMES) or (not in_article and bool(names & HEAD_NAMES))
+    return given.get("role", "").lower() in LEFT_OUT_ROLES
+
+
+def _names(tag: str, given: dict[str, str], in_article: bool) -> frozenset[str]:
+    """Names of an element that parts beside an article often have."""
+    if tag not in BLOCKS or tag in KEPT_ALWAYS:
+        return frozenset()
+    named = set(("form",)) if tag in FORMS or given.get("role", "").lower() == "form" else set()
+    if "class" in given or "id" in given:
+        kinds = {p.lower() for p in NAME_PART.findall(given.get("class", ""))}
+        # In an article the id of a section is a place to link to.
+        if not (in_article and (tag == "section" or "section" in kinds)):
+            kinds |= {p.lower() for p in NAME_PART.findall(given.get("id", ""))}
+        named |= kinds & LEFT_OUT_NAMES
+        if not in_article:
+            named |= kinds & HEAD_NAMES
+    return frozenset(named)
 
 
 class _Page:
@@ -101,10 +126,11 @@ class _Page:
         self.parent: list[int] = [-1]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self.links: list[int] = [0]
+        self.names: dict[int, frozenset[str]] = {}
 
 
 def parsed(source: str) -> _Page:
-    """The blocks of a page that are not left out. Takes time in proportion to the page's length."""
+    """The blocks of a page that are not left out by element or role, and which elements have names. Takes time in proportion to the page's length."""
     page = _Page()
     stack = [0]
     out_depth = 0  # elements on the stack from the first left-out one on
@@ -225,10 +251,14 @@ def parsed(source: str) -> _Page:
         page.tag.append(tag)
         page.parent.append(stack[-1])
         page.links.append(0)
-        if out_depth or _is_left_out(tag, rest, article_depth > 0):
+        given = _attributes(rest) if rest and not out_depth else {}
+        if out_depth or _is_left_out(tag, given, article_depth > 0):
             out_depth += 1
-        elif tag == "a":
-            page.links[number] = 1
+        else:
+            if tag == "a":
+                page.links[number] = 1
+            if names := _names(tag, given, article_depth > 0):
+                page.names[number] = names
         stack.append(number)
         if tag in WHOLE:
             article_depth += 1
@@ -243,17 +273,59 @@ def parsed(source: str) -> _Page:
     return page
 
 
+def _little(page: _Page) -> list[bool]:
+    """Which elements are left out by name: those with names that hold little of the page's unlinked text."""
+    n = len(page.tag)
+    unlinked = [0] * n
+    for element, text, linked in page.blocks:
+        unlinked[element] += len(text) - linked
+    own = unlinked[:]
+    for i in range(n - 1, 0, -1):  # children come after their parents
+        unlinked[page.parent[i]] += unlinked[i]
+    small = {i: names for i, names in page.names.items() if unlinked[i] <= NAMED_SHARE * unlinked[0]}
+    around: list[frozenset[str]] = [frozenset()] * n
+    total: dict[str, int] = {}
+    for i in range(1, n):
+        above = around[page.parent[i]]
+        around[i] = above | small[i] if i in small else above
+        for name in around[i] if own[i] else ():
+            total[name] = total.get(name, 0) + own[i]
+    out = [False] * n
+    for i in range(1, n):
+        out[i] = out[page.parent[i]] or (
+            i in small and any(total.get(name, 0) <= NAME_TOTAL * unlinked[0] for name in small[i])
+        )
+    return out
+
+
 def main_text(source: str) -> str:
     """Blocks of the main text in page order, joined by an empty line; empty if there is none."""
     page = parsed(source)
     if not page.blocks:
         return ""
+    if not page.names:
+        return _chosen(page, page.blocks)
+    out = _little(page)
+    found = _chosen(page, [b for b in page.blocks if not out[b[0]]])
+    if not found:
+        page.names = {}
+        found = _chosen(page, page.blocks)
+    return found
+
+
+def _chosen(page: _Page, blocks: list[tuple[int, str, int]]) -> str:
+    if not blocks:
+        return ""
     n = len(page.tag)
     points, chars, in_links, links = [0.0] * n, [0] * n, [0] * n, page.links[:]
-    for element, text, linked in page.blocks:
+    weight = [1.0] * n
+    for i in range(1, n):
+        weight[i] = weight[page.parent[i]] * (LOWERED if i in page.names else 1.0)
+    for element, text, linked in blocks:
         chars[element] += len(text)
         in_links[element] += linked
         given = (1 + text.count(",") + min(len(text) / POINT_CHARS, MOST_LENGTH_POINTS)) * (1 - linked / len(text))
+        given *= weight[element]
         at = page.parent[element] if page.tag[element] in TEXT_BLOCKS and page.parent[element] >= 0 else element
         for share in SHARES:
             if at < 0:
@@ -276,14 +348,40 @@ def main_text(source: str) -> str:
     top = up if up >= 0 else best
     enough = max(SIBLING_POINTS, SIBLING_SHARE * score[best])
     above = page.parent[top]
+    beside: set[int] = set()  # blocks, by their place, that stay beside the containers
     if above >= 0:
         for i in range(above + 1, n):
             if page.parent[i] == above and (score[i] >= enough or page.tag[i] == "h1"):
                 kept.add(i)
         # Paragraphs beside the container pass their points to what is above it.
-        for element, text, linked in page.blocks:
+        for element, text, linked in blocks:
             if page.parent[element] == above and page.tag[element] == "p" and linked <= len(text) / 4 and len(text) >= POINT_CHARS:
                 kept.add(element)
+        branch = [-1] * n  # the sibling that an element is part of; the parent itself for its own text
+        branch[above] = above
+        for i in range(above + 1, n):
+            branch[i] = i if page.parent[i] == above else -1 if branch[page.parent[i]] == above else branch[page.parent[i]]
+        row = [k for k, b in enumerate(blocks) if branch[b[0]] >= 0]
+
+        def unlinked(k: int) -> bool:
+            element, text, linked = blocks[k]
+            side = branch[element]
+            return linked <= LINKED_SHARE * len(text) if side == above else in_links[side] <= LINKED_SHARE * chars[side]
+
+        stays = [j for j, k in enumerate(row) if branch[blocks[k][0]] in kept]
+        first, last = stays[0], stays[-1]
+        beside.update(k for k in row[first : last + 1] if unlinked(k))
+        if up < 0:  # without an article element the text goes on in what adjoins
+            for step in (-1, 1):
+                j = (first if step < 0 else last) + step
+                before = -1
+                while 0 <= j < len(row) and unlinked(row[j]):
+                    side = branch[blocks[row[j]][0]]
+                    titled = before >= 0 and page.tag[before] in HEADINGS and step > 0
+                    if side != before and (side in page.names or not (side == above or page.tag[side] in FLOW or titled)):
+                        break
+                    beside.add(row[j])
+                    before, j = side, j + step
     inside = [False] * n
     menu = [False] * n
     for i in range(n):
@@ -292,7 +390,9 @@ def main_text(source: str) -> str:
         menu[i] = (p >= 0 and menu[p]) or (
             page.tag[i] in ("ul", "ol", "table", "dl") and links[i] >= MENU_LINKS and in_links[i] >= MENU_SHARE * chars[i]
         )
-    return "\n\n".join(text for element, text, _ in page.blocks if inside[element] and not menu[element])
+    return "\n\n".join(
+        text for k, (element, text, _) in enumerate(blocks) if (inside[element] or k in beside) and not menu[element]
+    )
 
 
 def main_texts(

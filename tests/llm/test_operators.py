@@ -505,6 +505,37 @@ def test_main_text_of_layouts(wrap):
     assert html_text.main_text(PAGE % (AROUND % (wrap % BODY))) == TEXT
 
 
+PROSE = "A sentence of the text, which goes on for a while, with commas, and says a little more than the one before it did."
+LONG = f"<p>{PROSE}</p>" * 5
+
+
+@pytest.mark.parametrize("wrap", [
+    "<div class='content has-sidebar'>%s</div>", "<div class='post comments-open'>%s</div>", "<form id='aspnetForm'>%s</form>",
+    "<form><fieldset><div class='widget modal'>%s</div></fieldset></form>", "<article>%s</article>",
+])
+def test_names_of_wrappers_leave_no_text_out(wrap):
+    inner = (f"{LONG}<h2 id='related-work'>Related work</h2><p class='notice'>Noted.</p><p><span class='share'>Shared</span> "
+             f"<label>sum</label> <math><mi>x</mi></math></p>{LONG}")
+    found = html_text.main_text(PAGE % (AROUND % (wrap % inner)))
+    assert found == "\n\n".join([PROSE] * 5 + ["Related work", "Noted.", "Shared sum x"] + [PROSE] * 5)
+
+
+def test_names_that_mark_all_text():
+    widgets = "".join(f"<div class='page-widget'><p>{PROSE} {k}</p></div>" for k in range(8))
+    assert html_text.main_text(PAGE % f"<div>{widgets}</div>").count(PROSE) == 8
+    assert html_text.main_text("<div class='menu'>Only this</div>") == "Only this"
+    assert html_text.main_text(f"<article>{LONG}<section id='notices'><h2>Notices</h2><p>Short.</p></section></article>").endswith(
+        "Notices\n\nShort.")
+
+
+def test_short_blocks_beside_the_best_container():
+    parts = (f"<h2>One</h2><div>{LONG}</div><h2>Two</h2><p>Short.</p><ul><li>item</ul><ul><li><a href=x>link</a><li><a href=y>more</a></ul>"
+             f"<blockquote>Quoted.</blockquote><div>Brief part.</div><div>{LONG}</div><h2>Three</h2><div>Closing part.</div><p>End.</p>")
+    found = html_text.main_text(PAGE % parts).split("\n\n")
+    assert [t for t in found if t != PROSE] == ["One", "Two", "Short.", "item", "Quoted.", "Brief part.", "Three", "Closing part.", "End."]
+    assert found.count(PROSE) == 10
+
+
 def test_main_text_of_odd_pages(spark):
     assert html_text.main_text("") == "" and html_text.main_text("<nav><a>x</a></nav>") == ""
     assert html_text.main_text("plain, text & more") == "plain, text & more"
