@@ -43,11 +43,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similar n-gram sets connect, the one with the smallest id; texts without words stay."""
+    """Of documents that links of similar n-gram sets connect, the one with the smallest id; texts without words stay.
+
+    A null id counts as larger than any other; rows of one id are told apart by their text.
+    """
     found = stored(ngram_join.similar_documents(docs), "near-found")
     alone = found.where("n_links = 0").select("doc_id", "key")
-    grouped = found.where("n_links > 0 and doc_id <=> class_id").groupBy("doc_id").agg(F.min("key").alias("key"))
-    return _kept(docs, alone.unionByName(grouped))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    grouped = found.where("n_links > 0").groupBy("component").agg(first)
+    return _kept(docs, alone.unionByName(grouped.select("first.doc_id", "first.key")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -292,12 +292,13 @@ def similar_documents(
     docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, key, class_id, copies, n_links.
+    """One row per row of ``docs``: doc_id, key, component, class_id, copies, n_links.
 
     n_links is the number of other rows whose n-gram set is similar enough, equal ones included; class_id is the
     smallest doc_id of the rows that links connect; copies is the number of rows with an equal set. A text of
     fewer than ``n`` words is one n-gram. A text without words (null or empty) is alone: it has no links. Repeated rows
-    are copies. ``key`` tells rows of one doc_id apart. Other columns are not read.
+    are copies. ``key`` tells rows of one doc_id apart. ``component`` names the rows that links connect, which class_id
+    does not if ids are null or repeated; it is null for a text without words. Other columns are not read.
     """
     bands, rows = choose_bands(similarity, recall)
     signed = stored(signature_rows(docs, n, bands, rows, id_col, text_col), "ngram-signatures")
@@ -336,11 +337,11 @@ def similar_documents(
     described = described.withColumn("component", F.coalesce("component", "digest"))
     lowest = described.groupBy("component").agg(F.min("first_id").alias("class_id"))
     described = stored(
-        described.join(lowest, "component").select("digest", "size", F.coalesce("links", F.lit(0)).alias("links"), "class_id"),
+        described.join(lowest, "component").select("digest", "component", "size", F.coalesce("links", F.lit(0)).alias("links"), "class_id"),
         "ngram-described",
     )
     return signed.select("doc_id", "key", "digest").join(described, "digest", "left").select(
-        "doc_id", "key",
+        "doc_id", "key", "component",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("copies"),
         F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).cast("long").alias("n_links"),

@@ -101,7 +101,7 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document at five words and a similarity of 0.8."""
-    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).drop("key")
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).drop("key", "component")
 
 
 @_query("op9_best_fit_packing")

@@ -61,6 +61,32 @@ def test_stages_keep_what_they_should(spark):
     assert sum(r.piece == 0 for r in packed.collect()) == mixed.count()
 
 
+def test_near_copies_keep_one_of_each_group(spark):
+    """Groups whose ids are all null, and groups with the same smallest id, against brute force."""
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+
+    def text(group, changed=None):
+        return " ".join(f"g{group}x{changed}" if k == changed else f"g{group}w{k}" for k in range(120))
+
+    groups = [(None, None, None), (None, None), (1, 1, 2), (1, 3), (1, None), (None, 5, 4), (6, 6), (7,), (None,), (8, 9, None)]
+    rows = [(i, text(g, 10 + 40 * k if k else None), "en", "a", 1) for g, ids in enumerate(groups) for k, i in enumerate(ids)]
+    rows += [rows[0], rows[5], (None, "", "en", "a", 1), (11, None, "en", "a", 1)]
+    shingles = [frozenset(zip(*[(r[1] or "").split()[k:] for k in range(5)])) for r in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]) > 0:
+                label = [label[a] if x == label[b] else x for x in label]
+    # Of a group's rows with the smallest id any text may stay.
+    wanted = Counter()
+    for c in set(label):
+        ids = [rows[k][0] for k in range(len(rows)) if label[k] == c]
+        wanted[min((i for i in ids if i is not None), default=None), next(iter(shingles[c]), ("", ""))[0].rstrip("0123456789")[:2]] += 1
+    found = corpus_pipeline.near(spark, spark.createDataFrame(rows, schema), DATA).collect()
+    kept = Counter((r.doc_id, (r.text or "")[:2]) for r in found)
+    assert len(found) == len(set(label)) == len(groups) + 2 and kept == wanted
+
+
 def test_stages_of_no_rows(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
