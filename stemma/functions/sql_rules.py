@@ -48,7 +48,7 @@ CLAUSE_WORDS = (
 LIST_AFTER_ON = (
     r"(?iU)\bon\s+(?:(?!\b(?:" + CLAUSE_WORDS + r")\b)[^,()])++(" + MORE_REFS + ")"
 )
-FUNCTION_IN_FROM = r"(?iU)(\b(?:from|join)\s+)(?!(?:only|lateral|values|select)\b)" + NAME + r"\s*\([^()]*\)"
+FUNCTION_IN_FROM = r"(?iU)(\b(?:from|join)\s+)(?!(?:only|lateral|values|select)\b)" + NAME + r"\s*$"
 FROM_CALLS = r"(?iU)\b(?:extract|substring|trim|overlay|position)\s*$"
 CTE_FIRST = r"(?iU)\bwith\s+(?:recursive\s+)?(\w+)\s*(?:\([^()]*\)\s*)?as\b"
 CTE_NEXT = r"(?iU),\s*(\w+)\s*(?:\([^()]*\)\s*)?as\s*(?:not\s+)?(?:materialized\s*)?\("
@@ -79,7 +79,7 @@ def is_blank(sql: Column) -> Column:
 def mask(sql: Column) -> Column:
     """Comments, quoted literals and whatever uses FROM as a word of an expression become blanks.
 
-    Calls that use FROM are followed through parentheses of any depth.
+    Calls that use FROM and functions in FROM are followed through parentheses of any depth.
     """
     plain = F.regexp_replace(
         sql, r"(?i)\be'(?:[^'\\]|\\.|'')*+'|'[^']*'|\$(\w*)\$[\s\S]*?\$\1\$|--[^\n]*|/\*[\s\S]*?\*/", " "
@@ -89,21 +89,47 @@ def mask(sql: Column) -> Column:
     def step(state: Column, part: Column) -> Column:
         opens, closes = F.startswith(part, F.lit("(")), F.startswith(part, F.lit(")"))
         depth = state["depth"] + opens.cast("int") - closes.cast("int")
-        begins = state["inside"].isNull() & opens & state["text"].rlike(FROM_CALLS)
-        ends = state["inside"].isNotNull() & closes & (depth <= state["inside"])
+        texts, starts, drops = state["texts"], state["starts"], state["drops"]
+        last = lambda values: F.get(values, F.size(values) - 1)
+        without = lambda values: F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0)))
+        top, below = last(texts), without(texts)
+        dropping = F.coalesce(last(drops), F.lit(False))
+        call = opens & ~dropping & top.rlike(FROM_CALLS)
+        function = opens & ~dropping & ~call & top.rlike(FUNCTION_IN_FROM)
+        ends = closes & F.coalesce(depth <= last(starts), F.lit(False))
+        name = F.when(call, F.regexp_replace(top, FROM_CALLS, " ")).otherwise(
+            F.regexp_replace(top, FUNCTION_IN_FROM, "$1lateral")
+        )
+        outer = F.concat(last(below), F.lit(" "), F.substring(part, 2, 2**31 - 1))
+        begins = call | function
         text = (
-            F.when(begins, F.regexp_replace(state["text"], FROM_CALLS, " "))
-            .when(ends, F.concat(state["text"], F.lit(" "), F.substring(part, 2, 2**31 - 1)))
-            .when(state["inside"].isNotNull(), state["text"])
-            .otherwise(F.concat(state["text"], part))
+            F.when(begins, F.concat(below, F.array(name, part)))
+            .when(ends, F.concat(without(below), F.array(outer)))
+            .otherwise(F.concat(below, F.array(F.concat(top, part))))
+        )
+        # Statements in the arguments of a function are kept behind the text.
+        asks = ends & ~dropping & top.rlike(r"(?iU)\bselect\b")
+        return F.struct(
+            depth.alias("depth"),
+            F.when(begins, F.concat(starts, F.array(state["depth"]))).when(ends, without(starts)).otherwise(starts).alias("starts"),
+            F.when(begins, F.concat(drops, F.array(call))).when(ends, without(drops)).otherwise(drops).alias("drops"),
+            text.alias("texts"),
+            F.when(asks, F.concat(state["asked"], F.lit(" ; "), top, F.lit(")"))).otherwise(state["asked"]).alias("asked"),
         )
-        inside = F.when(begins, state["depth"]).when(ends, F.lit(None)).otherwise(state["inside"])
-        return F.struct(depth.alias("depth"), inside.cast("int").alias("inside"), text.alias("text"))
 
-    begin = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("inside"), F.lit("").alias("text"))
-    masked = F.aggregate(F.split(plain, "(?=[()])"), begin, step)["text"]
-    calls = F.when(F.contains(plain, F.lit("(")), masked).otherwise(plain)
-    return F.regexp_replace(calls, FUNCTION_IN_FROM, "$1lateral")
+    begin = F.struct(
+        F.lit(0).alias("depth"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<boolean>").alias("drops"),
+        F.array(F.lit("")).alias("texts"), F.lit("").alias("asked"),
+    )
+
+    def finish(state: Column) -> Column:
+        unclosed = F.slice(state["texts"], 2, F.size(state["texts"]))
+        open_calls = F.arrays_zip(unclosed.alias("text"), state["drops"].alias("drop"))
+        rest = F.transform(F.filter(open_calls, lambda x: ~x["drop"]), lambda x: x["text"])
+        return F.concat(F.element_at(state["texts"], 1), F.array_join(rest, " "), state["asked"])
+
+    masked = F.aggregate(F.split(plain, "(?=[()])"), begin, step, finish)
+    return F.when(F.contains(plain, F.lit("(")), masked).otherwise(plain)
 
 
 def outer_text(sql: Column) -> Column:

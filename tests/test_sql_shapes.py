@@ -28,12 +28,32 @@ SHAPES = {
 }
 
 
+SHAPES |= {
+    "select * from generate_series(1, greatest(a, b)) g": [],
+    "select * from t join unnest(array_agg(x)) u on true, z": ["public.t", "public.z"],
+    f"select * from f({'g(' * 8}x{')' * 8}) a, b": ["public.b"],
+    "select * from unnest(array(select y from real where y in (1, 2))) u, z": ["public.real", "public.z"],
+    f"select * from {'f((select x from ' * 8}t{'))' * 8}": ["public.t"],
+    "select * from f(extract(year from g(d))) a join h((select 1)) b on a.x = b.x": [],
+    "select * from f(g(h(x)": [],
+    "select extract(year from d": [],
+}
+
+
 def test_tables_of_shapes(spark):
     rows = spark.createDataFrame([(s,) for s in SHAPES], "sql string")
     found = {r.sql: r.tables for r in rows.select("sql", R.extract_tables(R.mask(F.col("sql"))).alias("tables")).collect()}
     assert found == SHAPES
 
 
+@pytest.mark.parametrize("depth", [1, 2, 8])
+def test_functions_in_from_are_no_joins(spark, depth):
+    sql = f"select a from t left join f{'(g' * depth}(x){')' * depth} u on true join k on k.i = u.i"
+    rows = spark.createDataFrame([(sql,)], "sql string")
+    found = rows.select(R.extract_joins(R.mask(F.col("sql"))).alias("joins")).first().joins
+    assert [tuple(j) for j in found] == [("JOIN", "public.k")]
+
+
 @pytest.mark.parametrize("depth", [1, 3, 8, 20])
 def test_columns_do_not_depend_on_depth(spark, depth):
     sql = f"select a, {'f(' * depth}x, y{')' * depth} as v, b from t"
