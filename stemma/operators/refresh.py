@@ -15,13 +15,18 @@ from stemma.sources import snapshots as SN
 
 
 def document_vectors(docs: DataFrame) -> DataFrame:
-    """Vector records of documents, one per id, with the scalar metadata as a flat map."""
+    """Vector records of documents, one per id, with all metadata as a flat text map.
+
+    Lists and structs are JSON text and nulls are dropped; the document's own columns win over fields of that name.
+    """
     described = ["asset_type", "name", "owner", "description"]
     flat = ST.flatten_metadata([(c, "string") for c in described])
-    docs = docs.where(F.coalesce("id", F.lit("")) != "").select("id", "text", *described)
-    docs = ST.last_per_key(docs, ["id"], F.struct("text", *described))
+    docs = docs.where(F.coalesce("id", F.lit("")) != "").select("id", "text", *described, "metadata")
+    docs = ST.last_per_key(docs, ["id"], F.struct("text", *described, "metadata"))
+    fields = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    other = F.map_filter(fields, lambda k, v: v.isNotNull() & ~F.map_contains_key(flat, k))
     return (
-        docs.select("id", "text", flat.alias("metadata"))
+        docs.select("id", "text", F.map_concat(flat, other).alias("metadata"))
         .join(embed_texts(docs.select("id", "text")), "id", "inner")
         .select("id", "text", "metadata", F.col("embedding").cast("array<float>").alias("embedding"))
     )

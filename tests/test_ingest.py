@@ -125,6 +125,15 @@ def test_refresh_twice_gives_the_same_state(spark, tree, tmp_path, rows):
     assert snapshots.current_version(spark, where, "assets")[1] == 2
 
 
+def test_vectors_hold_all_metadata(spark, tree):
+    found = {r.id: r.metadata for r in refresh.document_vectors(all_documents(spark, tree)).collect()}
+    daily, load = found["sql:reports/daily.sql"], found[LOAD]
+    assert daily["tables"] == '["public.shops","public.visits"]' and "shops per day" in daily["sql"]
+    assert daily["joins"] == '[{"join_type":"LEFT JOIN","table":"public.visits"}]' and daily["asset_type"] == "sql"
+    assert load["schedule"] == "0 1 * * *" and load["name"] == "load_visits" and "public.visits" in load["targets"]
+    assert all(v is not None for m in found.values() for v in m.values())
+
+
 def test_stream_refresh_equals_batch(spark, tree, tmp_path, rows):
     where, inbox = str(tmp_path / "store"), tmp_path / "inbox"
     inbox.mkdir()
