@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import exact_dedup, html_text, mixing, ngram_join, packing, perplexity, quality_knn, secrets, substring_dedup, warc
+from stemma.llm import (
+    divergence, exact_dedup, html_text, merkle, mixing, ngram_join, packing, perplexity, quality_knn, secrets, substring_dedup,
+    warc,
+)
 from stemma.session import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +117,16 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % takes from each document."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+@_query("op11_merkle_manifest", merkle.comparison_sql())
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether its (for half of them changed) text folds to the root."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.verified(merkle.manifest(docs, shown=merkle.without_line_ends(docs)))
+
+
+@_query("op12_source_divergence", divergence.comparison_sql())
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ in their words, and which words mark a source."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
