@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.llm import (
-    divergence, exact_dedup, html_text, merkle, mixing, ngram_join, packing, perplexity, quality_knn, secrets, substring_dedup,
-    warc,
+    divergence, exact_dedup, html_text, merkle, mixing, ngram_join, packing, perplexity, quality_knn, resharding, secrets,
+    substring_dedup, warc,
 )
 from stemma.session import new_folder, table
 
@@ -130,3 +130,14 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language differ in their words, and which words mark a source."""
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@_query("op13_flow_resharding")
+def flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a layout of 32 shards, brought to 40 of near equal bytes and read back from its files."""
+    docs = table(spark, sf_dir, "documents")
+    rows = resharding.resharded(docs, new_folder(spark, "shards"), old_shards=32, new_shards=40)
+    return rows.select(
+        "row.doc_id", "size", F.crc32(F.coalesce("row.text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
