@@ -52,7 +52,7 @@ def _climb(nodes: DataFrame, purpose: str) -> DataFrame:
     at = nodes.select(
         "tree", F.floor(F.col("rank") / BLOCK).alias("block"), "n",
         *[d.cast("int").alias(f"d{k}") for k, d in enumerate(digit)], "digest", "below",
-    )
+    ).repartition("tree", "block")
     for k in range(DIGITS):
         child = F.struct(F.col(f"d{k}").alias("digit"), "digest", "below")
         at = at.groupBy("tree", "block", "n", *[f"d{j}" for j in range(k + 1, DIGITS)]).agg(
