@@ -191,6 +191,7 @@ def comparison(text: str) -> str:
     body = plain(text)
     if not heads:
         return body
-    if body.lower().startswith("with "):
-        return f"with {heads},\n{body[5:]}"
+    for start in ("with recursive ", "with "):
+        if body.lower().startswith(start):
+            return f"{start}{heads},\n{body[len(start):]}"
     return f"with {heads}\n{body}"
