@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stemma.functions.sql_parentheses import AFTER_ON, NAME, resolved
 from stemma.functions.text import sql_table_ref, strip
 
 # Blocked words of the main check, in the order they are reported.
@@ -29,27 +30,21 @@ STRICT_EMPTY = "SQL query is empty"
 STRICT_DANGEROUS = "Query contains dangerous keyword: "
 STRICT_NO_SELECT = "Query must contain SELECT statement"
 
-# A quoted part is one unit, blanks included.
-NAME_PART = r"""(?:"[^"]+"|`[^`]+`|[\w$]+|\*)"""
-NAME = "(?>" + NAME_PART + r"(?:\." + NAME_PART + ")*)"
 TABLE_INTRO = (
     r"(?:\b(?:from|join)\s*(?:\(\s*)*(?<=[\s(])|\b(?:into|using|(?<!\bon\s{1,9})update|table)\s+)"
-    r"(?:if\s+(?:not\s+)?exists\s+|only\s*(?<=[\s])\(?\s*)?"
+    r"(?:if\s+(?:not\s+)?exists\s+|only\b\s*\(?\s*)?"
 )
 ONE_REF = NAME + r"(?:\s+(?:as\s+)?\w+)?"
 MORE_REFS = r"(?:\s*,\s*" + ONE_REF + ")+"
 TABLE_AFTER_WORD = "(?iU)" + TABLE_INTRO + "(" + NAME + ")"
 TABLE_LIST = "(?iU)" + TABLE_INTRO + "(" + ONE_REF + MORE_REFS + ")"
-# A comma after a join condition goes on with the FROM list.
-CLAUSE_WORDS = (
-    "where|group|order|having|limit|union|except|intersect|join|left|right|inner|full|cross|natural|select|from|set|"
-    "when|window|returning|then|do|conflict|update|delete"
+COMMA_AFTER_ON = "(?iU)" + AFTER_ON
+# Table hints in parentheses.
+HINTS = (
+    "nolock|readuncommitted|readcommitted|readpast|repeatableread|serializable|snapshot|updlock|xlock|rowlock|paglock|"
+    "tablock|tablockx|holdlock|nowait|noexpand"
 )
-LIST_AFTER_ON = (
-    r"(?iU)\bon\s+(?:(?!\b(?:" + CLAUSE_WORDS + r")\b)[^,()])++(" + MORE_REFS + ")"
-)
-FUNCTION_IN_FROM = r"(?iU)(\b(?:from|join)\s+)(?!(?:only|lateral|values|select)\b)" + NAME + r"\s*$"
-FROM_CALLS = r"(?iU)\b(?:extract|substring|trim|overlay|position)\s*$"
+HINT_LIST = r"(?iU)(?:\bwith\s*)?\(\s*(?:" + HINTS + r")(?:\s*,\s*(?:" + HINTS + r"))*\s*\)"
 CTE_FIRST = r"(?iU)\bwith\s+(?:recursive\s+)?(\w+)\s*(?:\([^()]*\)\s*)?as\b"
 CTE_NEXT = r"(?iU),\s*(\w+)\s*(?:\([^()]*\)\s*)?as\s*(?:not\s+)?(?:materialized\s*)?\("
 JOIN = (
@@ -79,57 +74,18 @@ def is_blank(sql: Column) -> Column:
 def mask(sql: Column) -> Column:
     """Comments, quoted literals and whatever uses FROM as a word of an expression become blanks.
 
-    Calls that use FROM and functions in FROM are followed through parentheses of any depth.
+    Calls that use FROM lose their arguments, and functions in FROM, behind a comma too, become LATERAL; the statements in
+    their arguments follow behind the text. A comma that goes on with the FROM list after a join condition becomes FROM.
+    Texts with parentheses pass through ``sql_parentheses.resolved`` in Arrow batches; the others stay in the JVM.
     """
     plain = F.regexp_replace(
         sql, r"(?i)\be'(?:[^'\\]|\\.|'')*+'|'[^']*'|\$(\w*)\$[\s\S]*?\$\1\$|--[^\n]*|/\*[\s\S]*?\*/", " "
     )
     plain = F.regexp_replace(plain, r"(?iU)\bis\s+(?:not\s+)?distinct\s+from\b", " = ")
-
-    def step(state: Column, part: Column) -> Column:
-        opens, closes = F.startswith(part, F.lit("(")), F.startswith(part, F.lit(")"))
-        depth = state["depth"] + opens.cast("int") - closes.cast("int")
-        texts, starts, drops = state["texts"], state["starts"], state["drops"]
-        last = lambda values: F.get(values, F.size(values) - 1)
-        without = lambda values: F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0)))
-        top, below = last(texts), without(texts)
-        dropping = F.coalesce(last(drops), F.lit(False))
-        call = opens & ~dropping & top.rlike(FROM_CALLS)
-        function = opens & ~dropping & ~call & top.rlike(FUNCTION_IN_FROM)
-        ends = closes & F.coalesce(depth <= last(starts), F.lit(False))
-        name = F.when(call, F.regexp_replace(top, FROM_CALLS, " ")).otherwise(
-            F.regexp_replace(top, FUNCTION_IN_FROM, "$1lateral")
-        )
-        outer = F.concat(last(below), F.lit(" "), F.substring(part, 2, 2**31 - 1))
-        begins = call | function
-        text = (
-            F.when(begins, F.concat(below, F.array(name, part)))
-            .when(ends, F.concat(without(below), F.array(outer)))
-            .otherwise(F.concat(below, F.array(F.concat(top, part))))
-        )
-        # Statements in the arguments of a function are kept behind the text.
-        asks = ends & ~dropping & top.rlike(r"(?iU)\bselect\b")
-        return F.struct(
-            depth.alias("depth"),
-            F.when(begins, F.concat(starts, F.array(state["depth"]))).when(ends, without(starts)).otherwise(starts).alias("starts"),
-            F.when(begins, F.concat(drops, F.array(call))).when(ends, without(drops)).otherwise(drops).alias("drops"),
-            text.alias("texts"),
-            F.when(asks, F.concat(state["asked"], F.lit(" ; "), top, F.lit(")"))).otherwise(state["asked"]).alias("asked"),
-        )
-
-    begin = F.struct(
-        F.lit(0).alias("depth"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<boolean>").alias("drops"),
-        F.array(F.lit("")).alias("texts"), F.lit("").alias("asked"),
-    )
-
-    def finish(state: Column) -> Column:
-        unclosed = F.slice(state["texts"], 2, F.size(state["texts"]))
-        open_calls = F.arrays_zip(unclosed.alias("text"), state["drops"].alias("drop"))
-        rest = F.transform(F.filter(open_calls, lambda x: ~x["drop"]), lambda x: x["text"])
-        return F.concat(F.element_at(state["texts"], 1), F.array_join(rest, " "), state["asked"])
-
-    masked = F.aggregate(F.split(plain, "(?=[()])"), begin, step, finish)
-    return F.when(F.contains(plain, F.lit("(")), masked).otherwise(plain)
+    plain = F.regexp_replace(plain, HINT_LIST, " ")
+    nested, listed = F.contains(plain, F.lit("(")), F.contains(plain, F.lit(","))
+    flat = F.when(listed, F.regexp_replace(plain, COMMA_AFTER_ON, "$1 from ")).otherwise(plain)
+    return F.when(nested, resolved(F.when(nested, plain))).otherwise(flat)
 
 
 def outer_text(sql: Column) -> Column:
@@ -161,10 +117,7 @@ def cte_names(masked: Column) -> Column:
 
 
 def _names(masked: Column) -> Column:
-    lists = F.concat(
-        F.regexp_extract_all(masked, F.lit(TABLE_LIST), F.lit(1)),
-        F.regexp_extract_all(masked, F.lit(LIST_AFTER_ON), F.lit(1)),
-    )
+    lists = F.regexp_extract_all(masked, F.lit(TABLE_LIST), F.lit(1))
     listed = F.flatten(F.transform(lists, lambda x: F.split(x, ",")))
     return F.concat(
         F.regexp_extract_all(masked, F.lit(TABLE_AFTER_WORD), F.lit(1)),

@@ -1,9 +1,12 @@
 """SQL shapes whose tables are easily missed, nested calls, and file names that need care."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from stemma.functions import sql_rules as R
+from stemma.functions.sql_parentheses import resolved_text
 from stemma.sources import files
 
 SHAPES = {
@@ -77,3 +80,42 @@ def test_empty_jobs_are_dropped(spark, tmp_path):
     (tmp_path / "z.json").write_text("{}")
     found = files.scan_etl_configs(spark, [str(tmp_path)], str(tmp_path)).collect()
     assert [r.name for r in found] == ["y"]
+
+
+MORE_SHAPES = {
+    "select count(*) from t (nolock)": ["public.t"],
+    "select a from t with (nolock), s (updlock, rowlock)": ["public.s", "public.t"],
+    "select a from only(t1)": ["public.t1"],
+    "select a from only (t1), b": ["public.b", "public.t1"],
+    "select 1 from t1 join lateral f(x(y)) on (a=b), t2": ["public.t1", "public.t2"],
+    "select 1 from x join y on (x.i=y.i), z": ["public.x", "public.y", "public.z"],
+    "select 1 from a join b on f(a.x, b.y) = 1 and (a.z=(b.z)), c left join d on (1=1), e": [f"public.{t}" for t in "abcde"],
+    "select 1 from a, unnest(array_agg(x)) u": ["public.a"],
+    "select 1 from a, unnest(array_agg(x)) u, b": ["public.a", "public.b"],
+    "select distinct on (a) x, y from t": ["public.t"],
+    "select distinct on (a) x, y from t join u on (t.a = u.a), v": ["public.t", "public.u", "public.v"],
+    "select 1 from (select 1 from p join q on (p.i in (1, 2)), r) s, w": ["public.p", "public.q", "public.r", "public.w"],
+    "select a from t) x, u": ["public.t"],
+}
+
+
+def test_tables_behind_conditions_hints_and_functions(spark):
+    rows = spark.createDataFrame([(s,) for s in MORE_SHAPES], "sql string")
+    found = {r.sql: r.tables for r in rows.select("sql", R.extract_tables(R.mask(F.col("sql"))).alias("tables")).collect()}
+    assert found == MORE_SHAPES
+
+
+def test_work_grows_with_the_length_of_the_text():
+    """30 KB with 1,600 calls in less than a tenth of a second; ten times as much in less than twenty times that."""
+
+    def seconds(calls):
+        text = "select " + ", ".join(f"coalesce(a{k}, b{k})" for k in range(calls)) + " from t"
+        best = []
+        for _ in range(3):
+            start = time.perf_counter()
+            resolved_text(text)
+            best.append(time.perf_counter() - start)
+        return len(text), min(best)
+
+    (size, short), (_, long) = seconds(1600), seconds(16000)
+    assert size > 30_000 and short < 0.1 and long < 20 * short
