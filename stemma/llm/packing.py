@@ -11,6 +11,10 @@ the pieces of its length; ranks are counted in slices, so a length that a third
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,8 +31,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that are ranked in one task.
 SLICE_ROWS = 20_000
-#: Words whose ids a task remembers; then it starts anew.
-KNOWN_WORDS = 1_000_000
+#: Words whose ids a worker remembers; then it starts anew.
+KNOWN_WORDS = 400_000
 #: Longer words are not remembered.
 LONGEST_KNOWN = 48
 #: Characters that are split into words at once.
@@ -57,22 +61,63 @@ def _parts(text: str, size: int) -> Iterator[str]:
     yield text[at:]
 
 
-def word_ids(path: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids (little-endian 32 bits) under a tokenizer that never joins across white space.
+#: Words of characters that normalisation leaves alone but for their case: printable ASCII and Latin-1 letters.
+SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: Fixed value: how the given vocabulary cuts such a word in lower case.
+WORD_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Characters that stand for bytes in byte-level vocabularies: printable bytes stand for themselves, the others follow at 256.
+_ITSELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _ITSELF} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_ITSELF)))}
+SPECIAL = "<|"
+#: Module that a worker process keeps between its tasks.
+WORKER_STATE = "packing_worker_state"
 
-    Each word between ASCII spaces, tabs and line ends is tokenised once and then remembered.
-    """
-    import os
 
+def _loaded(path: str):
+    """The tokenizer of a path and the ids of known words and parts, once per worker process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {"": b""}
+    held = sys.modules.setdefault(WORKER_STATE, types.ModuleType(WORKER_STATE)).__dict__
+    if path not in held:
+        held[path] = Tokenizer.from_file(path), {"": b""}, {}
+    return held[path]
 
-    def encode(words: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+def word_ids(path: str) -> Callable[[list[str]], list[bytes]]:
+    """A function from texts to their ids (little-endian 32 bits) under a tokenizer that never joins across white space.
+
+    Each word between ASCII spaces, tabs and line ends is tokenised once and then remembered, as long as the worker
+    process lives. Words of ASCII and Latin-1 letters are cut into parts here and only the parts go to the model, if the
+    tokenizer has the rules that this takes; all other words pass through the whole tokenizer.
+    """
+    tokenizer, known, known_parts = _loaded(path)
+    rules = str(tokenizer.pre_tokenizer) + str(tokenizer.normalizer)
+    direct = all(x in rules for x in ("NFC", "Lowercase", "'s|'t|'re|'ve|'m|'ll|'d|", "ByteLevel(add_prefix_space=False")) and (
+        tokenizer.encode("It's a1 x.y", add_special_tokens=False).ids
+        == [t.id for w in ("it", "'s", "a", "1", "x", ".", "y") for t in tokenizer.model.tokenize(w)]
+    )
+    tokenize = tokenizer.model.tokenize
+
+    def by_parts(word: str) -> bytes:
+        made = []
+        for part in WORD_PARTS.findall(word.lower()):
+            found = known_parts.get(part)
+            if found is None:
+                told = part if part.isascii() else "".join([BYTE_CHARS[b] for b in part.encode()])
+                found = b"".join([t.id.to_bytes(4, "little") for t in tokenize(told)])
+                if len(part) <= LONGEST_KNOWN:
+                    known_parts[part] = found
+            made.append(found)
+        return b"".join(made)
+
+    def encode(words: list[str]) -> dict[str, bytes]:
+        simple = [w for w in words if direct and SIMPLE.fullmatch(w) and SPECIAL not in w]
+        made = {w: by_parts(w) for w in simple}
+        others = [w for w in words if w not in made]
+        found = tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        made.update(zip(others, [np.array(e.ids, dtype="<u4").tobytes() for e in found]))
+        return made
 
     def ids(texts: list[str]) -> list[bytes]:
         out = []
@@ -84,9 +129,10 @@ def word_ids(path: str) -> Callable[[list[str]], list[bytes]]:
                 if new:
                     if len(known) + len(new) > KNOWN_WORDS:
                         known.clear()
+                        known_parts.clear()
                         known[""] = b""
                         new = list(set(words) - {""})
-                    known.update(zip(new, encode(new)))
+                    known.update(encode(new))
                 made.append(b"".join([known[w] for w in words]))
                 for w in new:
                     if len(w) > LONGEST_KNOWN:

@@ -177,6 +177,21 @@ def test_pieces_are_the_tokenizers_ids(spark):
     check_sequences(found, 512)
 
 
+def test_word_ids_are_the_tokenizers(monkeypatch):
+    """Random words of Latin letters, marks, special tokens and odd blanks, also with a memory that fills up."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(5)
+    signs = list("abzAZ019 '\"!.,<|>endoftext \n\t\r\x00\x1f\x7fé́İΣ中\U0001F389×÷µªº½\xad\xa0") + [chr(c) for c in range(0xC0, 0x100)]
+    signs += ["'s", "'LL", "<|endoftext|>", " ́", "’t", "ß'D"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    wanted = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert packing.word_ids(path)(texts) == wanted
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 50)
+    assert packing.word_ids(path)(texts) == wanted
+
+
 def check_sequences(found, capacity):
     held = defaultdict(list)
     for r in found:
