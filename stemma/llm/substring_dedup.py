@@ -129,15 +129,16 @@ def chunk_rows(docs: DataFrame, places: bool, id_col: str = "doc_id", text_col:
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks that more than one row has: doc_id, key, first, end, n_words and the owner that keeps them.
 
-    Counted before the shuffle, and each digest is one row of the counts: in the join with all chunks
-    a digest that a third of all rows have splits as a skewed left side.
+    Counted before the shuffle, and each digest is one row of the counts. They are stored, so both sides of the join with all
+    chunks are shuffled anew: the form in which a digest that a third of all rows have splits as a skewed left side.
     """
-    met = (
+    met = stored(
         chunk_rows(docs, False, id_col, text_col)
         .groupBy("digest", "n_bytes")
         .agg(F.min("doc_id").alias("owner"), F.min("key").alias("low"), F.max("key").alias("high"))
         .where("low <> high")
-        .drop("low", "high")
+        .drop("low", "high"),
+        "chunk-counts",
     )
     return chunk_rows(docs, True, id_col, text_col).join(met, ["digest", "n_bytes"]).drop("digest", "n_bytes")
 
