@@ -200,7 +200,8 @@ def _edge_batch(rows: list[tuple[bytes, bytes | None, int]]) -> pa.RecordBatch:
 def candidate_edges(reps: DataFrame, least: int) -> DataFrame:
     """Spanning forests (a, b) of the pairs that meet in a band and pass the comparison of signatures."""
     spread = reps.select("digest", F.posexplode("bands").alias("band", "hash"))
-    met = spread.groupBy("band", "hash").count().where("count > 1")
+    # Stored, so that both sides of the join are shuffled anew and a bucket of many classes splits as a skewed left side.
+    met = stored(spread.groupBy("band", "hash").count().where("count > 1"), "ngram-buckets")
     members = spread.join(met, ["band", "hash"]).join(reps.select("digest", "low"), "digest")
     dealt = in_blocks(members, "count", BLOCK, "band", "hash")
 
@@ -316,7 +317,7 @@ def similar_documents(
     )
     families = connected_components(candidate_edges(reps, least_agreement(similarity)))
     families = families.withColumnsRenamed({"vertex": "digest"})
-    sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    sizes = stored(families.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "ngram-sizes")
     family = stored(
         families.join(sizes, "component").join(classes.select("digest", "size"), "digest"), "ngram-families"
     )
@@ -329,13 +330,15 @@ def similar_documents(
         .join(wanted, "key")
         .where(F.col("doc_id").eqNullSafe(F.col("of")))
         .select("digest", "text")
+        # Rows repeated with their id and text would all bring their sets; copies go before the shuffle.
+        .dropDuplicates(["digest"])
     )
     links = stored(verified_links(family, texts, n, similarity), "ngram-links")
     counts = links.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
     named = connected_components(links.where("b is not null").select("a", "b")).withColumnsRenamed({"vertex": "digest"})
     described = classes.join(counts, "digest", "left").join(named, "digest", "left")
     described = described.withColumn("component", F.coalesce("component", "digest"))
-    lowest = described.groupBy("component").agg(F.min("first_id").alias("class_id"))
+    lowest = stored(described.groupBy("component").agg(F.min("first_id").alias("class_id")), "ngram-lowest")
     described = stored(
         described.join(lowest, "component").select("digest", "component", "size", F.coalesce("links", F.lit(0)).alias("links"), "class_id"),
         "ngram-described",
