@@ -4,7 +4,7 @@ Every block of text gives points for its length and commas to the elements aroun
 container, half to the next, a sixth to the one after. A container's points count by the share of its text that is not in
 links. The best container stays, with those of its siblings that score enough and what stands between them; if it is part
 of an article or main element, that element stays. Parts that are no article (menus, adverts and so on) are left out by
-element or role. A class, id or form lowers an element's points and leaves it out only if it holds little of the page's text.
+element or role, and by class, id or form, whatever their size, unless they are a wrapper around the article.
 """
 
 from __future__ import annotations
@@ -60,8 +60,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that belong to the text beside them.
 FLOW = TEXT_BLOCKS | frozenset("ul ol dl table figure section hr".split())
 
-#: A named element with more than this share of the page's unlinked text stays, as does a name that more than that share has in all.
-NAMED_SHARE, NAME_TOTAL = 1 / 4, 1 / 2
+#: Names of what readers write; such a part is never taken for the article beside other text.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Ends of class names that say whether a page has comments, not that an element is one.
+SWITCHES = frozenset("open opened close closed enabled disabled on off allowed".split())
+#: A named element stays if what it holds scores so many times as much as all that is outside of named ones.
+CLEARLY = 4
 #: What is left of the points of text in a named element that stays.
 LOWERED = 1 / 4
 #: A block beside the best container stays up to this share of its text in links.
@@ -104,6 +108,9 @@ def _is_left_out(tag: str, given: dict[str, str], in_article: bool) -> bool:
 
 def _names(tag: str, given: dict[str, str], in_article: bool) -> frozenset[str]:
     """Names of an element that parts beside an article often have."""
+    if tag in WHOLE:  # an article can be a comment
+        classes = [[p.lower() for p in NAME_PART.findall(c)] for c in given.get("class", "").split()]
+        return frozenset(c[0] for c in classes if c and c[0] in COMMENT_NAMES and c[-1] not in SWITCHES)
     if tag not in BLOCKS or tag in KEPT_ALWAYS:
         return frozenset()
     named = set(("form",)) if tag in FORMS or given.get("role", "").lower() == "form" else set()
@@ -273,28 +280,52 @@ def parsed(source: str) -> _Page:
     return page
 
 
-def _little(page: _Page) -> list[bool]:
-    """Which elements are left out by name: those with names that hold little of the page's unlinked text."""
-    n = len(page.tag)
-    unlinked = [0] * n
+def _up(page: _Page, element: int) -> Iterator[int]:
+    while element >= 0:
+        yield element
+        element = page.parent[element]
+
+
+def _inside(page: _Page, tops: set[int]) -> list[bool]:
+    """Which elements lie in one of ``tops``."""
+    out = [False] * len(page.tag)
+    for i in range(1, len(out)):
+        out[i] = out[page.parent[i]] or i in tops
+    return out
+
+
+def _around_article(page: _Page) -> set[int]:
+    """Elements around an article element, or around a title with a paragraph: wrappers, whatever their name."""
+    found: set[int] = set()
+    titled: set[int] = set()
+    for i, tag in enumerate(page.tag):
+        if tag in WHOLE and i not in page.names:
+            found.update(_up(page, i))
     for element, text, linked in page.blocks:
-        unlinked[element] += len(text) - linked
-    own = unlinked[:]
-    for i in range(n - 1, 0, -1):  # children come after their parents
-        unlinked[page.parent[i]] += unlinked[i]
-    small = {i: names for i, names in page.names.items() if unlinked[i] <= NAMED_SHARE * unlinked[0]}
-    around: list[frozenset[str]] = [frozenset()] * n
-    total: dict[str, int] = {}
-    for i in range(1, n):
-        above = around[page.parent[i]]
-        around[i] = above | small[i] if i in small else above
-        for name in around[i] if own[i] else ():
-            total[name] = total.get(name, 0) + own[i]
-    out = [False] * n
-    for i in range(1, n):
-        out[i] = out[page.parent[i]] or (
-            i in small and any(total.get(name, 0) <= NAME_TOTAL * unlinked[0] for name in small[i])
-        )
+        if page.tag[element] == "h1":
+            titled.update(_up(page, element))
+        elif page.tag[element] == "p" and len(text) - linked >= POINT_CHARS:
+            found.update(titled.intersection(_up(page, element)))
+    return found
+
+
+def _named_parts(page: _Page) -> list[bool]:
+    """Which elements are left out by name: whatever their size, all named ones that are no wrapper of the article.
+
+    A wrapper holds the article element, or the title and a paragraph. On a page without these it is the named element around
+    the best container, if that scores clearly more than all that is outside of named elements, or if nothing is.
+    """
+    tops = set(page.names) - _around_article(page)
+    out = _inside(page, tops)
+    score = _scores(page, page.blocks)[0]
+    best = max(range(len(score)), key=score.__getitem__)
+    if not out[best]:
+        return out
+    rest = [b for b in page.blocks if not out[b[0]]]
+    wrappers = [i for i in _up(page, best) if i in tops]
+    comments = any(page.names[i] & COMMENT_NAMES for i in wrappers)
+    if not rest or (not comments and score[best] >= CLEARLY * max(_scores(page, rest)[0])):
+        return _inside(page, tops.difference(wrappers))
     return out
 
 
@@ -305,7 +336,7 @@ def main_text(source: str) -> str:
         return ""
     if not page.names:
         return _chosen(page, page.blocks)
-    out = _little(page)
+    out = _named_parts(page)
     found = _chosen(page, [b for b in page.blocks if not out[b[0]]])
     if not found:
         page.names = {}
@@ -313,9 +344,8 @@ def main_text(source: str) -> str:
     return found
 
 
-def _chosen(page: _Page, blocks: list[tuple[int, str, int]]) -> str:
-    if not blocks:
-        return ""
+def _scores(page: _Page, blocks: list[tuple[int, str, int]]) -> tuple[list[float], list[int], list[int], list[int]]:
+    """Per element: its score, characters, characters in links and links."""
     n = len(page.tag)
     points, chars, in_links, links = [0.0] * n, [0] * n, [0] * n, page.links[:]
     weight = [1.0] * n
@@ -338,6 +368,14 @@ def _chosen(page: _Page, blocks: list[tuple[int, str, int]]) -> str:
         in_links[up] += in_links[i]
         links[up] += links[i]
     score = [p * (1 - in_links[i] / chars[i]) if chars[i] else 0.0 for i, p in enumerate(points)]
+    return score, chars, in_links, links
+
+
+def _chosen(page: _Page, blocks: list[tuple[int, str, int]]) -> str:
+    if not blocks:
+        return ""
+    n = len(page.tag)
+    score, chars, in_links, links = _scores(page, blocks)
     best = max(range(n), key=score.__getitem__)
     kept = {best}
     up = best
