@@ -1,13 +1,15 @@
 """Secrets: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
-The models are trained from labelled samples that Spark counts over all texts: values that the fixed patterns find are
-random strings, words of letters are ordinary identifiers. A model is a table of character pairs per
-start, middle and end, so its size does not depend on the input.
+The models are trained from labelled samples. Random: values that the fixed patterns find in all texts, and drawn strings of the usual
+alphabets. Ordinary: what is outside of those values in all texts (words, and identifiers made of neighbouring words in the usual
+styles, with dates and versions), and a short list of tokens. Spark counts the pairs of characters of both. A model is a table of
+pairs with an edge before and after a string, so its size does not depend on the input.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -25,14 +27,28 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 #: Strings that the models judge: so many characters of an identifier, with a digit or a change of case.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Words of letters that train the model of ordinary identifiers.
-ORDINARY = r"[A-Za-z_]{4,40}"
-#: Log-likelihood ratio per character above which a string is random.
-MARGIN = 1.5
+#: Words that train the model of ordinary identifiers.
+ORDINARY = r"[A-Za-z]{2,24}"
+#: Of so many neighbouring words one identifier is made.
+JOINED = 4
+#: Ordinary tokens with digits, joined with words as dates, versions and numbers are.
+TOKENS = (
+    "2024/01/15", "2019-12-31", "20230607", "v1", "v2", "v3", "1.0", "2.10.3", "utf8", "utf-8", "sha256", "md5", "base64",
+    "http2", "x86_64", "win32", "amd64", "i18n", "k8s", "s3", "ec2", "ipv4", "mp3", "log4j2", "rfc2822", "iso8601",
+    "en-US", "page-12", "chapter_3", "item-42", "Test2", "Bar2", "part1", "step10", "vol3", "q4", "fy2023", "1990s",
+)
+#: How often a token counts, and how many strings are drawn of each alphabet.
+TOKEN_WEIGHT, DRAWN = 200, 400
+#: Fixed value: an identifier of 128 bits in its usual form is no secret.
+UUID = r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
+#: Log-likelihood ratio per character above which a string is random, beside ``LEAST_RATIO``.
+MARGIN = 2.0
 #: Characters of the models: all others are one more.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Added to each pair's count in the models of ordinary and of random strings: random ones come close to uniform.
 SMOOTHING = (0.05, 5.0)
+#: A string needs so much more in all, so that short ones need more per character.
+LEAST_RATIO = 8.0
 #: States of a model: the alphabet, all others, and the edge of a string.
 STATES = len(ALPHABET) + 2
 
@@ -82,6 +98,46 @@ def pair_indices(words: list[str], codes: np.ndarray) -> np.ndarray:
     return pairs[pairs != edge * STATES + edge]
 
 
+def identifiers(words: list[str]) -> list[str]:
+    """Identifiers of each ``JOINED`` neighbouring words, in one of the usual styles by turns; some end in a token."""
+    made = []
+    for k in range(0, len(words) - JOINED + 1, JOINED):
+        some, token = words[k : k + JOINED], TOKENS[(k // JOINED) % len(TOKENS)]
+        titled = [w[:1].upper() + w[1:].lower() for w in some]
+        style = (k // JOINED) % 7
+        made.append(
+            "_".join(some) if style == 0 else "-".join(some) if style == 1 else "/".join(some) if style == 2
+            else "".join(titled) if style == 3 else some[0].lower() + "".join(titled[1:]) if style == 4
+            else "/" + token + "/" + "-".join(some) if style == 5 else "_".join(some).upper() + "-" + token
+        )
+    return made
+
+
+def outside(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with its spans cut out."""
+    parts, at = [], 0
+    for a, _, b in spans:
+        parts.append(text[at:a])
+        at = max(at, b)
+    return " ".join([*parts, text[at:]])
+
+
+def drawn_samples() -> list[str]:
+    """Random strings of 20 to 64 characters of the usual alphabets, the same in every run."""
+    rng = random.Random(20)
+    letters = ALPHABET[:62]
+    alphabets = (letters, letters + "+/", letters + "_-", "0123456789abcdef", letters[26:], letters[:26] + "0123456789")
+    return ["".join(rng.choices(a, k=rng.randint(20, 64))) for a in alphabets for _ in range(DRAWN)]
+
+
+def dated_samples() -> list[str]:
+    """Ordinary tokens of digits: dates, times and versions, the same in every run."""
+    rng = random.Random(21)
+    forms = ("{0}-{1:02}-{2:02}T{3:02}-{4:02}-{5:02}", "{0}/{1:02}/{2:02}", "{0}{1:02}{2:02}_{3:02}{4:02}{5:02}", "v{1}-{2}-{3}", "{0}-{1:02}-{2:02}")
+    limits = (1, 12, 28, 23, 59, 59)
+    return [f.format(rng.randint(1990, 2035), *[rng.randint(1, m) for m in limits[1:]]) for f in forms for _ in range(DRAWN)]
+
+
 def count_pairs(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(label, pair, n): character pairs of random (1) and ordinary (0) strings over all texts.
 
@@ -96,11 +152,13 @@ def count_pairs(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 text = value.as_py() or ""
                 if not text:
                     continue
-                random = [text[a:b] for a, kind, b in base_spans(text, patterns) if kind]
-                random += [m[2] for m in assignments(text, patterns)]
-                for label, words in ((1, random), (0, patterns["ordinary"].findall(text))):
-                    if words:
-                        found[label] += np.bincount(pair_indices(words, codes), minlength=STATES * STATES)
+                spans = base_spans(text, patterns)
+                drawn = [text[a:b] for a, kind, b in spans if kind]
+                drawn += [m[2] for m in assignments(text, patterns)]
+                words = patterns["ordinary"].findall(outside(text, spans) if spans else text)
+                for label, strings in ((1, drawn), (0, words + identifiers(words))):
+                    if strings:
+                        found[label] += np.bincount(pair_indices(strings, codes), minlength=STATES * STATES)
         label, pair = np.nonzero(found)
         yield pa.RecordBatch.from_arrays(
             [pa.array(label, pa.int32()), pa.array(pair, pa.int32()), pa.array(found[label, pair])], ["label", "pair", "n"]
@@ -116,16 +174,21 @@ def log_ratio(counts: DataFrame) -> np.ndarray:
     table = np.broadcast_to(np.reshape(SMOOTHING, (2, 1, 1)), (2, STATES, STATES)).copy()
     for label, pair, n in counts.collect():
         table[label, pair // STATES, pair % STATES] += n
+    for label, strings, weight in ((1, drawn_samples(), 1), (0, list(TOKENS), TOKEN_WEIGHT), (0, dated_samples(), 1)):
+        counted = np.bincount(pair_indices(strings, _codes()), minlength=STATES * STATES)
+        table[label] += weight * counted.reshape(STATES, STATES)
     probability = np.log(table / table.sum(axis=2, keepdims=True))
     return (probability[1] - probability[0]).reshape(-1)
 
 
 def is_random(word: str, ratio: np.ndarray, codes: np.ndarray, margin: float = MARGIN) -> bool:
-    """Whether the models call a string random; strings of letters in one case or of digits alone never are."""
+    """Whether the models call a string random; strings of letters in one case or of digits alone and UUIDs never are."""
     digits = sum(c.isdigit() for c in word)
     if digits == len(word) or (not digits and (word.islower() or word.isupper() or word.istitle())):
         return False
-    return float(ratio[pair_indices([word], codes)].sum()) > margin * len(word)
+    if re.fullmatch(UUID, word):
+        return False
+    return float(ratio[pair_indices([word], codes)].sum()) > margin * len(word) + LEAST_RATIO
 
 
 def find_secrets(
