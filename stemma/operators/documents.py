@@ -11,8 +11,11 @@ from stemma.operators import store
 from stemma.operators.sql_texts import parse_sql_texts
 from stemma.schemas import DOCUMENTS, EDGE_STRUCT
 
+#: Characters of the SQL shown in a document's text, and of a text shown as description; arguments of the functions below.
 SQL_CHARS = 2000
 DESCRIPTION_CHARS = 500
+#: What stands before the SQL in a document's text.
+SQL_MARK = "SQL: "
 
 
 def _sentence(condition: Column, *parts) -> Column:
@@ -82,9 +85,12 @@ def table_documents(tables: DataFrame, default_owner: str = "unknown") -> DataFr
 
 
 def sql_documents(
-    files: DataFrame, default_owner: str = "unknown", default_schema: str = "public"
+    files: DataFrame, default_owner: str = "unknown", default_schema: str = "public", shown_chars: int = SQL_CHARS
 ) -> DataFrame:
-    """One document per (source, sql) row; each referenced table feeds the SQL asset."""
+    """One document per (source, sql) row; each referenced table feeds the SQL asset.
+
+    The text shows ``shown_chars`` of the SQL; the metadata holds all of it, and :func:`searched_text` too.
+    """
     parsed = (
         files.select(slashes(F.col("source")).alias("source"), strip(F.col("sql")).alias("sql"))
         .where(F.col("sql") != "")
@@ -98,7 +104,7 @@ def sql_documents(
         F.concat(F.lit("Statement type: "), "statement_type", F.lit(".")),
         _sentence(F.size("tables") > 0, "Tables: ", F.array_join("tables", ", "), "."),
         _sentence(F.size("joins") > 0, "Joins: ", F.array_join(join_list, "; "), "."),
-        F.concat(F.lit("SQL: "), F.substring("sql", 1, SQL_CHARS)),
+        F.concat(F.lit(SQL_MARK), F.substring("sql", 1, shown_chars)),
     )
     return _as_document(
         parsed.select(
@@ -171,13 +177,23 @@ def counts_by_type(docs: DataFrame) -> DataFrame:
 # ---- what a refresh derives ---------------------------------------------------
 
 
-def document_assets(docs: DataFrame) -> DataFrame:
-    """Asset rows of documents, with the defaults for whatever is missing."""
+def searched_text(text: Column, asset_type: Column, metadata: Column) -> Column:
+    """What of a document is embedded: its text, for SQL with the whole statement in place of the shown part."""
+    sql = F.get_json_object(metadata, "$.sql")
+    whole = F.concat(F.substring_index(text, SQL_MARK, 1), F.lit(SQL_MARK), sql)
+    return F.when((asset_type == "sql") & sql.isNotNull() & F.contains(text, F.lit(SQL_MARK)), whole).otherwise(text)
+
+
+def document_assets(docs: DataFrame, shown_chars: int = DESCRIPTION_CHARS) -> DataFrame:
+    """Asset rows of documents, with the defaults for whatever is missing.
+
+    A document without a description is described by ``shown_chars`` of its text.
+    """
     return docs.where(F.coalesce("id", F.lit("")) != "").select(
         F.col("id").alias("asset_id"),
         F.coalesce("asset_type", F.lit("document")).alias("asset_type"),
         F.coalesce("name", "id").alias("name"),
-        first_filled(F.col("description"), F.substring("text", 1, DESCRIPTION_CHARS)).alias("description"),
+        first_filled(F.col("description"), F.substring("text", 1, shown_chars)).alias("description"),
         F.coalesce("owner", F.lit("unknown")).alias("owner"),
         "metadata",
     )

@@ -218,12 +218,20 @@ def risk_report(edges: DataFrame, assets: DataFrame) -> DataFrame:
 # ---- usage and change impact --------------------------------------------------
 
 
-def usage_counts(edges: DataFrame, assets: DataFrame) -> DataFrame:
+def usage_counts(edges: DataFrame, assets: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Per id with any edge: neighbour counts by side and type of the downstream neighbour.
 
     One pass over the edges; each edge counts at its source (with the type of its
-    target) and at its target, and the counts are combined before the shuffle.
+    target) and at its target, and the counts are combined before the shuffle. With ``wanted`` only the ends at its ids
+    take part, before any type is looked up. It may list an id more than once: then it has a second column, so that the join
+    reads two plain shuffles, which adaptive execution can split.
     """
+    if wanted is not None:
+        ends = edge_ends(edges).join(wanted, "asset_id", "left_semi")
+        kinds = assets.select(F.col("asset_id").alias("neighbour_id"), F.col("asset_type").alias("kind"))
+        down = ends.where(F.col("side") == DOWNSTREAM).join(kinds, "neighbour_id", "left").select("asset_id", "side", "kind")
+        up = ends.where(F.col("side") == UPSTREAM).select("asset_id", "side", F.lit(None).cast("string").alias("kind"))
+        return _usage_sums(down.unionByName(up))
     types = assets.select(F.col("asset_id").alias("target_asset_id"), "asset_type")
     typed = edges.select("source_asset_id", "target_asset_id").join(types, "target_asset_id", "left")
     marks = F.array(
@@ -238,10 +246,13 @@ def usage_counts(edges: DataFrame, assets: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("kind"),
         ),
     )
+    return _usage_sums(typed.select(F.inline(marks)))
+
+
+def _usage_sums(marks: DataFrame) -> DataFrame:
     kind = F.col("kind")
     return (
-        typed.select(F.inline(marks))
-        .groupBy("asset_id")
+        marks.groupBy("asset_id")
         .agg(
             _sum_when(F.col("side") == UPSTREAM).alias("upstream_count"),
             _sum_when(F.col("side") == DOWNSTREAM).alias("downstream_count"),
@@ -335,9 +346,12 @@ def change_impact(requests: DataFrame, edges: DataFrame, assets: DataFrame) -> D
         F.col("warning").alias("resolution_warning"),
     )
     # Everything known per target first (one row per id), so the requests, of which
-    # many may name one target, are joined once.
-    stored = assets.select("asset_id", F.coalesce("impact_score", F.lit(0.0)).alias("stored_score"))
-    known = usage_counts(edges, assets).join(stored, "asset_id", "full_outer")
+    # many may name one target, are joined once. Only edges that touch a target are counted.
+    targets = asked.where("asset_id <> ''").select("asset_id", "asset_resolved_from").distinct()
+    stored = assets.join(targets, "asset_id", "left_semi").select(
+        "asset_id", F.coalesce("impact_score", F.lit(0.0)).alias("stored_score")
+    )
+    known = usage_counts(edges, assets, targets).join(stored, "asset_id", "full_outer")
     none = F.col("asset_id") == ""
     degree = F.coalesce(F.col("upstream_count") + F.col("downstream_count"), F.lit(0))
     scored = (

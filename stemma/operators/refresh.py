@@ -25,9 +25,10 @@ def document_vectors(docs: DataFrame) -> DataFrame:
     docs = ST.last_per_key(docs, ["id"], F.struct("text", *described, "metadata"))
     fields = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
     other = F.map_filter(fields, lambda k, v: v.isNotNull() & ~F.map_contains_key(flat, k))
+    searched = D.searched_text(F.col("text"), F.col("asset_type"), F.col("metadata")).alias("text")
     return (
         docs.select("id", "text", F.map_concat(flat, other).alias("metadata"))
-        .join(embed_texts(docs.select("id", "text")), "id", "inner")
+        .join(embed_texts(docs.select("id", searched)), "id", "inner")
         .select("id", "text", "metadata", F.col("embedding").cast("array<float>").alias("embedding"))
     )
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from stemma.functions.replies import prompt_messages
 from stemma.functions.scores import distance_to_score
 from stemma.functions.text import strip
+from stemma.operators.store import last_per_key
 from stemma.session import materialize
 
 DIMENSIONS = 64
@@ -179,16 +180,23 @@ def _filled(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
 
 
+def other_lengths(vectors: DataFrame, length: int) -> DataFrame:
+    """(id, length) of the vectors that a search with queries of this length leaves out."""
+    return vectors.select("id", F.size("embedding").alias("length")).where((F.col("length") >= 0) & (F.col("length") != length))
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int = 5) -> DataFrame:
     """The ``top_k`` nearest vectors of each query by squared L2 distance.
 
     Input (query_id, embedding) and (id, embedding); output (query_id, rank, id,
     distance, score). Distances count to six decimals, ties go by id. Only the
-    pivots and one row of figures per cell reach the driver. Rows without a vector, or with nulls in
-    it, take no part.
+    pivots and one row of figures per cell reach the driver. Rows without a vector, with nulls in
+    it, or with another length than the longest query, take no part (``other_lengths`` lists these).
     """
     queries = _filled(queries.select("query_id", "embedding"))
     vectors = _filled(vectors.select("id", "embedding"))
+    length = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
+    queries, vectors = (v.where(F.size("embedding") == length) for v in (queries, vectors))
     kinds = dict(queries.dtypes), dict(vectors.dtypes)
     schema = f"query_id {kinds[0]['query_id']}, id {kinds[1]['id']}, distance double"
 
@@ -241,19 +249,27 @@ def _ranked(found: DataFrame, top_k: int) -> DataFrame:
 # ---- questions over documents -------------------------------------------------
 
 
+def one_per_id(docs: DataFrame, key: str) -> DataFrame:
+    """One row per id: of several, the one with the highest values, text first."""
+    rest = [c for c in docs.columns if c not in (key, "text")]
+    return last_per_key(docs, [key], F.struct("text", *rest))
+
+
 def search_documents(questions: DataFrame, docs: DataFrame, top_k: int = 5) -> DataFrame:
     """Nearest documents of each question by hashed word counts.
 
     Input (query_id, text) and (id, text); output as ``vector_search``. Both sets
-    of vectors are read several times, so they are written once first.
+    of vectors are read several times, so they are written once first. Of several texts with one id
+    the highest counts.
     """
-    q = materialize(embed_texts(questions, "query_id"), "question-vectors")
-    v = materialize(embed_texts(docs, "id"), "document-vectors")
+    q = materialize(embed_texts(one_per_id(questions, "query_id"), "query_id"), "question-vectors")
+    v = materialize(embed_texts(one_per_id(docs, "id"), "id"), "document-vectors")
     return vector_search(q, v, top_k)
 
 
 def search_hits(questions: DataFrame, docs: DataFrame, top_k: int = 5) -> DataFrame:
     """Search hits in their public shape, with the number of hits of the question as ``total``."""
+    docs = one_per_id(docs.select("id", "text", "asset_type"), "id")
     hits = search_documents(questions, docs, top_k)
     total = F.count(F.lit(1)).over(W.partitionBy("query_id"))
     return (

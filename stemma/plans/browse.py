@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from stemma.operators import catalog as C
 from stemma.operators import graph as G
+from stemma.operators import history as H
 from stemma.plans.registry import Inputs, query
+from stemma.plans.star import RELATIONS
 
 ASSET_COLUMNS = "asset_id, asset_type, name, description, owner, impact_score"
 
@@ -121,3 +123,45 @@ select asset_id, asset_id||' ('||asset_type||')' as label, substring(coalesce(de
 )
 def short_texts(t: Inputs) -> DataFrame:
     return C.short_texts(t("assets"))
+
+
+@query(
+    "catalog_cube",
+    """
+select asset_type, owner, split_part(asset_id, '.', 1) as "schema",
+ cast(grouping(asset_type, owner, split_part(asset_id, '.', 1)) as int) as level, count(*) as assets,
+ cast(sum(case when impact_score > 0 then 1 else 0 end) as bigint) as scored, max(impact_score) as max_score
+from {assets} group by cube (asset_type, owner, split_part(asset_id, '.', 1))
+""",
+)
+def catalog_cube(t: Inputs) -> DataFrame:
+    return C.catalog_cube(t("assets"))
+
+
+# Each order is a version of its customer's record; every shipped line asks for the record of its day.
+RELATIONS["record_versions"] = """
+select 'customer.c'||o_custkey as asset_id, o_orderdate as valid_from, o_orderkey, o_orderpriority as owner, o_orderstatus = 'P' as ended
+from {orders}
+"""
+RELATIONS["record_requests"] = """
+select 'customer.c'||o_custkey as asset_id, l_shipdate as at, l_orderkey, l_linenumber from {lineitem} join {orders} on o_orderkey = l_orderkey
+union all select 'customer.c'||c_custkey, cast('1992-06-30 00:00:00' as timestamp), 0, 0 from {customer}
+"""
+
+
+@query(
+    "asset_as_of",
+    """
+with v as (
+ select asset_id, valid_from, max((ended, o_orderkey, owner)) as x from {record_versions} group by asset_id, valid_from
+)
+select r.asset_id, r.at, r.l_orderkey, r.l_linenumber, case when not x[1] then x[2] end as version_order, case when not x[1] then x[3] end as owner,
+ case when not x[1] then v.valid_from end as valid_from
+from {record_requests} r asof left join v on r.asset_id = v.asset_id and r.at >= v.valid_from
+""",
+)
+def asset_as_of(t: Inputs) -> DataFrame:
+    found = H.as_of(t("record_requests"), t("record_versions"))
+    return found.select(
+        "asset_id", "at", "l_orderkey", "l_linenumber", F.col("version.o_orderkey").alias("version_order"), "version.owner", "version.valid_from"
+    )

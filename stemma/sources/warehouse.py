@@ -136,18 +136,19 @@ def scan_foreign_keys(
     """One row per pair of key column and referenced column of a constraint.
 
     The referenced side is matched by constraint name and schema only, so a key of
-    k columns gives k*k rows; the edges drop the copies.
+    k columns gives k*k rows; the edges drop the copies. Each pair comes once.
     """
     used = constraint_usage.select(
         "constraint_name",
         "table_schema",
         F.concat("table_schema", F.lit("."), "table_name").alias("references"),
         F.col("column_name").alias("foreign_column"),
-    )
+    ).distinct()
     pairs = (
         constraints.where(F.col("constraint_type") == "FOREIGN KEY")
         .select(*_CONSTRAINT)
-        .join(key_usage.select(*_CONSTRAINT, "column_name"), _CONSTRAINT, "inner")
+        .distinct()
+        .join(key_usage.select(*_CONSTRAINT, "column_name").distinct(), _CONSTRAINT, "inner")
         .join(used, ["constraint_name", "table_schema"], "inner")
     )
     return _of_kept(pairs, kept).select(
