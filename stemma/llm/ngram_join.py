@@ -253,8 +253,15 @@ def verified_links(family: DataFrame, texts: DataFrame, n: int, similarity: floa
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = RangeHash()
+        # Rows repeated with their id and text have one digest and meet in few tasks: each task sends one set of them.
+        hasher, seen = RangeHash(), set()
         for batch in batches:
+            new = []
+            for i, digest in enumerate(batch.column("digest").to_pylist()):
+                if digest not in seen:
+                    seen.add(digest)
+                    new.append(i)
+            batch = batch.take(pa.array(new, pa.int64()))
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             sets = [shingles(w, n).tobytes() for w in word_hashes(texts, hasher)]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(sets, pa.large_binary())], ["digest", "grams"])
@@ -330,8 +337,6 @@ def similar_documents(
         .join(wanted, "key")
         .where(F.col("doc_id").eqNullSafe(F.col("of")))
         .select("digest", "text")
-        # Rows repeated with their id and text would all bring their sets; copies go before the shuffle.
-        .dropDuplicates(["digest"])
     )
     links = stored(verified_links(family, texts, n, similarity), "ngram-links")
     counts = links.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))

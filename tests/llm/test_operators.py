@@ -634,3 +634,14 @@ def brute_base(text):
 def test_base_spans_of_any_text(parts):
     text = "".join(parts)
     assert secrets.base_spans(text, secrets._patterns()) == brute_base(text)
+
+
+def test_similar_documents_of_many_repeated_rows_without_id(spark):
+    """A third of the rows is one text without id, beside a near copy: one class, all links counted."""
+    base = words(60, 3)
+    near = " ".join(base[:30] + ["other"] + base[31:])
+    rows = [(None, " ".join(base), "a")] * 300 + [(1, near, "a")] + [(10 + k, " ".join(words(30, 200 + k)), "b") for k in range(600)]
+    found = ngram_join.similar_documents(documents(spark, rows)).collect()
+    links = Counter((r.doc_id is None, r.n_links) for r in found if r.doc_id in (None, 1))
+    assert len(found) == len(rows) and links == {(True, 300): 300, (False, 300): 1}
+    assert {r.class_id for r in found if r.doc_id in (None, 1)} == {1}
