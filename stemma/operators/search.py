@@ -255,22 +255,26 @@ def one_per_id(docs: DataFrame, key: str) -> DataFrame:
     return last_per_key(docs, [key], F.struct("text", *rest))
 
 
-def search_documents(questions: DataFrame, docs: DataFrame, top_k: int = 5) -> DataFrame:
+def search_documents(
+    questions: DataFrame, docs: DataFrame, top_k: int = 5, search: Callable[..., DataFrame] = vector_search
+) -> DataFrame:
     """Nearest documents of each question by hashed word counts.
 
     Input (query_id, text) and (id, text); output as ``vector_search``. Both sets
     of vectors are read several times, so they are written once first. Of several texts with one id
-    the highest counts.
+    the highest counts. ``search`` may be ``hashed_search.approximate_search``.
     """
     q = materialize(embed_texts(one_per_id(questions, "query_id"), "query_id"), "question-vectors")
     v = materialize(embed_texts(one_per_id(docs, "id"), "id"), "document-vectors")
-    return vector_search(q, v, top_k)
+    return search(q, v, top_k)
 
 
-def search_hits(questions: DataFrame, docs: DataFrame, top_k: int = 5) -> DataFrame:
+def search_hits(
+    questions: DataFrame, docs: DataFrame, top_k: int = 5, search: Callable[..., DataFrame] = vector_search
+) -> DataFrame:
     """Search hits in their public shape, with the number of hits of the question as ``total``."""
     docs = one_per_id(docs.select("id", "text", "asset_type"), "id")
-    hits = search_documents(questions, docs, top_k)
+    hits = search_documents(questions, docs, top_k, search)
     total = F.count(F.lit(1)).over(W.partitionBy("query_id"))
     return (
         hits.withColumn("total", total)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stemma.functions import replies as P
 from stemma.functions.scores import distance_to_score
 from stemma.operators import search as V
+from stemma.operators.hashed_search import approximate_search
 from stemma.operators.catalog import hit_blocks
 from stemma.plans.registry import Inputs, query
 from stemma.plans.star import RELATIONS
@@ -100,6 +101,17 @@ def vector_search(t: Inputs) -> DataFrame:
     )
 
 
+@query("vector_search_hashed")
+def vector_search_hashed(t: Inputs) -> DataFrame:
+    """Every vector whose id is divisible by 100 as a query against all vectors; a search that may miss hits has no SQL."""
+    vectors = t("embeddings")
+    return approximate_search(
+        vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"),
+        vectors.select(F.col("vec_id").alias("id"), "embedding"),
+        5,
+    )
+
+
 @query(
     "distance_to_score",
     """

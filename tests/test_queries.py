@@ -45,7 +45,8 @@ def test_query_matches_comparison(spark, duck, name):
 
 
 def test_every_query_has_a_comparison():
-    assert set(QUERIES) == set(entry_points.QUERIES)
+    """The search that may miss hits is held against brute force in test_hashed_search.py."""
+    assert set(QUERIES) == set(entry_points.QUERIES) - {"vector_search_hashed"}
 
 
 def test_entry_gives_rows(spark):
