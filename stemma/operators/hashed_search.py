@@ -108,8 +108,8 @@ def approximate_search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, t
     ``target`` is the expected share of true hits that are found. Distances are exact and ties go by id; a query
     whose buckets hold fewer than ``top_k`` vectors has fewer hits. Each query id stands for one vector. Rows without a vector, with nulls in it, or with
     another length than the longest query, take no part. The driver gets at most ``SAMPLE_VECTORS`` vectors and
-    ``SAMPLE_QUERIES`` times ``top_k`` angles. Vectors stay where they are while the queries' buckets are small
-    enough for Spark to send; beyond that both sides meet by bucket, where a hot bucket splits as a skewed side.
+    ``SAMPLE_QUERIES`` times ``top_k`` angles. Only ids and codes meet by bucket, where a hot bucket splits as a skewed
+    side; each pair is compared once, and its vectors are looked up then.
     """
     wide = F.col("embedding").cast("array<double>").alias("embedding")
     queries = _filled(queries.select("query_id", wide))
@@ -125,19 +125,16 @@ def approximate_search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, t
     planes, tables = plan_tables(_angles(queries, classes, centre, top_k), target)
     codes = _codes_udf(centre, np.random.default_rng(SEED).normal(size=(tables, planes, length)))
 
-    stored = classes.select("class", "embedding", F.posexplode(codes("embedding")).alias("table", "code"))
+    coded = classes.select("class", F.posexplode(codes("embedding")).alias("table", "code"))
     near = F.array(*[F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(planes)]])
     visited = queries.select("query_id", F.posexplode(codes("embedding")).alias("table", "own")).select(
         "query_id", "table", F.explode(F.transform(near, lambda bit: F.col("own").bitwiseXOR(bit))).alias("code")
     )
-    pairs = stored.join(visited, ["table", "code"]).join(queries.withColumnRenamed("embedding", "wanted"), "query_id")
-    found = pairs.select("query_id", "class", _squared_distance(F.col("embedding"), F.col("wanted")).alias("distance"))
-    # A pair is found at most once per table, so this many rows hold the nearest classes.
-    order = W.partitionBy("query_id").orderBy("distance", "class")
-    cut = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top_k * tables)
-    hits = cut.groupBy("query_id", "class").agg(F.min("distance").alias("distance"))
+    pairs = coded.join(visited, ["table", "code"]).select("query_id", "class").distinct()
+    both = pairs.join(classes, "class").join(queries.withColumnRenamed("embedding", "wanted"), "query_id")
+    found = both.select("query_id", "class", _squared_distance(F.col("embedding"), F.col("wanted")).alias("distance"))
     best = W.partitionBy("query_id").orderBy("distance", "class")
-    hits = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= top_k).drop("n")
+    hits = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= top_k).drop("n")
     members = kept.select("class", "id")
     last = W.partitionBy("query_id").orderBy("distance", "id")
     return (
