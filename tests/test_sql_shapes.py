@@ -75,6 +75,13 @@ def test_file_names_are_decoded_and_suffixes_in_any_case(spark, tmp_path):
     assert found == {f"sub dir/{n}" for n in names}
 
 
+def test_a_percent_sign_in_a_file_name_is_no_escape(spark, tmp_path):
+    names = ["b%20c.sql", "50%25.sql", "100%.sql"]
+    for n in names:
+        (tmp_path / n).write_text("select 1")
+    assert {r.source for r in files.scan_sql_files(spark, [str(tmp_path)], str(tmp_path)).collect()} == set(names)
+
+
 def test_empty_jobs_are_dropped(spark, tmp_path):
     (tmp_path / "y.Json").write_text('{"etl_jobs": [{}, {"name": "y", "sources": ["real"]}]}')
     (tmp_path / "z.json").write_text("{}")
