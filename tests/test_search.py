@@ -128,3 +128,13 @@ def test_rows_without_a_vector_take_no_part(spark):
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [None, 1.0])], "id string, embedding array<double>")
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id int, embedding array<double>")
     assert [(r.query_id, r.id) for r in search.vector_search(queries, vectors, 3).collect()] == [(1, "a")]
+
+
+def test_words_are_counted_without_a_shuffle(spark):
+    texts = [("a", "Tea tea, milk"), ("b", ""), ("c", None), ("d", "tea")]
+    found = search.embed_texts(spark.createDataFrame(texts, "id string, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    got = {r.id: r.embedding for r in found.collect()}
+    assert sorted(x for x in got["a"] if x) == pytest.approx([1 / 5**0.5, 2 / 5**0.5])
+    assert got["b"] == got["c"] == [0.0] * 64 and sum(got["d"]) == 1.0 and got["a"][got["d"].index(1.0)] > 0.8
