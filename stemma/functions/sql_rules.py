@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,6 +72,33 @@ def is_blank(sql: Column) -> Column:
 # ---- references and structure -------------------------------------------------
 
 
+def _replaced(text: Column, may_match, pattern: str, by: str) -> Column:
+    """``regexp_replace`` only where ``may_match`` holds, a cheap test that every match needs; the text is evaluated once."""
+    return F.transform(F.array(text), lambda x: F.when(may_match(x), F.regexp_replace(x, pattern, by)).otherwise(x))[0]
+
+
+def without_literals(sql: Column) -> Column:
+    """Comments, quoted literals, IS DISTINCT FROM and table hints become blanks."""
+
+    def has_any(*marks: str):
+        return lambda x: reduce(Column.__or__, [F.contains(x, F.lit(m)) for m in marks])
+
+    plain = _replaced(
+        sql, has_any("'", "$", "--", "/*"),
+        r"(?i)\be'(?:[^'\\]|\\.|'')*+'|'[^']*'|\$(\w*)\$[\s\S]*?\$\1\$|--[^\n]*|/\*[\s\S]*?\*/", " ",
+    )
+    plain = _replaced(plain, lambda x: x.rlike("(?iu)distinct"), r"(?iU)\bis\s+(?:not\s+)?distinct\s+from\b", " = ")
+    return _replaced(plain, has_any("("), HINT_LIST, " ")
+
+
+def resolved_lists(plain: Column) -> Column:
+    """Second half of :func:`mask`, from the text ``without_literals``; give it a column, as it reads the text several times."""
+    nested = F.contains(plain, F.lit("("))
+    goes_on = F.contains(plain, F.lit(",")) & plain.rlike("(?iu)on")
+    flat = F.when(goes_on, F.regexp_replace(plain, COMMA_AFTER_ON, "$1 from ")).otherwise(plain)
+    return F.when(nested, resolved(F.when(nested, plain))).otherwise(flat)
+
+
 def mask(sql: Column) -> Column:
     """Comments, quoted literals and whatever uses FROM as a word of an expression become blanks.
 
@@ -78,14 +106,7 @@ def mask(sql: Column) -> Column:
     their arguments follow behind the text. A comma that goes on with the FROM list after a join condition becomes FROM.
     Texts with parentheses pass through ``sql_parentheses.resolved`` in Arrow batches; the others stay in the JVM.
     """
-    plain = F.regexp_replace(
-        sql, r"(?i)\be'(?:[^'\\]|\\.|'')*+'|'[^']*'|\$(\w*)\$[\s\S]*?\$\1\$|--[^\n]*|/\*[\s\S]*?\*/", " "
-    )
-    plain = F.regexp_replace(plain, r"(?iU)\bis\s+(?:not\s+)?distinct\s+from\b", " = ")
-    plain = F.regexp_replace(plain, HINT_LIST, " ")
-    nested, listed = F.contains(plain, F.lit("(")), F.contains(plain, F.lit(","))
-    flat = F.when(listed, F.regexp_replace(plain, COMMA_AFTER_ON, "$1 from ")).otherwise(plain)
-    return F.when(nested, resolved(F.when(nested, plain))).otherwise(flat)
+    return resolved_lists(without_literals(sql))
 
 
 def outer_text(sql: Column) -> Column:
@@ -106,18 +127,20 @@ def outer_text(sql: Column) -> Column:
     return F.aggregate(F.split(sql, "(?=[()])"), begin, step)["text"]
 
 
+def _found(text: Column, may_match: Column, pattern: str) -> Column:
+    """``regexp_extract_all`` of group 1 only where ``may_match`` holds, a cheap test that every match needs."""
+    return F.when(may_match, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+
 def cte_names(masked: Column) -> Column:
+    comma = F.contains(masked, F.lit(",")) & F.contains(masked, F.lit("("))
     return F.transform(
-        F.concat(
-            F.regexp_extract_all(masked, F.lit(CTE_FIRST), F.lit(1)),
-            F.regexp_extract_all(masked, F.lit(CTE_NEXT), F.lit(1)),
-        ),
-        F.lower,
+        F.concat(_found(masked, masked.rlike("(?iu)with"), CTE_FIRST), _found(masked, comma, CTE_NEXT)), F.lower
     )
 
 
 def _names(masked: Column) -> Column:
-    lists = F.regexp_extract_all(masked, F.lit(TABLE_LIST), F.lit(1))
+    lists = _found(masked, F.contains(masked, F.lit(",")), TABLE_LIST)
     listed = F.flatten(F.transform(lists, lambda x: F.split(x, ",")))
     return F.concat(
         F.regexp_extract_all(masked, F.lit(TABLE_AFTER_WORD), F.lit(1)),
@@ -144,13 +167,15 @@ def extract_joins(masked: Column, default_schema: str = "public") -> Column:
         F.regexp_extract_all(masked, F.lit(JOIN), F.lit(2)).alias("name"),
     )
     named = F.filter(zipped, lambda j: ~F.lower(j["name"]).isin(*NOT_NAMES))
-    return F.transform(
+    joins = F.transform(
         named,
         lambda j: F.struct(
             F.upper(F.regexp_replace(j["word"], r"\s+", " ")).alias("join_type"),
             _ref(j["name"], default_schema).alias("table"),
         ),
     )
+    none = F.array().cast("array<struct<join_type:string,table:string>>")
+    return F.when(masked.rlike("(?iu)join"), joins).otherwise(F.when(masked.isNotNull(), none))
 
 
 def statement_type(masked: Column) -> Column:

@@ -24,7 +24,8 @@ def parse_sql_texts(df: DataFrame, sql: str = "sql", default_schema: str = "publ
     nothing = F.array().cast("array<string>")
     kind = F.when(F.col(sql) == "", F.lit("QUERY")).otherwise(F.col("statement_type"))
     return (
-        df.withColumn("_masked", R.mask(F.col(sql)))
+        df.withColumn("_plain", R.without_literals(F.col(sql)))
+        .withColumn("_masked", R.resolved_lists(F.col("_plain")))
         .withColumn("statement_type", R.statement_type(F.col("_masked")))
         .withColumn("tables", R.extract_tables(F.col("_masked"), default_schema))
         .withColumn("joins", R.extract_joins(F.col("_masked"), default_schema))
@@ -33,7 +34,7 @@ def parse_sql_texts(df: DataFrame, sql: str = "sql", default_schema: str = "publ
         .withColumn("aggregations", nothing)
         .withColumn("subqueries", nothing)
         .withColumn("transformation_description", R.describe_sql(kind, F.col("tables")))
-        .drop("_masked")
+        .drop("_plain", "_masked")
     )
 
 
