@@ -33,10 +33,40 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def numbered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, n) and links with numbers in place of ids, both stored: rounds move 8 bytes per end, not texts."""
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = materialize(nodes.withColumn("n", F.monotonically_increasing_id()), "path-nodes")
+    n_a, n_b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    coded = links.join(n_a, "a").join(n_b, "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
+    return nodes, materialize(coded, "path-links")
+
+
+def unknown(reached: DataFrame, rounds: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Distinct reached rows that no round holds, stored.
+
+    Behind a small frontier what was reached is stored first, so Spark knows its size and can send it to the known rows,
+    which are then neither shuffled nor sorted. So the many late rounds that find little cost a scan each.
+    """
+    known = _all([r.select(*keys) for r in rounds])
+    if 8 * rounds[-1].count() >= known.count():
+        return materialize(reached.distinct().join(known, keys, "left_anti"), "path-round")
+    reached = materialize(reached.distinct(), "path-reached")
+    seen = known.join(reached, keys, "left_semi")
+    return materialize(reached.join(seen, keys, "left_anti"), "path-round")
+
+
+_FOUND = ["asset_id", "side", "node"]
+
+
+def hop(frontier: DataFrame, steps: DataFrame) -> DataFrame:
+    """(asset_id, side, node) one hop beyond the frontier, copies included."""
+    return frontier.join(steps, ["side", "node"]).select("asset_id", "side", F.col("next").alias("node"))
+
+
 def next_round(frontier: DataFrame, steps: DataFrame, known: DataFrame) -> DataFrame:
-    """New (asset_id, side, node) one hop beyond the frontier."""
-    reached = frontier.join(steps, ["side", "node"]).select("asset_id", "side", F.col("next").alias("node")).distinct()
-    return reached.join(known, ["asset_id", "side", "node"], "left_anti")
+    """New (asset_id, side, node) one hop beyond the frontier, as one plan."""
+    return hop(frontier, steps).distinct().join(known, _FOUND, "left_anti")
 
 
 def transitive_lineage(requests: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -45,20 +75,24 @@ def transitive_lineage(requests: DataFrame, edges: DataFrame, max_depth: int | N
     ``requests`` has asset_id and direction as in ``graph.asset_lineage``. The asset itself is not listed, also
     where a cycle leads back to it. Ids of edges need not be registered. ``max_depth`` ends the search earlier.
     """
-    links = _links(edges)
+    nodes, links = numbered(_links(edges))
     steps = links.select(F.lit(DOWNSTREAM).alias("side"), F.col("a").alias("node"), F.col("b").alias("next")).unionByName(
         links.select(F.lit(UPSTREAM).alias("side"), F.col("b").alias("node"), F.col("a").alias("next"))
     )
     sides = F.when(F.col("direction") == "both", F.array(F.lit(UPSTREAM), F.lit(DOWNSTREAM))).otherwise(F.array("direction"))
-    asked = lineage_requests(requests).where("asset_id <> ''").select("asset_id", F.explode(sides).alias("side")).distinct()
-    rounds = [materialize(asked.withColumn("node", F.col("asset_id")), "path-round")]
+    asked = lineage_requests(requests).where("asset_id <> ''").select(F.col("asset_id").alias("node"), F.explode(sides).alias("side"))
+    # An id without any edge reaches nothing.
+    first = asked.distinct().join(nodes, "node").select(F.col("n").alias("asset_id"), "side", F.col("n").alias("node"))
+    rounds = [materialize(first, "path-round")]
     while max_depth is None or len(rounds) <= max_depth:
-        found = materialize(next_round(rounds[-1], steps, _all(rounds)), "path-round")
+        found = unknown(hop(rounds[-1], steps), rounds, _FOUND)
         if not _some(found):
             break
         rounds.append(found)
-    depths = [r.withColumn("depth", F.lit(k)) for k, r in enumerate(rounds)]
-    return _all(depths).where("depth > 0")
+    reach = _all([r.withColumn("depth", F.lit(k)) for k, r in enumerate(rounds)]).where("depth > 0")
+    asked_id = nodes.select(F.col("n").alias("source"), F.col("node").alias("asset_id"))
+    reach = reach.select(F.col("asset_id").alias("source"), "side", F.col("node").alias("n"), "depth")
+    return reach.join(nodes, "n").join(asked_id, "source").select("asset_id", "side", "node", "depth")
 
 
 # ---- cycles and layers ----------------------------------------------------------
@@ -182,8 +216,8 @@ def affected_estimates(edges: DataFrame, lg_registers: int = LG_REGISTERS) -> Da
     sent on. So the work is a few kilobytes per edge and hop, however large the sets are; the sets are never
     listed. An asset on a cycle affects itself. Assets that affect nothing have 0.
     """
-    links = _links(edges)
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    names, links = numbered(_links(edges))
+    nodes = names.select(F.col("node").alias("asset_id"), F.col("n").alias("node"))
     first = links.groupBy(F.col("a").alias("node")).agg(F.hll_sketch_agg("b", lg_registers).alias("sketch"))
     held = materialize(first.withColumn("estimate", F.hll_sketch_estimate("sketch")), "path-sketches")
     grown = held
@@ -204,24 +238,22 @@ def affected_estimates(edges: DataFrame, lg_registers: int = LG_REGISTERS) -> Da
         if not _some(grown):
             break
     return nodes.join(held, "node", "left").select(
-        F.col("node").alias("asset_id"), F.coalesce("estimate", F.lit(0)).cast("long").alias("estimate")
+        "asset_id", F.coalesce("estimate", F.lit(0)).cast("long").alias("estimate")
     )
 
 
 def affected_counts(edges: DataFrame) -> DataFrame:
     """(asset_id, affected): the exact counts, from the listed closure; for graphs whose closure can be stored."""
-    links = _links(edges)
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes, links = numbered(_links(edges))
+    steps = links.withColumnRenamed("a", "via")
     rounds = [links]
     while True:
-        ahead = rounds[-1].select("a", F.col("b").alias("via")).join(
-            links.select(F.col("a").alias("via"), "b"), "via"
-        ).select("a", "b").distinct()
-        new = materialize(ahead.join(_all(rounds), ["a", "b"], "left_anti"), "path-closure")
+        ahead = rounds[-1].select("a", F.col("b").alias("via")).join(steps, "via").select("a", "b")
+        new = unknown(ahead, rounds, ["a", "b"])
         if not _some(new):
             break
         rounds.append(new)
-    counts = _all(rounds).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("affected"))
-    return nodes.join(counts, "node", "left").select(
+    counts = _all(rounds).groupBy(F.col("a").alias("n")).agg(F.count(F.lit(1)).alias("affected"))
+    return nodes.join(counts, "n", "left").select(
         F.col("node").alias("asset_id"), F.coalesce("affected", F.lit(0)).alias("affected")
     )

@@ -115,3 +115,15 @@ def test_a_round_joins_the_frontier_only(spark):
     plan = P.next_round(frontier, steps, known)._jdf.queryExecution().optimizedPlan().toString()
     top, inner = plan.index("LeftAnti"), plan.index("Join Inner")
     assert top < inner and plan.count("Join") == 2
+
+
+def test_rounds_hold_numbers_and_a_small_round_finds_only_what_is_new(spark):
+    edges = spark.createDataFrame([("x", "y", "t"), ("y", "x", "t"), ("y", "z", "t")], "source_asset_id string, target_asset_id string, relationship_type string")
+    nodes, links = P.numbered(P._links(edges))
+    assert dict(links.dtypes) == {"a": "bigint", "b": "bigint"}
+    name = {r.n: r.node for r in nodes.collect()}
+    assert sorted((name[r.a], name[r.b]) for r in links.collect()) == [("x", "y"), ("y", "x"), ("y", "z")]
+    pairs = "a bigint, b bigint"
+    rounds = [spark.range(100).selectExpr("id as a", "id as b"), spark.createDataFrame([(1, 2)], pairs)]
+    reached = spark.createDataFrame([(1, 2), (5, 5), (5, 6), (5, 6)], pairs)
+    assert [tuple(r) for r in P.unknown(reached, rounds, ["a", "b"]).collect()] == [(5, 6)]
