@@ -138,3 +138,46 @@ def test_words_are_counted_without_a_shuffle(spark):
     got = {r.id: r.embedding for r in found.collect()}
     assert sorted(x for x in got["a"] if x) == pytest.approx([1 / 5**0.5, 2 / 5**0.5])
     assert got["b"] == got["c"] == [0.0] * 64 and sum(got["d"]) == 1.0 and got["a"][got["d"].index(1.0)] > 0.8
+
+
+@pytest.mark.parametrize("scale", [1e-4, 1.0, 1e4, 1e20])
+def test_a_block_gives_the_exact_hits_at_any_scale(scale):
+    """Near ties, copies and many near pairs at once: single precision alone would order some of them wrongly."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(6, 10))
+    v = base[rng.integers(0, 6, 1500)] + rng.normal(size=(1500, 10)) * 1e-7
+    v[200:900] = v[3]
+    v, q = v * scale, (base[[0, 1, 2, 2, 5]] + 1e-6) * scale
+    for k in (1, 5, 40):
+        kept = search._first_copies(v, k)
+        assert (kept >= 200).sum() < 1500 - 200 and len(kept) <= 800 + k
+        at, place, distance = search._nearest(q, v[kept], k)
+        for i in range(len(q)):
+            d = np.round(((v - q[i]) ** 2).sum(1), 6)
+            want = np.lexsort((np.arange(len(v)), d))[:k]
+            assert list(kept[place[at == i]]) == list(want) and list(distance[at == i]) == list(d[want])
+
+
+def test_held_pairs_are_measured_before_they_are_many(monkeypatch):
+    monkeypatch.setattr(search, "HELD_PAIRS", 50)
+    monkeypatch.setattr(search, "TILE_VECTORS", 16)
+    rng = np.random.default_rng(5)
+    v, q = 1 + rng.normal(size=(400, 6)) * 1e-6, np.ones((9, 6))
+    at, place, _ = search._nearest(q, v, 7)
+    d = np.round(((v - 1) ** 2).sum(1), 6)
+    assert [list(place[at == i]) for i in range(9)] == [list(np.lexsort((np.arange(400), d))[:7])] * 9
+
+
+def test_vectors_that_are_not_finite_do_not_hide_hits(spark):
+    data = np.array([[1.0, 0.0], [np.nan, 1.0], [np.inf, 0.0], [0.0, 1.0]])
+    hits = search.vector_search(vectors(spark, np.array([[1.0, 0.0]]), "query_id"), vectors(spark, data, "id"), 3).collect()
+    assert sorted((h.rank, h.id) for h in hits) == [(1, "id0000"), (2, "id0003")]
+
+
+def test_cells_that_nothing_skips_are_one_block(spark):
+    """Vectors without clusters: a query is sent once, not once per cell."""
+    rng = np.random.default_rng(2)
+    data, queries = rng.normal(size=(300, 16)), rng.normal(size=(20, 16))
+    hits = search.vector_search(vectors(spark, queries, "query_id"), vectors(spark, data, "id"), 4)
+    assert {(h.query_id, h.rank, h.id, round(h.distance, 6)) for h in hits.collect()} == brute(queries, data, 4)
+    assert " cells(" not in hits._jdf.queryExecution().optimizedPlan().toString()
