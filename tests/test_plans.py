@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from stemma.operators import graph
+from stemma.plans import star
 from stemma.schemas import ASSETS
 
 DATA = "/root/testdata/sf0.001"
@@ -137,3 +138,14 @@ def test_a_single_question_filters_the_edge_scan(spark, tmp_path):
     assert [(r.neighbour_id, r.missing, r.asset_known) for r in lineage.collect()] == [("a7", True, True)]
     usage = Catalog(spark, str(tmp_path)).analyze_data_usage("a7").first()
     assert (usage.downstream_count, usage.table_count, usage.asset_known) == (1, 1, False)
+
+
+def test_edges_are_dealt_by_their_number(spark, monkeypatch, rows):
+    """The pairs of line items go to more tasks as they get more, and are the rows of the SQL."""
+    monkeypatch.setattr(star, "PAIR_ROWS", 200)
+    parts = {n: star.relation(spark, DATA, n) for n in ("lineitem", "orders", "customer")}
+    n = -(-parts["lineitem"].count() // 200)
+    edges = star.relation(spark, DATA, "edges")
+    assert n > 8 and edges._jdf.queryExecution().optimizedPlan().toString().count(f", {n}") == 2
+    assert rows(edges) == rows(spark.sql(star.RELATIONS["edges"], **parts))
+    assert edges.dtypes == spark.sql(star.RELATIONS["edges"], **parts).dtypes
