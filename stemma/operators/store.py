@@ -140,10 +140,14 @@ def valid_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def add_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Union without copies of a (source, target, type) triple."""
+def add_edges(old: DataFrame, new: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Union without copies of a (source, target, type) triple.
+
+    ``tasks`` fixes over how many tasks the triples are dealt, for inputs of known size; else Spark decides.
+    """
     names = EDGES.fieldNames()
-    return old.select(*names).unionByName(valid_edges(new).select(*names)).dropDuplicates(names)
+    both = old.select(*names).unionByName(valid_edges(new).select(*names))
+    return (both.repartition(tasks, *names) if tasks else both).dropDuplicates(names)
 
 
 def update_impact_scores(old: DataFrame, scores: DataFrame) -> DataFrame:

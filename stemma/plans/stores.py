@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stemma.operators import catalog as C
 from stemma.operators import store as ST
 from stemma.plans.registry import Inputs, query
-from stemma.plans.star import RELATIONS
+from stemma.plans.star import RELATIONS, dealt
 from stemma.schemas import ASSETS
 from stemma.session import new_folder
 from stemma.sources import snapshots as SN
@@ -149,7 +149,7 @@ select * from {incoming_edges} where coalesce(source_asset_id, '') <> '' and coa
 """,
 )
 def add_edges(t: Inputs) -> DataFrame:
-    return ST.add_edges(t("edges"), t("incoming_edges"))
+    return ST.add_edges(t("edges"), t("incoming_edges"), dealt(t("lineitem")))
 
 
 @query(

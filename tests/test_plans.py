@@ -149,3 +149,12 @@ def test_edges_are_dealt_by_their_number(spark, monkeypatch, rows):
     assert n > 8 and edges._jdf.queryExecution().optimizedPlan().toString().count(f", {n}") == 2
     assert rows(edges) == rows(spark.sql(star.RELATIONS["edges"], **parts))
     assert edges.dtypes == spark.sql(star.RELATIONS["edges"], **parts).dtypes
+
+
+def test_added_edges_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(star, "PAIR_ROWS", 200)
+    added = QUERIES["add_edges"](spark, DATA)
+    n = -(-star.relation(spark, DATA, "lineitem").count() // 200)
+    names = r"source_asset_id#\d+, target_asset_id#\d+, relationship_type#\d+"
+    assert n > 8 and len(re.findall(rf"hashpartitioning\({names}, {n}\)", plan(added))) == 1
+    assert len(re.findall(rf"hashpartitioning\({names}", plan(added))) == 1
