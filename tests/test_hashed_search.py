@@ -89,3 +89,22 @@ def test_registered_query_reaches_its_recall(spark):
         table.selectExpr("vec_id as id", "embedding"), 5,
     )
     assert H.recall(exact, got).first()["recall"] >= 0.9
+
+
+def test_pairs_are_not_listed_where_most_would_be(spark):
+    """Random directions: the hits are those of the exact search, and no row per pair is made."""
+    array = np.random.default_rng(6).normal(size=(600, 32))
+    data = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(array)], "id int, embedding array<double>")
+    queries = data.where("id % 7 = 0").withColumnRenamed("id", "query_id")
+    got = H.approximate_search(queries, data, 5)
+    assert "codes(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in vector_search(queries, data, 5).collect()}
+
+
+def test_recall_of_listed_pairs(spark, monkeypatch):
+    monkeypatch.setattr(H, "EXACT_SHARE", 2.0)
+    data = clustered(np.random.default_rng(9), 1200)
+    q, v = vectors(spark, data[::40] + 0.01, "query_id"), vectors(spark, data, "id")
+    got = H.approximate_search(q, v, 5)
+    assert "codes(" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert H.recall(vector_search(q, v, 5), got).first()["recall"] >= 0.9
