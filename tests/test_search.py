@@ -180,4 +180,4 @@ def test_cells_that_nothing_skips_are_one_block(spark):
     data, queries = rng.normal(size=(300, 16)), rng.normal(size=(20, 16))
     hits = search.vector_search(vectors(spark, queries, "query_id"), vectors(spark, data, "id"), 4)
     assert {(h.query_id, h.rank, h.id, round(h.distance, 6)) for h in hits.collect()} == brute(queries, data, 4)
-    assert " cells(" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "cells(" not in hits._jdf.queryExecution().optimizedPlan().toString()
