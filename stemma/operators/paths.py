@@ -167,42 +167,103 @@ def _cycles_of(links: DataFrame) -> DataFrame:
     return materialize(whole.join(real, "cycle", "left_semi").select("node", "cycle"), "path-cycles")
 
 
+def _codes(names: DataFrame, seed: int) -> bool:
+    """Whether the numbers that ``seed`` gives to distinct names differ; a repeated number gives False."""
+    coded = names.select(_code(F.col("name"), seed).alias("n"))
+    return coded.distinct().count() == names.count()
+
+
+def _code(name: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), name)
+
+
+def named_ends(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, n, fed, own) per node and (a, b) in numbers for links between different nodes, copies included.
+
+    A node's number follows from its name alone, so no link is joined to get numbers; that they differ is checked, and another
+    seed is taken if not. ``fed`` tells whether another node feeds it, ``own`` whether it feeds itself.
+    """
+    a, b = F.col("source_asset_id"), F.col("target_asset_id")
+    raw = materialize(edges.where(a.isNotNull() & b.isNotNull()).select(a.alias("a"), b.alias("b")), "path-links")
+    loop = F.col("a") == F.col("b")
+    ends = F.array(
+        F.struct(F.col("a").alias("name"), F.lit(False).alias("fed"), loop.alias("own")),
+        F.struct(F.col("b").alias("name"), (~loop).alias("fed"), loop.alias("own")),
+    )
+    nodes = raw.select(F.inline(ends)).groupBy("name").agg(F.max("fed").alias("fed"), F.max("own").alias("own"))
+    nodes = materialize(nodes, "path-nodes")
+    seed = 1
+    while not _codes(nodes, seed):
+        seed += 1
+    links = raw.where(~loop).select(_code(F.col("a"), seed).alias("a"), _code(F.col("b"), seed).alias("b"))
+    return nodes.withColumn("n", _code(F.col("name"), seed)), links
+
+
+def _unfed(links: DataFrame) -> DataFrame:
+    """(n): the nodes that feed others and that no one feeds."""
+    ends = F.array(
+        F.struct(F.col("a").alias("n"), F.lit(False).alias("fed")), F.struct(F.col("b").alias("n"), F.lit(True).alias("fed"))
+    )
+    return links.select(F.inline(ends)).groupBy("n").agg(F.max("fed").alias("fed")).where("not fed").select("n")
+
+
+def _split(links: DataFrame, ready: DataFrame) -> DataFrame:
+    """The links, stored, with ``gone`` where the node they come from is ready."""
+    met = ready.select(F.col("n").alias("a"), F.lit(True).alias("met"))
+    return materialize(links.join(met, "a", "left").select("a", "b", F.col("met").isNotNull().alias("gone")), "path-left")
+
+
+def _layers_of_units(links: DataFrame, layers: DataFrame) -> DataFrame:
+    """(n, layer): ``layers`` raised to one more than the highest layer a unit depends on; the links have no cycle."""
+    links = materialize(links.distinct(), "path-left")
+    while _some(links):
+        marked = _split(links, _unfed(links))
+        links = marked.where("not gone").select("a", "b")
+        # One row per unit on both sides.
+        heard = marked.where("gone").join(layers.withColumnRenamed("n", "a"), "a").groupBy(F.col("b").alias("n")).agg(
+            (F.max("layer") + 1).alias("heard")
+        )
+        layers = materialize(layers.join(heard, "n", "left").select("n", F.greatest("layer", "heard").alias("layer")), "path-layers")
+    return layers
+
+
 def lineage_layers(edges: DataFrame) -> DataFrame:
     """(asset_id, layer, cycle): the order in which assets can be refreshed.
 
     Layer 0 depends on nothing; an asset's layer is one more than the highest layer it depends on. Assets that depend on
     each other share a layer, and ``cycle`` names their smallest (null elsewhere; an asset that only depends on itself
-    is its own cycle). Peeling: each round takes the units without open dependencies and counts down those behind them.
+    is its own cycle). Peeling: each round takes the nodes that no open link feeds and closes the links behind them, so
+    rounds get smaller. Only what cannot be peeled, cycles and what is behind them, is searched for cycles, and goes on with a unit
+    per cycle.
     """
-    links = _links(edges)
-    nodes = materialize(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "path-nodes")
-    cycles = _cycles_of(links)
-    named = materialize(
-        nodes.join(cycles, "node", "left").select("node", F.coalesce("cycle", "node").alias("unit"), "cycle"), "path-units"
-    )
-    unit_a = named.select(F.col("node").alias("a"), F.col("unit").alias("from"))
-    unit_b = named.select(F.col("node").alias("b"), F.col("unit").alias("to"))
-    between = materialize(
-        links.join(unit_a, "a").join(unit_b, "b").where("from <> to").select("from", "to").distinct(), "path-between"
-    )
-    open_ = materialize(between.groupBy(F.col("to").alias("unit")).agg(F.count(F.lit(1)).alias("waits")), "path-open")
-    ready = materialize(named.select("unit").distinct().join(open_, "unit", "left_anti"), "path-ready")
-    layers = []
+    nodes, links = named_ends(edges)
+    ready, closed = nodes.where("not fed").select("n"), []
     while _some(ready):
-        layers.append(ready)
-        met = ready.join(between, ready["unit"] == between["from"]).groupBy("to").agg(F.count(F.lit(1)).alias("met"))
-        left = open_.join(met, open_["unit"] == met["to"], "left").select(
-            "unit", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")
+        marked = _split(links, ready)
+        # Who is fed from round k is at layer k + 1 at least; who gets free in the next round is at that layer.
+        closed.append(marked.where("gone").select(F.col("b").alias("n"), F.lit(len(closed) + 1).alias("layer")))
+        links = marked.where("not gone").select("a", "b")
+        ready = materialize(_unfed(links), "path-ready")
+    none = nodes.limit(0).select("n", F.lit(0).alias("layer"))
+    fed = _all([none, *closed]).groupBy("n").agg(F.max("layer").alias("layer"))
+    if not _some(links):
+        return nodes.join(fed, "n", "left").select(
+            F.col("name").alias("asset_id"), F.coalesce("layer", F.lit(0)).alias("layer"), F.when(F.col("own"), F.col("name")).alias("cycle")
         )
-        left = materialize(left, "path-open")
-        ready = materialize(left.where("waits = 0").select("unit"), "path-ready")
-        open_ = left.where("waits > 0")
-    if not layers:
-        return named.select(F.col("node").alias("asset_id"), F.lit(0).alias("layer"), "cycle")
-    layer = _all([r.select("unit", F.lit(k).alias("layer")) for k, r in enumerate(layers)])
-    own = links.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("own"))
-    return named.join(layer, "unit").join(own, "node", "left").select(
-        F.col("node").alias("asset_id"), "layer", F.coalesce("cycle", "own").alias("cycle")
+    fed, links = materialize(fed, "path-fed"), materialize(links.distinct(), "path-left")
+    cycles = _cycles_of(links)
+    rest = links.select(F.explode(F.array("a", "b")).alias("n")).distinct().join(cycles.withColumnRenamed("node", "n"), "n", "left")
+    units = materialize(rest.select("n", F.coalesce("cycle", "n").alias("unit"), "cycle"), "path-units")
+    start = units.join(fed, "n", "left").groupBy("unit").agg(F.coalesce(F.max("layer"), F.lit(0)).alias("layer"))
+    unit_a = units.select(F.col("n").alias("a"), F.col("unit").alias("from"))
+    unit_b = units.select(F.col("n").alias("b"), F.col("unit").alias("to"))
+    between = links.join(unit_a, "a").join(unit_b, "b").where("from <> to").select(F.col("from").alias("a"), F.col("to").alias("b"))
+    layers = _layers_of_units(between, materialize(start.withColumnRenamed("unit", "n"), "path-layers"))
+    named = units.where("cycle is not null").join(nodes.select("n", "name"), "n").groupBy("cycle").agg(F.min("name").alias("cycle_name"))
+    late = units.join(layers.select(F.col("n").alias("unit"), F.col("layer").alias("late")), "unit").join(named, "cycle", "left")
+    return nodes.join(fed, "n", "left").join(late.select("n", "late", "cycle_name"), "n", "left").select(
+        F.col("name").alias("asset_id"), F.coalesce("late", "layer", F.lit(0)).alias("layer"),
+        F.coalesce("cycle_name", F.when(F.col("own"), F.col("name"))).alias("cycle"),
     )
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stemma.operators import paths as P
 from stemma.session import materialize
@@ -127,3 +128,33 @@ def test_rounds_hold_numbers_and_a_small_round_finds_only_what_is_new(spark):
     rounds = [spark.range(100).selectExpr("id as a", "id as b"), spark.createDataFrame([(1, 2)], pairs)]
     reached = spark.createDataFrame([(1, 2), (5, 5), (5, 6), (5, 6)], pairs)
     assert [tuple(r) for r in P.unknown(reached, rounds, ["a", "b"]).collect()] == [(5, 6)]
+
+
+def test_layers_close_links_as_rounds_go(spark, rows, monkeypatch):
+    """A chain of 12 behind 40 leaves: a round reads open links only, and the whole graph is never searched for cycles."""
+    links = [("root", f"leaf{k}") for k in range(40)] + [(f"c{k:02d}", f"c{k + 1:02d}") for k in range(12)] + [("root", "c00")]
+    written = []
+
+    def count(df, purpose):
+        found = materialize(df, purpose)
+        written.append((purpose, found.count()))
+        return found
+
+    monkeypatch.setattr(P, "materialize", count)
+    found = P.lineage_layers(graph(spark, links))
+    assert rows(found, "asset_id", "layer", "cycle") == sorted(brute_layers(links), key=repr)
+    assert "path-core" not in dict(written) and sum(n for _, n in written) < 4 * len(links) + 12 * 12
+
+
+def test_numbers_of_nodes_differ(spark, rows, monkeypatch):
+    """Where two names get one number another seed is taken."""
+    code = P._code
+    monkeypatch.setattr(P, "_code", lambda name, seed: F.length(name).cast("long") if seed == 1 else code(name, seed))
+    assert rows(P.lineage_layers(graph(spark, LINKED)), "asset_id", "layer", "cycle") == sorted(brute_layers(LINKED), key=repr)
+
+
+def test_layers_behind_cycles_wait_for_peeled_nodes(spark, rows):
+    """A cycle that a long chain feeds, a chain behind it, and a second cycle that both feed."""
+    links = [(f"p{k}", f"p{k + 1}") for k in range(5)] + [("p5", "x"), ("x", "y"), ("y", "x"), ("y", "q"), ("q", "r"), ("p2", "r")]
+    links += [("r", "u"), ("u", "v"), ("v", "u"), ("p1", "v"), ("s", "s"), ("s", "q"), ("v", "end"), ("x", "end")]
+    assert rows(P.lineage_layers(graph(spark, links)), "asset_id", "layer", "cycle") == sorted(brute_layers(links), key=repr)
