@@ -123,6 +123,38 @@ def test_compare(spark, rows):
     ]
 
 
+@pytest.mark.parametrize("tasks", [None, 50])
+def test_compare_lists_pairs_behind_the_last_shuffle(spark, rows, monkeypatch, tasks):
+    """An asset in many pairs, pairs of one asset, ids that come in both places; the ends cross two shuffles, the pairs none."""
+    monkeypatch.setattr(graph, "PARTNERS", 4)
+    found = [(f"a{a}", f"n{n}", "fk" if n % 3 else "feeds") for a in range(30) for n in range(a % 5, 12, 1 + a % 3)] + [("n1", "a2", "fk")]
+    assets, edges = assets_of(spark, *[(f"n{n}", "table", None, 0.0) for n in range(6)]), edges_of(spark, *found, *found[:9])
+    asked = [("a0", f"a{k}") for k in range(30)] + [(f"a{k}", f"a{k + 1}") for k in range(29)] + [("a4", "a0"), ("a4", "a0"), (None, "a1")]
+    pairs = spark.createDataFrame(asked, "asset1 string, asset2 string")
+    ends = [(t, "upstream", s, r) for s, t, r in found + found[:9]] + [(s, "downstream", t, r) for s, t, r in found + found[:9]]
+    items = {}
+    for a, side, n, r in ends:
+        known = n in {f"n{k}" for k in range(6)}
+        items.setdefault(a, []).append((side, n, None if known else r, not known))
+    wanted = []
+    for one, two in set(asked):
+        mine, other = items.get(one, []), items.get(two, [])
+        wanted += [(one, two, *i, "similarities" if i in other else "asset1_only_" + i[0]) for i in mine]
+        wanted += [(one, two, *i, "asset2_only_" + i[0]) for i in other if i not in mine]
+    got = graph.compare_assets(pairs, edges, assets, tasks)
+    columns = ["asset1", "asset2", "side", "neighbour_id", "relationship_type", "missing", "list_name"]
+    assert rows(got, *columns) == sorted(wanted, key=repr)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = graph.compare_assets(pairs, edges, assets, tasks)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    top = text[: text.index("Exchange")]
+    assert "Join [neighbour_id" in top and top.count("HashAggregate") == 2
+    assert not tasks or f", {tasks})" in text
+
+
 def test_change_impact(spark, small, rows):
     assets, edges = small
     known = edges.replace("a", "public.aa")
