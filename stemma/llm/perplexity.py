@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ EDGE = 0x02
 #: Distinct n-grams that a counting task holds before it sends them.
 HELD_GRAMS = 1_000_000
 #: Distinct characters that a packed n-gram can tell apart, and characters that are counted at once.
-LETTERS, PART = 1 << 12, 1 << 21
+LETTERS, PART = 1 << 12, 1 << 20
+#: Places of the bit map that marks texts which may have copies; 8 MB at any size of the input.
+SLOTS = 1 << 26
 
 # The base rules.
 SYMBOLS = "#*$%&|<>"
@@ -112,11 +115,51 @@ def _strings(grams: np.ndarray) -> pa.Array:
     return pa.array([text[a : a + width] for a in range(0, len(text), width)], pa.string())
 
 
+def _grouped(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in groups of about ``PART`` characters, a longer text alone."""
+    group, held = [], 0
+    for text in texts:
+        if group and held + len(text) > PART:
+            yield group
+            group, held = [], 0
+        group.append(text)
+        held += len(text)
+    if group:
+        yield group
+
+
+def distinct_texts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """Distinct (lang, text), whole texts compared; only texts that may have copies are shuffled.
+
+    Hashes that come twice are marked in a bit map of fixed size. A text whose bit is not set has no copy; of the others, which
+    grow to all texts where the map gets full, copies are dropped by comparing them.
+    """
+    rows = docs.select(language(F.col(lang_col)), F.col(text_col).cast("string").alias("text")).where("text <> ''")
+    rows = rows.withColumn("hash", F.xxhash64("lang", "text"))
+    slot = F.pmod(F.col("hash"), F.lit(SLOTS)) + 1
+    twice = rows.groupBy("hash").count().where("count > 1").select(slot.alias("slot"))
+    marked = twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    )
+    bits = np.zeros(max(SLOTS // 8, 4096), dtype=np.uint8)
+    for bucket, found in marked.collect():
+        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(found, dtype=np.uint8)[: len(bits)]
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def may_repeat(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy() - 1
+        return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    told = rows.withColumn("may_repeat", may_repeat(slot))
+    once, again = (told.where(c).select("lang", "text") for c in (~F.col("may_repeat"), F.col("may_repeat")))
+    return once.unionAll(again.distinct())
+
+
 def count_grams(docs: DataFrame, order: int = ORDER, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, gram, n) of every ``order``-gram of all distinct texts; a task adds up its own before the shuffle.
 
-    Texts are compared whole, and copies in one task merge before they are dealt out, so one text that many rows
-    repeat is one row per task.
+    A task works on about ``PART`` characters at once, so its memory follows neither the batches of rows nor their texts.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,14 +178,15 @@ def count_grams(docs: DataFrame, order: int = ORDER, lang_col: str = "lang", tex
                     by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
                 counter = counters.setdefault(lang, _Counter(order))
-                points, _ = code_points(texts, order)
-                for a in range(0, len(points), PART):
-                    for full in counter.add(points[max(0, a - order + 1) : a + PART]):
-                        yield from batch_of(lang, *full)
+                for group in _grouped(texts):
+                    points, _ = code_points(group, order)
+                    for a in range(0, len(points), PART):
+                        for full in counter.add(points[max(0, a - order + 1) : a + PART]):
+                            yield from batch_of(lang, *full)
         for lang, counter in counters.items():
             yield from batch_of(lang, *counter.take())
 
-    rows = docs.select(language(F.col(lang_col)), F.col(text_col).cast("string").alias("text")).distinct()
+    rows = distinct_texts(docs, lang_col, text_col)
     return rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 

@@ -645,3 +645,24 @@ def test_similar_documents_of_many_repeated_rows_without_id(spark):
     links = Counter((r.doc_id is None, r.n_links) for r in found if r.doc_id in (None, 1))
     assert len(found) == len(rows) and links == {(True, 300): 300, (False, 300): 1}
     assert {r.class_id for r in found if r.doc_id in (None, 1)} == {1}
+
+
+@pytest.mark.parametrize("slots", [1 << 26, 1 << 3])
+def test_distinct_texts_shuffle_possible_copies_only(spark, rows, monkeypatch, slots):
+    """Also where the bit map is so full that nearly all texts may have copies."""
+    monkeypatch.setattr(perplexity, "SLOTS", slots)
+    texts = [("en" if k % 2 else None, f"text {k % 40} é") for k in range(60)] + [("de", "text 1 é"), ("", "text 2 é"), ("en", ""), ("en", None)]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    found = perplexity.distinct_texts(docs)
+    assert rows(found) == sorted({(lang or "", t) for lang, t in texts if t}, key=repr)
+    once = docs.where("doc_id between 20 and 39")
+    plan = perplexity.distinct_texts(once)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Union") < plan.index("Exchange")
+
+
+def test_counting_works_on_parts_of_a_batch():
+    """A batch of texts is not held as one array of characters."""
+    texts = ["a" * 400_000] * 9 + ["b" * 3_000_000, "c"]
+    groups = list(perplexity._grouped(texts))
+    assert [t for g in groups for t in g] == texts
+    assert all(len(g) == 1 or sum(map(len, g)) <= perplexity.PART for g in groups)
