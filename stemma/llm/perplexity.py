@@ -3,7 +3,7 @@
 Spark counts every n-gram of ``ORDER`` characters of all distinct texts by language and derives from these counts the
 modified Kneser-Ney probabilities of all orders (interpolated, three discounts per order and
 language). The model is held as sorted arrays of n-gram hashes with their log-probabilities and, for contexts,
-their back-off weights; tasks look n-grams up by binary search. A model of more than ``BROADCAST_ENTRIES`` entries is
+their back-off weights; the leading bits of a hash tell where to look it up. A model of more than ``BROADCAST_ENTRIES`` entries is
 not sent to the tasks: then n-grams counted per text are joined with it instead.
 
 A text is rejected if its perplexity lies outside the band of its language: the median of that language's
@@ -26,7 +26,7 @@ from stemma.llm.common import row_key, stored, whole_text
 from stemma.llm.text_arrays import RangeHash, random_bits, scrambled, word_hashes
 
 ORDER = 5
-#: Entries (16 bytes each while sent) of a model that tasks hold in memory.
+#: Entries (at most 20 bytes each while sent) of a model that tasks hold in memory.
 BROADCAST_ENTRIES = 6_000_000
 #: Deviations that a text may lie below and above the median. Passages that many texts share are well known to the
 #: model and pull clean texts down, so the lower side is wider.
@@ -37,6 +37,8 @@ EDGE = 0x02
 HELD_GRAMS = 1_000_000
 #: Distinct characters that a packed n-gram can tell apart, and characters that are counted at once.
 LETTERS, PART = 1 << 12, 1 << 20
+#: Characters that are scored at once: few enough that the arrays made for them stay in the processor's cache.
+SCORED = 1 << 16
 #: Places of the bit map that marks texts which may have copies; 8 MB at any size of the input.
 SLOTS = 1 << 26
 
@@ -115,11 +117,11 @@ def _strings(grams: np.ndarray) -> pa.Array:
     return pa.array([text[a : a + width] for a in range(0, len(text), width)], pa.string())
 
 
-def _grouped(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in groups of about ``PART`` characters, a longer text alone."""
+def _grouped(texts: list[str], size: int = PART) -> Iterator[list[str]]:
+    """The texts in groups of about ``size`` characters, a longer text alone."""
     group, held = [], 0
     for text in texts:
-        if group and held + len(text) > PART:
+        if group and held + len(text) > size:
             yield group
             group, held = [], 0
         group.append(text)
@@ -244,18 +246,33 @@ def model_tables(grams: DataFrame, order: int = ORDER) -> list[tuple[DataFrame,
     return out
 
 
-def _gram_hash(points: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all windows of ``width`` characters."""
-    factors = random_bits(16, 21) | np.uint64(1)
+FACTORS = random_bits(16, 21) | np.uint64(1)
+
+
+def _gram_hash(points: np.ndarray, width: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the windows of ``width`` characters that begin at ``starts``, or of all."""
     wide = points.astype(np.uint64) + np.uint64(1)
-    total = np.full(max(0, len(points) - width + 1), width, dtype=np.uint64)
+    total = np.full(max(0, len(points) - width + 1) if starts is None else len(starts), width, dtype=np.uint64)
     for k in range(width):
-        total += wide[k : len(total) + k] * factors[k]
+        total += (wide[k : len(total) + k] if starts is None else wide[starts + k]) * FACTORS[k]
     return scrambled(total)
 
 
+def _entries(hashes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending hashes, their values, and where the hashes with each value of the leading bits begin.
+
+    Plain arrays, as a broadcast value is pickled by reference to its classes.
+    """
+    order = np.argsort(hashes)
+    bits = max(1, (len(hashes) - 1).bit_length())
+    held = np.bincount((hashes >> np.uint64(64 - bits)).view(np.int64), minlength=1 << bits)
+    first = np.concatenate([[0], np.cumsum(held)[:-1]]).astype(np.int32)
+    # The largest number stands behind all hashes, so that a search ends there.
+    return np.append(hashes[order], ~np.uint64(0)), values[order], first
+
+
 def hash_arrays(tables: list[tuple[DataFrame, DataFrame]]) -> dict:
-    """The model as sorted arrays: (language, order, is it a context) to hashes and their values.
+    """The model as sorted arrays: (language, order, is it a context) to :func:`_entries`.
 
     Called for models of at most ``BROADCAST_ENTRIES`` entries.
     """
@@ -283,34 +300,43 @@ def hash_arrays(tables: list[tuple[DataFrame, DataFrame]]) -> dict:
             values = found.column("value").to_numpy().astype(np.float32)
             for one in set(lang.tolist()):
                 at = np.flatnonzero(lang == one)
-                at = at[np.argsort(hashes[at])]
-                out[one, k, context] = (hashes[at], values[at])
+                out[one, k, context] = _entries(hashes[at], values[at])
     return out
 
 
-def _look_up(arrays: tuple[np.ndarray, np.ndarray] | None, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if arrays is None or not len(arrays[0]):
-        return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), dtype=np.float32)
-    at = np.minimum(np.searchsorted(arrays[0], wanted), len(arrays[0]) - 1)
-    return arrays[0][at] == wanted, arrays[1][at]
+def _look_up(entries: tuple[np.ndarray, ...] | None, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the hashes are there, and the values of these; hashes are spread evenly, so few steps lead on from ``first``."""
+    if entries is None:
+        return np.zeros(len(wanted), dtype=bool), np.zeros(0, dtype=np.float32)
+    hashes, values, first = entries
+    at = first[(wanted >> np.uint64(65 - len(first).bit_length())).view(np.int64)]
+    found = hashes[at]
+    before = np.flatnonzero(found < wanted)
+    while len(before):
+        at[before] += 1
+        found[before] = hashes[at[before]]
+        before = before[found[before] < wanted[before]]
+    known = (found == wanted) & (at < len(values))
+    return known, values[at[known]]
 
 
 def log_probabilities(points: np.ndarray, lang: str, model: dict, order: int = ORDER) -> np.ndarray:
-    """Log-probability of each character from the ``order``-th on, backing off where an n-gram is unknown."""
-    count = max(0, len(points) - order + 1)
-    out = np.zeros(count, dtype=np.float64)
-    left = np.arange(count)
+    """Log-probability of each character from the ``order``-th on, backing off where an n-gram is unknown; 0 for an edge."""
+    out = np.zeros(max(0, len(points) - order + 1), dtype=np.float64)
+    left = np.flatnonzero(points[order - 1 :] != EDGE)
+    hashes = _gram_hash(points, order)[left]
     for k in range(order, 0, -1):
-        known, value = _look_up(model.get((lang, k, False)), _gram_hash(points, k)[left + order - k])
-        out[left[known]] += value[known]
+        known, value = _look_up(model.get((lang, k, False)), hashes)
+        out[left[known]] += value
         left = left[~known]
         if not len(left):
             return out
         if k > 1:
-            known, value = _look_up(model.get((lang, k, True)), _gram_hash(points, k - 1)[left + order - k])
-            out[left[known]] += value[known]
+            known, value = _look_up(model.get((lang, k, True)), _gram_hash(points, k - 1, left + order - k))
+            out[left[known]] += value
+            hashes = _gram_hash(points, k - 1, left + order - k + 1)
     letters = model.get((lang, 1, False))
-    out[left] -= np.log(2.0 + (len(letters[0]) if letters else 0))
+    out[left] -= np.log(2.0 + (len(letters[1]) if letters else 0))
     return out
 
 
@@ -368,19 +394,10 @@ def figures(
             size = np.array([len(t) for t in texts], dtype=np.int64)
             sums = np.zeros((len(texts), 2))
             if sent is not None:
-                at = np.arange(len(texts))
                 for lang in dict.fromkeys(langs):
-                    rows = [i for i in at if langs[i] == lang and texts[i]]
-                    group: list[int] = []
-                    held = 0
-                    for i in [*rows, None]:
-                        if i is not None and (not group or held + len(texts[i]) < PART):
-                            group.append(i)
-                            held += len(texts[i])
-                            continue
-                        if group:
-                            _add_scores(group, lang, texts, sums)
-                        group, held = ([i], len(texts[i])) if i is not None else ([], 0)
+                    rows = [i for i in range(len(texts)) if langs[i] == lang and texts[i]]
+                    if rows:
+                        sums[rows] = np.concatenate([_scores(g, lang) for g in _grouped([texts[i] for i in rows], SCORED)])
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in range(4)], *[pa.array(base[:, k]) for k in range(5)],
@@ -389,18 +406,18 @@ def figures(
                 ["doc_id", "key", "digest", "lang", *FIGURES, "n_scored", "nats", "squares"],
             )
 
-    def _add_scores(group: list[int], lang: str, texts: list[str], sums: np.ndarray) -> None:
-        points, ends = code_points([texts[i] for i in group], order)
-        for a in range(0, len(points), PART):
-            stop = min(a + PART, len(points))
+    def _scores(group: list[str], lang: str) -> np.ndarray:
+        points, ends = code_points(group, order)
+        sums = np.zeros((len(group), 2))
+        for a in range(0, len(points), SCORED):
+            stop = min(a + SCORED, len(points))
             first = max(0, a - order + 1)
-            window = points[first:stop]
-            log_p = -log_probabilities(window, lang, sent.value, order)
-            place = np.arange(first + order - 1, stop)
-            log_p[points[place] == EDGE] = 0
-            owner = np.searchsorted(ends, place, side="right")
-            sums[group, 0] += np.bincount(owner, log_p, minlength=len(group))
-            sums[group, 1] += np.bincount(owner, log_p * log_p, minlength=len(group))
+            log_p = -log_probabilities(points[first:stop], lang, sent.value, order)
+            lengths = np.diff(np.clip(ends, first + order - 1, stop), prepend=first + order - 1)
+            owner = np.repeat(np.arange(len(group)), lengths)
+            sums[:, 0] += np.bincount(owner, log_p, minlength=len(group))
+            sums[:, 1] += np.bincount(owner, log_p * log_p, minlength=len(group))
+        return sums
 
     rows = docs.select(
         F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"),

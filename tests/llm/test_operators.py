@@ -6,10 +6,12 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from stemma.llm import (
     exact_dedup, html_text, mixing, ngram_join, packing, perplexity, quality_knn, secrets, substring_dedup, warc,
 )
-from stemma.llm.text_arrays import RangeHash, shingles, word_hashes
+from stemma.llm.text_arrays import RangeHash, random_bits, shingles, word_hashes
 from stemma.session import new_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -452,6 +454,63 @@ def test_copies_do_not_move_the_band(spark):
     assert all(alone[k].kept for k in range(40))
 
 
+def test_entries_are_found_as_in_a_dictionary():
+    """Few and many hashes, spread or crowded below the same leading bits, the smallest and the largest number."""
+    for n in (1, 2, 3, 1000):
+        spread = random_bits(n, 5)
+        for held in (spread, spread >> np.uint64(40), np.unique(np.append(spread, [np.uint64(0), ~np.uint64(0)]))):
+            expected = {h: np.float32(i) for i, h in enumerate(held.tolist())}
+            wanted = np.concatenate([held, held + np.uint64(1), random_bits(500, 6), np.array([0, 2**64 - 1], dtype=np.uint64)])
+            entries = perplexity._entries(held, np.arange(len(held), dtype=np.float32))
+            known, value = perplexity._look_up(entries, wanted)
+            assert known.tolist() == [w in expected for w in wanted.tolist()]
+            assert value.tolist() == [expected[w] for w in wanted[known].tolist()]
+    known, value = perplexity._look_up(None, wanted)
+    assert not known.any() and not len(value)
+
+
+def test_scoring_takes_less_than_a_binary_search_for_each_character(spark):
+    letters = np.arange(0x20000, 0x80000, dtype=np.uint32)
+    grams = pd.DataFrame({"lang": "en", "gram": list(letters.tobytes().decode("utf-32-le")), "log_p": -np.arange(len(letters)) / 1e5})
+    no_contexts = spark.createDataFrame([], "lang string, context string, log_backoff double")
+    model = perplexity.hash_arrays([(spark.createDataFrame(grams), no_contexts)])
+    points = np.random.default_rng(1).choice(letters, 1 << 20)
+    hashes = perplexity._gram_hash(points, 1)
+    held = np.sort(perplexity._gram_hash(letters, 1))
+    parts = [points[a : a + (1 << 16)] for a in range(0, len(points), 1 << 16)]
+
+    def seconds(work):
+        taken = []
+        for _ in range(3):
+            start = time.process_time()
+            work()
+            taken.append(time.process_time() - start)
+        return min(taken)
+
+    found = np.concatenate([perplexity.log_probabilities(p, "en", model, 1) for p in parts])
+    assert np.allclose(found, -(points.astype(float) - 0x20000) / 1e5)
+    scoring = seconds(lambda: [perplexity.log_probabilities(p, "en", model, 1) for p in parts])
+    assert scoring < seconds(lambda: np.searchsorted(held, hashes))
+
+
+def test_scores_do_not_depend_on_how_texts_are_cut(spark, monkeypatch):
+    """Texts longer than what is scored at once, many short ones, characters out of every model, edges inside a text."""
+    texts = [" ".join(words(400, 40 + k)) for k in range(3)] + ["x", chr(2) * 9 + "ab", "", None, "é\U0001F600"] + [" ".join(words(9, k)) for k in range(30)]
+    docs = spark.createDataFrame([(k, t, "en" if k % 2 else None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = perplexity.hash_arrays(perplexity.model_tables(perplexity.count_grams(docs.where("doc_id < 36"), 3), 3))
+
+    def found():
+        return {r.doc_id: (r.n_scored, r.nats, r.squares) for r in perplexity.figures(docs, model, 3).collect()}
+
+    whole = found()
+    for k, t in enumerate(texts):
+        points, _ = perplexity.code_points([t or ""], 3)
+        log_p = perplexity.log_probabilities(points, "en" if k % 2 else "", model, 3)
+        assert np.allclose(whole[k], (len(t or ""), -log_p.sum(), (log_p**2).sum()))
+    monkeypatch.setattr(perplexity, "SCORED", 50)
+    assert all(np.allclose(v, whole[k]) for k, v in found().items())
+
+
 def test_base_figures():
     hasher = RangeHash()
     eight = "a b c d e f g h"
