@@ -226,7 +226,8 @@ def model_tables(grams: DataFrame, order: int = ORDER) -> list[tuple[DataFrame,
     letters = counted[1].groupBy("lang").agg((F.lit(1.0) / (F.count(F.lit(1)) + 1)).alias("lower"))
     out: list[tuple[DataFrame, DataFrame]] = []
     for k in range(1, order + 1):
-        rows = counted[k].join(_discounts(counted[k]), "lang").withColumn(
+        # Figures of a language (one row each) go to the n-grams, which would meet in one task per language otherwise.
+        rows = counted[k].join(F.broadcast(_discounts(counted[k])), "lang").withColumn(
             "d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         ).withColumn("context", F.substring("gram", 1, k - 1))
         contexts = stored(
@@ -236,7 +237,7 @@ def model_tables(grams: DataFrame, order: int = ORDER) -> list[tuple[DataFrame,
             "lm-contexts",
         )
         if k == 1:
-            lower = rows.join(letters, "lang")
+            lower = rows.join(F.broadcast(letters), "lang")
         else:
             shorter = out[-1][0].select("lang", F.col("gram").alias("tail"), F.exp("log_p").alias("lower"))
             lower = rows.withColumn("tail", _tail(k)).join(shorter, ["lang", "tail"])
@@ -271,10 +272,10 @@ def _entries(hashes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.append(hashes[order], ~np.uint64(0)), values[order], first
 
 
-def hash_arrays(tables: list[tuple[DataFrame, DataFrame]]) -> dict:
-    """The model as sorted arrays: (language, order, is it a context) to :func:`_entries`.
+def hash_arrays(tables: list[tuple[DataFrame | None, DataFrame | None]]) -> dict:
+    """The model as sorted arrays: (language, order, is it a context) to :func:`_entries`; a table that is None is left out.
 
-    Called for models of at most ``BROADCAST_ENTRIES`` entries.
+    Called for at most ``BROADCAST_ENTRIES`` entries.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,9 +291,9 @@ def hash_arrays(tables: list[tuple[DataFrame, DataFrame]]) -> dict:
     out = {}
     for k, (grams, contexts) in enumerate(tables, start=1):
         for context, table in ((False, grams), (True, contexts)):
-            name, value = table.columns[1:]
-            if context and k == 1:
+            if table is None or context and k == 1:
                 continue  # the empty context is used by no shorter order
+            name, value = table.columns[1:]
             rows = table.select("lang", name, F.col(value).cast("float").alias("value"))
             found = rows.mapInArrow(hashed, "lang string, hash long, value float").toArrow()
             lang = np.array(found.column("lang").to_pylist(), dtype=object)
@@ -429,10 +430,12 @@ def figures(
 
 
 def joined_scores(
-    docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], order: int = ORDER, id_col: str = "doc_id",
-    lang_col: str = "lang", text_col: str = "text",
+    docs: DataFrame, grams: DataFrame, order: int = ORDER, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, key, lang, nats, squares) by joining each row's n-grams with a model of any size."""
+    """(doc_id, key, lang, nats, squares) by joining each row's n-grams with the highest order of a model of any size.
+
+    The model is trained on all texts of ``docs``, so each n-gram is there and none backs off.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def own_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,28 +457,9 @@ def joined_scores(
         F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"),
         language(F.col(lang_col)), F.col(text_col).cast("string").alias("text"),
     )
-    left = rows.mapInArrow(own_grams, f"doc_id {kind}, key long, lang string, gram string, n long")
-    left = left.withColumn("log_p", F.lit(0.0))
-    found = None
-    for k in range(order, 0, -1):
-        grams, contexts = tables[k - 1]
-        grams = grams.select(F.col("lang"), F.col("gram").alias("part"), F.col("log_p").alias("own"))
-        tried = left.withColumn("part", F.substring("gram", order - k + 1, k)).join(grams, ["lang", "part"], "left")
-        known = tried.where("own is not null").withColumn("log_p", F.col("log_p") + F.col("own"))
-        known = known.select("doc_id", "key", "lang", "n", "log_p")
-        found = known if found is None else found.unionByName(known)
-        left = tried.where("own is null").withColumn("context", F.substring("part", 1, k - 1)).drop("own", "part")
-        if k > 1:
-            left = left.join(contexts, ["lang", "context"], "left").withColumn(
-                "log_p", F.col("log_p") + F.coalesce("log_backoff", F.lit(0.0))
-            ).drop("log_backoff")
-        left = left.drop("context")
-    letters = tables[0][0].groupBy("lang").agg(F.count(F.lit(1)).alias("letters"))
-    rest = left.join(letters, "lang", "left").withColumn(
-        "log_p", F.col("log_p") - F.log(2 + F.coalesce("letters", F.lit(0)))
-    )
-    found = found.unionByName(rest.select("doc_id", "key", "lang", "n", "log_p"))
-    return found.groupBy("doc_id", "key", "lang").agg(
+    own = rows.mapInArrow(own_grams, f"doc_id {kind}, key long, lang string, gram string, n long")
+    # Rows of a frequent n-gram are on the left of a left join, where they split.
+    return own.join(grams, ["lang", "gram"], "left").groupBy("doc_id", "key", "lang").agg(
         F.sum(-F.col("n") * F.col("log_p")).alias("nats"), F.sum(F.col("n") * F.col("log_p") ** 2).alias("squares")
     )
 
@@ -496,7 +480,7 @@ def bands(measured: DataFrame) -> DataFrame:
     own = F.col("all_nats") / F.col("chars")
     noise = F.sqrt(F.greatest(F.col("all_squares") / F.col("chars") - own * own, F.lit(0.0)))
     middle = middle.select("lang", "middle", noise.alias("noise"))
-    away = rows.join(middle, "lang").groupBy("lang").agg(
+    away = rows.join(F.broadcast(middle), "lang").groupBy("lang").agg(
         (F.percentile_approx(F.abs(F.col("mean") - F.col("middle")), F.lit(0.5), F.lit(10_000)) * 1.4826).alias("spread")
     )
     return middle.join(away, "lang")
@@ -508,15 +492,16 @@ def judged(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, the base figures, base_failed, kept, perplexity and the band's edges.
 
-    The model is trained on all distinct texts of ``docs``. A null text has no words and fails the base rules; its
+    The model is trained on all distinct texts of ``docs``, which must give the same rows each time it is read. A null text has no words and fails the base rules; its
     perplexity is null. A null language is a language of its own. Repeated rows get equal results.
     """
-    tables = model_tables(count_grams(docs, order, lang_col, text_col), order)
-    entries = sum(g.count() + c.count() for g, c in tables)
-    small = entries <= broadcast_entries
-    measured = figures(docs, hash_arrays(tables) if small else None, order, id_col, lang_col, text_col)
+    # Every n-gram of these texts is in the highest order; nothing backs off, so lower orders and contexts are not sent.
+    grams, _ = model_tables(count_grams(docs, order, lang_col, text_col), order)[-1]
+    small = grams.count() <= broadcast_entries
+    model = hash_arrays([(None, None)] * (order - 1) + [(grams, None)]) if small else None
+    measured = figures(docs, model, order, id_col, lang_col, text_col)
     if not small:
-        scores = joined_scores(docs, tables, order, id_col, lang_col, text_col).withColumnsRenamed(
+        scores = joined_scores(docs, grams, order, id_col, lang_col, text_col).withColumnsRenamed(
             {"doc_id": "of", "key": "of_key", "lang": "of_lang"}
         )
         same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")) & (F.col("lang") == F.col("of_lang"))
@@ -532,8 +517,8 @@ def judged(
         measured = measured.fillna(0.0, ["nats", "squares"])
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     measured = stored(measured.withColumn("base_failed", failed), "lm-measured")
-    # One row per language on the right; a language that most texts have splits as a skewed left side.
-    rows = measured.join(bands(measured), "lang", "left").withColumn(
+    # One row per language on the right goes to all texts.
+    rows = measured.join(F.broadcast(bands(measured)), "lang", "left").withColumn(
         "mean", F.when(F.col("n_scored") > 0, F.col("nats") / F.col("n_scored"))
     )
     deviation = F.sqrt(F.col("spread") ** 2 + F.try_divide(F.col("noise") ** 2, F.col("n_scored")))

@@ -511,6 +511,36 @@ def test_scores_do_not_depend_on_how_texts_are_cut(spark, monkeypatch):
     assert all(np.allclose(v, whole[k]) for k, v in found().items())
 
 
+def test_only_the_highest_order_is_sent(spark, monkeypatch):
+    """Each n-gram of a text is in it, so the scores are those of the whole model."""
+    docs = documents(spark, edge_rows())
+    sent, figures = [], perplexity.figures
+    monkeypatch.setattr(perplexity, "figures", lambda docs, model, *more: sent.append(model) or figures(docs, model, *more))
+    assert perplexity.judged(docs, order=4).count() == len(edge_rows())
+    assert {(k, context) for _, k, context in sent[0]} == {(4, False)}
+    whole = perplexity.hash_arrays(perplexity.model_tables(perplexity.count_grams(docs, 4), 4))
+    key = lambda r: (repr(r.doc_id), r.key, r.lang)
+    by_both = [sorted(figures(docs, m, 4).collect(), key=key) for m in (sent[0], whole)]
+    assert [key(r) for r in by_both[0]] == [key(r) for r in by_both[1]] and any(r.nats for r in by_both[0])
+    assert all(np.allclose((a.nats, a.squares), (b.nats, b.squares), rtol=1e-9) for a, b in zip(*by_both))
+
+
+@pytest.mark.parametrize("limit", [perplexity.BROADCAST_ENTRIES, 0])
+def test_rows_do_not_meet_by_language(spark, monkeypatch, limit):
+    """Only sums that each task has made, one row per language, are shuffled by the language alone."""
+    plans, stored = [], perplexity.stored
+    text_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(perplexity, "stored", lambda df, purpose: plans.append(text_of(df)) or stored(df, purpose))
+    docs = documents(spark, edge_rows())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for large tables
+    try:
+        plans.append(text_of(perplexity.judged(docs, order=3, broadcast_entries=limit)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = [b for p in plans for a, b in itertools.pairwise(p.splitlines()) if re.search(r"hashpartitioning\(lang#\d+, \d+\)", a)]
+    assert below and all(re.search(r"HashAggregate\(keys=\[lang#\d+\], functions=\[partial_", b) for b in below)
+
+
 def test_base_figures():
     hasher = RangeHash()
     eight = "a b c d e f g h"
