@@ -4,7 +4,7 @@ Spark counts every n-gram of ``ORDER`` characters of all distinct texts by langu
 modified Kneser-Ney probabilities of all orders (interpolated, three discounts per order and
 language). The model is held as sorted arrays of n-gram hashes with their log-probabilities and, for contexts,
 their back-off weights; the leading bits of a hash tell where to look it up. A model of more than ``BROADCAST_ENTRIES`` entries is
-not sent to the tasks: then n-grams counted per text are joined with it instead.
+sent in slices, for each of which the texts are read once; beyond ``MOST_SLICES`` n-grams counted per text are joined with it instead.
 
 A text is rejected if its perplexity lies outside the band of its language: the median of that language's
 distinct texts, with ``WIDTHS`` times their robust deviation, which grows for short texts as a mean of
@@ -14,7 +14,8 @@ does not decide what is usual.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ from stemma.llm.text_arrays import RangeHash, random_bits, scrambled, word_hashe
 ORDER = 5
 #: Entries (at most 20 bytes each while sent) of a model that tasks hold in memory.
 BROADCAST_ENTRIES = 6_000_000
+#: Slices of at most so many entries that the texts are read for.
+MOST_SLICES = 16
 #: Deviations that a text may lie below and above the median. Passages that many texts share are well known to the
 #: model and pull clean texts down, so the lower side is wider.
 WIDTHS = (5.5, 2.6)
@@ -341,6 +344,43 @@ def log_probabilities(points: np.ndarray, lang: str, model: dict, order: int = O
     return out
 
 
+def known_log_probabilities(points: np.ndarray, lang: str, model: dict, order: int = ORDER) -> np.ndarray:
+    """As :func:`log_probabilities` for n-grams of the highest order in ``model``; 0 for others."""
+    out = np.zeros(max(0, len(points) - order + 1), dtype=np.float64)
+    left = np.flatnonzero(points[order - 1 :] != EDGE)
+    known, value = _look_up(model.get((lang, order, False)), _gram_hash(points, order)[left])
+    out[left[known]] = value
+    return out
+
+
+def _scores(texts: list[str], lang: str, model: dict, order: int, log_probability: Callable[..., np.ndarray]) -> np.ndarray:
+    """Per text the sums of -log p and its square."""
+    points, ends = code_points(texts, order)
+    sums = np.zeros((len(texts), 2))
+    for a in range(0, len(points), SCORED):
+        stop = min(a + SCORED, len(points))
+        first = max(0, a - order + 1)
+        log_p = -log_probability(points[first:stop], lang, model, order)
+        lengths = np.diff(np.clip(ends, first + order - 1, stop), prepend=first + order - 1)
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        sums[:, 0] += np.bincount(owner, log_p, minlength=len(texts))
+        sums[:, 1] += np.bincount(owner, log_p * log_p, minlength=len(texts))
+    return sums
+
+
+def text_scores(
+    langs: list[str], texts: list[str], model: dict, order: int, log_probability: Callable[..., np.ndarray] = log_probabilities
+) -> np.ndarray:
+    """Per row the sums of -log p and its square; about ``SCORED`` characters of one language at once."""
+    sums = np.zeros((len(texts), 2))
+    for lang in dict.fromkeys(langs):
+        rows = [i for i in range(len(texts)) if langs[i] == lang and texts[i]]
+        if rows:
+            groups = _grouped([texts[i] for i in rows], SCORED)
+            sums[rows] = np.concatenate([_scores(g, lang, model, order, log_probability) for g in groups])
+    return sums
+
+
 def base_figures(text: str, hasher: RangeHash) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
     data = text.encode("utf-8", "replace")
@@ -393,12 +433,7 @@ def figures(
             texts = [t or "" for t in batch.column(4).to_pylist()]
             base = np.array([base_figures(t, hasher) for t in texts], dtype=np.int64).reshape(-1, 5)
             size = np.array([len(t) for t in texts], dtype=np.int64)
-            sums = np.zeros((len(texts), 2))
-            if sent is not None:
-                for lang in dict.fromkeys(langs):
-                    rows = [i for i in range(len(texts)) if langs[i] == lang and texts[i]]
-                    if rows:
-                        sums[rows] = np.concatenate([_scores(g, lang) for g in _grouped([texts[i] for i in rows], SCORED)])
+            sums = np.zeros((len(texts), 2)) if sent is None else text_scores(langs, texts, sent.value, order)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in range(4)], *[pa.array(base[:, k]) for k in range(5)],
@@ -407,19 +442,6 @@ def figures(
                 ["doc_id", "key", "digest", "lang", *FIGURES, "n_scored", "nats", "squares"],
             )
 
-    def _scores(group: list[str], lang: str) -> np.ndarray:
-        points, ends = code_points(group, order)
-        sums = np.zeros((len(group), 2))
-        for a in range(0, len(points), SCORED):
-            stop = min(a + SCORED, len(points))
-            first = max(0, a - order + 1)
-            log_p = -log_probabilities(points[first:stop], lang, sent.value, order)
-            lengths = np.diff(np.clip(ends, first + order - 1, stop), prepend=first + order - 1)
-            owner = np.repeat(np.arange(len(group)), lengths)
-            sums[:, 0] += np.bincount(owner, log_p, minlength=len(group))
-            sums[:, 1] += np.bincount(owner, log_p * log_p, minlength=len(group))
-        return sums
-
     rows = docs.select(
         F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"),
         F.unhex(F.md5(whole_text(F.col(text_col)))).alias("digest"), language(F.col(lang_col)),
@@ -429,6 +451,44 @@ def figures(
     return rows.mapInArrow(measure, f"doc_id {kind}, key long, digest binary, lang string, {longs}, nats double, squares double")
 
 
+def _keyed_texts(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> DataFrame:
+    return docs.select(
+        F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"),
+        language(F.col(lang_col)), F.col(text_col).cast("string").alias("text"),
+    )
+
+
+def sliced_scores(
+    docs: DataFrame, grams: DataFrame, slices: int, order: int = ORDER, id_col: str = "doc_id", lang_col: str = "lang",
+    text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, key, lang, nats, squares), each once, from the highest order of a model that tasks hold one slice of at a time.
+
+    The model is trained on all texts of ``docs``, so each n-gram is in one slice and the sums of the slices add up.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows, parts = _keyed_texts(docs, id_col, lang_col, text_col), []
+    for k in range(slices):
+        part = grams.where(F.pmod(F.xxhash64("lang", "gram"), F.lit(slices)) == k)
+        sent = docs.sparkSession.sparkContext.broadcast(hash_arrays([(None, None)] * (order - 1) + [(part, None)]))
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [t or "" for t in batch.column(3).to_pylist()]
+                sums = text_scores(batch.column(2).to_pylist(), texts, sent.value, order, known_log_probabilities)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in range(3)], pa.array(sums[:, 0]), pa.array(sums[:, 1])],
+                    ["doc_id", "key", "lang", "nats", "squares"],
+                )
+
+        scored = rows.mapInArrow(score, f"doc_id {kind}, key long, lang string, nats double, squares double")
+        parts.append(stored(scored, "lm-slice"))
+        sent.destroy()
+    # Each copy of a row has a row per slice, and copies have equal sums.
+    mean = [(F.avg(c) * slices).alias(c) for c in ("nats", "squares")]
+    return reduce(DataFrame.unionAll, parts).groupBy("doc_id", "key", "lang").agg(*mean)
+
+
 def joined_scores(
     docs: DataFrame, grams: DataFrame, order: int = ORDER, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
 ) -> DataFrame:
@@ -453,10 +513,7 @@ def joined_scores(
                         ["doc_id", "key", "lang", "gram", "n"],
                     )
 
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"),
-        language(F.col(lang_col)), F.col(text_col).cast("string").alias("text"),
-    )
+    rows = _keyed_texts(docs, id_col, lang_col, text_col)
     own = rows.mapInArrow(own_grams, f"doc_id {kind}, key long, lang string, gram string, n long")
     # Rows of a frequent n-gram are on the left of a left join, where they split.
     return own.join(grams, ["lang", "gram"], "left").groupBy("doc_id", "key", "lang").agg(
@@ -486,6 +543,13 @@ def bands(measured: DataFrame) -> DataFrame:
     return middle.join(away, "lang")
 
 
+def _same_rows(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """``left`` with the other columns of the row of ``right`` that has its doc_id, which may be null, key and lang."""
+    right = right.withColumnsRenamed({"doc_id": "of", "key": "of_key", "lang": "of_lang"})
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")) & (F.col("lang") == F.col("of_lang"))
+    return left.join(right, same, how).drop("of", "of_key", "of_lang")
+
+
 def judged(
     docs: DataFrame, order: int = ORDER, widths: tuple[float, float] = WIDTHS, broadcast_entries: int = BROADCAST_ENTRIES,
     id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
@@ -497,24 +561,20 @@ def judged(
     """
     # Every n-gram of these texts is in the highest order; nothing backs off, so lower orders and contexts are not sent.
     grams, _ = model_tables(count_grams(docs, order, lang_col, text_col), order)[-1]
-    small = grams.count() <= broadcast_entries
-    model = hash_arrays([(None, None)] * (order - 1) + [(grams, None)]) if small else None
+    slices = -(-grams.count() // broadcast_entries) if broadcast_entries else MOST_SLICES + 1
+    model = hash_arrays([(None, None)] * (order - 1) + [(grams, None)]) if slices <= 1 else None
     measured = figures(docs, model, order, id_col, lang_col, text_col)
-    if not small:
-        scores = joined_scores(docs, grams, order, id_col, lang_col, text_col).withColumnsRenamed(
-            {"doc_id": "of", "key": "of_key", "lang": "of_lang"}
-        )
-        same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")) & (F.col("lang") == F.col("of_lang"))
-        copies = measured.groupBy("doc_id", "key", "lang").agg(F.count(F.lit(1)).alias("copies")).withColumnsRenamed(
-            {"doc_id": "of", "key": "of_key", "lang": "of_lang"}
-        )
-        scores = scores.join(copies, (scores["of"].eqNullSafe(copies["of"])) & (scores["of_key"] == copies["of_key"])
-                             & (scores["of_lang"] == copies["of_lang"])).select(
-            scores["of"], scores["of_key"], scores["of_lang"],
-            (F.col("nats") / F.col("copies")).alias("nats"), (F.col("squares") / F.col("copies")).alias("squares"),
-        )
-        measured = measured.drop("nats", "squares").join(scores, same, "left").drop("of", "of_key", "of_lang")
-        measured = measured.fillna(0.0, ["nats", "squares"])
+    if slices > 1:
+        if slices <= MOST_SLICES:
+            scores = sliced_scores(docs, grams, slices, order, id_col, lang_col, text_col)
+        else:
+            key = ["doc_id", "key", "lang"]
+            copies = _keyed_texts(docs, id_col, lang_col, text_col).groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
+            scores = joined_scores(docs, grams, order, id_col, lang_col, text_col)
+            scores = _same_rows(scores, copies, "inner").select(
+                *key, (F.col("nats") / F.col("copies")).alias("nats"), (F.col("squares") / F.col("copies")).alias("squares")
+            )
+        measured = _same_rows(measured.drop("nats", "squares"), scores, "left").fillna(0.0, ["nats", "squares"])
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     measured = stored(measured.withColumn("base_failed", failed), "lm-measured")
     # One row per language on the right goes to all texts.

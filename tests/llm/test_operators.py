@@ -525,6 +525,24 @@ def test_only_the_highest_order_is_sent(spark, monkeypatch):
     assert all(np.allclose((a.nats, a.squares), (b.nats, b.squares), rtol=1e-9) for a, b in zip(*by_both))
 
 
+def test_a_large_model_is_sent_in_slices(spark, monkeypatch):
+    """No task holds more than a slice, no n-gram of a text is shuffled, and the scores are those of the whole model."""
+    docs = documents(spark, edge_rows() * 2 + [(k, " ".join(words(30, k)), "a") for k in range(900, 930)])
+    sent, entries = [], perplexity._entries
+    whole = perplexity.judged(docs, order=3).collect()
+    size = perplexity.count_grams(docs, 3).count()
+    monkeypatch.setattr(perplexity, "_entries", lambda hashes, values: sent.append(len(hashes)) or entries(hashes, values))
+    monkeypatch.setattr(perplexity, "joined_scores", None)
+    sliced = perplexity.judged(docs, order=3, broadcast_entries=-(-size // 4)).collect()
+    assert sum(sent) == size and max(sent) < size / 2
+    key = lambda r: (repr(r.doc_id), r.n_words, r.perplexity or 0, r.kept)
+    assert len(whole) == len(sliced) == docs.count()
+    for a, b in zip(sorted(whole, key=key), sorted(sliced, key=key)):
+        assert (a.doc_id, a.n_words, a.kept) == (b.doc_id, b.n_words, b.kept)
+        assert (a.perplexity is None) == (b.perplexity is None)
+        assert a.perplexity is None or abs(a.perplexity - b.perplexity) < 1e-9 * a.perplexity
+
+
 @pytest.mark.parametrize("limit", [perplexity.BROADCAST_ENTRIES, 0])
 def test_rows_do_not_meet_by_language(spark, monkeypatch, limit):
     """Only sums that each task has made, one row per language, are shuffled by the language alone."""
