@@ -12,8 +12,8 @@ from stemma.operators import graph as G
 from stemma.operators import store as ST
 from stemma.operators.refresh import document_vectors
 from stemma.schemas import ASSETS, EDGES, VECTORS
-from stemma.session import materialize
-from stemma.sources.changelog import ChangeLog, Relation, joined
+from stemma.session import empty, materialize
+from stemma.sources.changelog import ChangeLog, Relation, Written, joined
 
 #: Edges per id, kept so that scores need no edges; ids of edges that no asset has are kept too.
 DEGREES = T.StructType([T.StructField("asset_id", T.StringType()), T.StructField("degree", T.LongType())])
@@ -52,15 +52,18 @@ def refresh_by_changes(docs: DataFrame, store: ChangeLog) -> int:
     are the rows of the batch, the edges that are really new, and the degrees and assets that they touch.
     """
     docs = materialize(docs, "documents")
-    edges, assets, degrees = store.read("edges"), store.read("assets"), store.read("degrees")
-    names = EDGES.fieldNames()
-    offered = ST.valid_edges(D.document_edges(docs)).select(*names).distinct()
-    new_edges = materialize(joined(offered, edges, names, "left_anti"), "new-edges")
-    touched = materialize(changed_degrees(degree_changes(new_edges), degrees), "touched-degrees")
+    assets, degrees = store.read("assets"), store.read("degrees")
+    new_edges = _new_edges(ST.valid_edges(D.document_edges(docs)).select(*EDGES.fieldNames()).distinct(), store)
+    touched = store.written("degrees", changed_degrees(degree_changes(new_edges.rows), degrees))
     incoming = D.document_assets(docs)
-    ids = incoming.select("asset_id").unionByName(touched.select("asset_id")).distinct()
-    near = ST.register_assets(assets.join(ids, "asset_id", "left_semi"), incoming)
-    of_id = degrees.join(ids, "asset_id", "left_semi").join(touched, "asset_id", "left_anti").unionByName(touched)
+    ids = incoming.select("asset_id").unionByName(touched.rows.select("asset_id")).distinct()
+    known_ids = materialize(assets.select("asset_id").join(ids, "asset_id", "left_semi"), "known-ids")
+    stored = assets.join(known_ids, "asset_id", "left_semi") if known_ids.count() else empty(store.spark, ASSETS)
+    near = ST.register_assets(stored, incoming, stored=True)
+    of_id = touched.rows
+    if store.met("degrees", incoming):
+        untouched = incoming.select("asset_id").distinct().join(of_id, "asset_id", "left_anti")
+        of_id = of_id.unionByName(degrees.join(untouched, "asset_id", "left_semi"))
     scored = (
         near.join(of_id, "asset_id", "left")
         .withColumn("impact_score", degree_score(F.col("degree")))
@@ -70,6 +73,14 @@ def refresh_by_changes(docs: DataFrame, store: ChangeLog) -> int:
     return store.commit({"vectors": vectors, "edges": new_edges, "degrees": touched, "assets": scored})
 
 
+def _new_edges(offered: DataFrame, store: ChangeLog) -> Written:
+    """The distinct edges that the store does not have, written as a part of it."""
+    batch = store.written("edges", offered)
+    if batch.apart_at is not None:
+        return batch
+    return store.written("edges", joined(batch.rows, store.read("edges"), EDGES.fieldNames(), "left_anti"))
+
+
 def full_scores(store: ChangeLog) -> DataFrame:
     """Scores computed from all edges, to hold those of the changes against."""
     return G.recompute_impact_scores(store.read("edges"), store.read("assets"))

@@ -1,9 +1,11 @@
 """The appended store: small writes, one state for all relations, compaction; scores by changes."""
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemma.operators import deltas
+from stemma.operators import store as ST
 from stemma.schemas import DOCUMENTS
 from stemma.session import new_folder
 from stemma.sources import changelog as CL
@@ -94,3 +96,41 @@ def test_degree_changes_need_no_edges_of_others(spark, rows):
     assert rows(changes) == [("a", 3), ("b", 2), ("c", 0), ("d", -1)]
     known = spark.createDataFrame([("a", 1), ("d", 4), ("z", 9)], "asset_id string, degree long")
     assert rows(deltas.changed_degrees(changes.where("change <> 0"), known)) == [("a", 4), ("b", 2), ("d", 3)]
+
+
+def test_parts_with_new_keys_are_neither_joined_nor_rewritten(spark, log, rows):
+    log.commit({"one": numbers(spark, ("a", 1), (None, 2))})
+    log.commit({"one": numbers(spark, *[(f"b{k}", k) for k in range(5)])})
+    log.commit({"one": numbers(spark, *[(f"c{k}", k) for k in range(9)])})
+    parts = log.state()[1]["one"]
+    assert [p["rows"] for p in parts] == [2, 5, 9] and [p.get("apart", False) for p in parts] == [False, True, True]
+    assert "Join" not in log.read("one")._jdf.queryExecution().optimizedPlan().toString()
+    kept = [("a", 1), (None, 2), *[(f"b{k}", k) for k in range(5)], *[(f"c{k}", k) for k in range(9)]]
+    assert rows(log.read("one")) == sorted(kept, key=repr)
+
+
+def test_a_deleted_key_that_comes_back_is_not_apart(spark, log, rows):
+    log.commit({"one": numbers(spark, *[(f"k{k}", k) for k in range(20)])})
+    log.commit({"one": numbers(spark, ("k1", None, True))})
+    log.commit({"one": numbers(spark, ("z", 5))})
+    log.commit({"one": numbers(spark, ("k1", 7), ("z", 6))})
+    assert [p.get("apart", False) for p in log.state()[1]["one"]] == [False, False, True, False]
+    assert rows(log.read("one")) == sorted([(f"k{k}", k) for k in range(20) if k != 1] + [("k1", 7), ("z", 6)], key=repr)
+
+
+def test_many_parts_become_one(spark, log, rows, monkeypatch):
+    monkeypatch.setattr(CL, "MOST_PARTS", 3)
+    for k in range(4):
+        log.commit({"one": numbers(spark, (f"k{k}", k))})
+    (whole,) = log.state()[1]["one"]
+    assert whole["rows"] == 4 and rows(log.read("one")) == [(f"k{k}", k) for k in range(4)]
+
+
+def test_documents_with_repeated_ids_are_kept_once(spark, rows):
+    """The copy with the highest values is kept, as among all rows; rows whose id comes once are not shuffled."""
+    docs = documents(spark, ("a", "table", []), ("b", "sql", []), ("a", "sql", [])).withColumn("text", F.concat("text", "asset_type"))
+    kept = ST.stored_last_per_key(docs, ["id"], F.struct("text"))
+    assert rows(kept, "id", "text") == [("a", "text atable"), ("b", "text bsql")]
+    alone = ST.stored_last_per_key(docs.where("text <> 'text asql'"), ["id"], F.struct("text"))
+    plan = alone._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(alone, "id") == [("a",), ("b",)] and "Aggregate" not in plan and "Join" not in plan
