@@ -7,13 +7,18 @@ nothing, with cycles too, as nothing is found twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stemma.operators.graph import DOWNSTREAM, UPSTREAM, lineage_requests
-from stemma.session import materialize
+from stemma.session import empty, materialize
 
 #: log2 of the registers of a count sketch: a relative error of about 1.6 % (one standard deviation).
 LG_REGISTERS = 12
@@ -267,54 +272,184 @@ def lineage_layers(edges: DataFrame) -> DataFrame:
     )
 
 
-# ---- counts without lists ---------------------------------------------------------
+# ---- how many are affected --------------------------------------------------------
 
 
-def affected_estimates(edges: DataFrame, lg_registers: int = LG_REGISTERS) -> DataFrame:
-    """(asset_id, estimate): about how many assets each asset affects, over any number of hops.
+@dataclass(frozen=True)
+class Units:
+    """The graph with a unit per cycle, in layers; all relations are stored.
 
-    One count sketch per asset is merged against the direction of the edges, a hop per round, and only sketches that grew are
-    sent on. So the work is a few kilobytes per edge and hop, however large the sets are; the sets are never
-    listed. An asset on a cycle affects itself. Assets that affect nothing have 0.
+    ``nodes`` (name, n, own, unit, size): own tells a link to itself, size is the number of nodes of the unit. ``layers`` holds per layer the
+    (a, b, big) of all links that leave its units, big where b is a cycle: b is in a later layer, and only units of layer 0 are not fed.
     """
-    names, links = numbered(_links(edges))
-    nodes = names.select(F.col("node").alias("asset_id"), F.col("n").alias("node"))
-    first = links.groupBy(F.col("a").alias("node")).agg(F.hll_sketch_agg("b", lg_registers).alias("sketch"))
-    held = materialize(first.withColumn("estimate", F.hll_sketch_estimate("sketch")), "path-sketches")
-    grown = held
-    while True:
-        heard = links.join(grown.select(F.col("node").alias("b"), "sketch"), "b").groupBy(F.col("a").alias("node")).agg(
-            F.hll_union_agg("sketch").alias("heard")
-        )
-        # One row per node on both sides.
-        merged = held.join(heard, "node", "left").select(
-            "node", F.col("estimate").alias("was"),
-            F.coalesce(F.hll_union("sketch", "heard"), "sketch").alias("sketch"),
-        )
-        merged = materialize(
-            merged.withColumn("estimate", F.hll_sketch_estimate("sketch")).withColumn("grew", F.col("estimate") > F.col("was")),
-            "path-sketches",
-        )
-        held, grown = merged.drop("was", "grew"), merged.where("grew").select("node", "sketch")
-        if not _some(grown):
-            break
-    return nodes.join(held, "node", "left").select(
-        "asset_id", F.coalesce("estimate", F.lit(0)).cast("long").alias("estimate")
+
+    nodes: DataFrame
+    layers: list[DataFrame]
+
+
+def unit_layers(edges: DataFrame) -> Units:
+    """Cycles become units; layers are peeled from the units that nothing feeds, so most links are closed in the first rounds."""
+    nodes, links = named_ends(edges)
+    links = materialize(links.distinct(), "path-links")
+    cycles = _cycles_of(links)
+    sizes = cycles.groupBy("cycle").agg(F.count(F.lit(1)).alias("size"))
+    units = materialize(cycles.join(sizes, "cycle").select(F.col("node").alias("n"), F.col("cycle").alias("unit"), "size"), "path-units")
+    nodes = nodes.select("name", "n", "own").join(units, "n", "left")
+    nodes = nodes.select("name", "n", "own", F.coalesce("unit", "n").alias("unit"), F.coalesce("size", F.lit(1)).alias("size"))
+    nodes = materialize(nodes, "path-nodes")
+    if _some(units):
+        unit_a = units.select(F.col("n").alias("a"), F.col("unit").alias("from"))
+        unit_b = units.select(F.col("n").alias("b"), F.col("unit").alias("to"))
+        a, b = F.coalesce("from", "a"), F.coalesce("to", "b")
+        between = links.join(unit_a, "a", "left").join(unit_b, "b", "left")
+        between = between.select(a.alias("a"), b.alias("b"), F.col("to").isNotNull().alias("big")).where("a <> b")
+        links = materialize(between.distinct(), "path-links")
+    else:
+        links = links.withColumn("big", F.lit(False))
+    layers = []
+    while _some(links):
+        met = _unfed(links).select(F.col("n").alias("a"), F.lit(True).alias("met"))
+        marked = links.join(met, "a", "left").select("a", "b", "big", F.col("met").isNotNull().alias("gone"))
+        marked = materialize(marked, "path-left")
+        layers.append(marked.where("gone").select("a", "b", "big"))
+        links = marked.where("not gone").select("a", "b", "big")
+    return Units(nodes, layers)
+
+
+#: Ids, about, that one row lists.
+LISTED = 1 << 16
+_LISTS = "a bigint, part bigint, ids array<bigint>, bigs array<bigint>, n bigint"
+
+
+def _merge(keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (a, part, ids, bigs) that are sorted by a and part become one row per a and part, without copies of ids."""
+
+    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+
+    def distinct(ids: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(ids)
+        order = order[np.argsort(group[order], kind="stable")]
+        ids, group = ids[order], group[order]
+        new = np.ones(len(ids), dtype=bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (group[1:] != group[:-1])
+        return ids[new], group[new]
+
+    def lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int64()))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last group so far, whose rows can go on in the next batch
+        names = ["a", "part", "ids", "bigs", "n"]
+
+        def rows(whole: tuple, first: int, stop: int) -> pa.RecordBatch:
+            a, part, columns = whole
+            made = []
+            for ids, counts, ends in columns:
+                kept = ids[ends[first] : ends[stop]]
+                made.append((lists(kept, counts[first:stop]), counts[first:stop]))
+            n = made[0][1]
+            if not keep_ids:
+                made[0] = (lists(np.empty(0, dtype=np.int64), np.zeros(stop - first, dtype=np.int64)), n)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(a[first:stop]), pa.array(part[first:stop]), made[0][0], made[1][0], pa.array(n.astype(np.int64))], names=names
+            )
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            a, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            both = [flat(batch.column(c)) for c in (2, 3)]
+            if held is not None:
+                a, part = np.concatenate([held[0], a]), np.concatenate([held[1], part])
+                both = [(np.concatenate([ids, more]), np.concatenate([[len(ids)], counts])) for ids, (more, counts) in zip(held[2], both)]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (part[1:] != part[:-1])])
+            group, n_groups = (np.cumsum(new) - 1).astype(np.int32), int(new.sum())
+            columns = []
+            for ids, counts in both:
+                ids, of = distinct(ids, np.repeat(group, counts))
+                counts = np.bincount(of, minlength=n_groups)
+                columns.append((ids, counts, np.concatenate([[0], np.cumsum(counts)])))
+            whole = (a[new], part[new], columns)
+            if n_groups > 1:
+                yield rows(whole, 0, n_groups - 1)
+            held = (whole[0][-1:], whole[1][-1:], [ids[ends[-2] :] for ids, _, ends in columns])
+        if held is not None:
+            columns = [(ids, np.array([len(ids)]), np.array([0, len(ids)])) for ids in held[2]]
+            yield rows((held[0], held[1], columns), 0, 1)
+
+    return merged
+
+
+def _reached(links: DataFrame, known: DataFrame, sizes: DataFrame, keep_ids: bool) -> DataFrame:
+    """Rows of ``_LISTS``: what the a of ``links`` reach, from what their b reach (``known``, with ``sizes`` per unit), stored.
+
+    Lists of a unit that reaches much are dealt over parts by id, so no row and no task holds all that a hub reaches.
+    """
+    total = links.join(sizes.withColumnRenamed("n", "b"), "b", "left").groupBy("a")
+    total = total.agg(F.sum(F.coalesce("listed", F.lit(0)) + 1).alias("total")).where(F.col("total") > LISTED)
+    hubs = materialize(total.select("a", F.ceil(F.col("total") / LISTED).alias("parts")), "path-hubs")
+    one, none = F.array("b"), F.array().cast("array<bigint>")
+    own = links.select("a", F.when(F.col("big"), none).otherwise(one).alias("ids"), F.when(F.col("big"), one).otherwise(none).alias("bigs"))
+    heard = links.select("a", "b").join(known.select(F.col("a").alias("b"), "ids", "bigs"), "b").select("a", "ids", "bigs")
+    told = own.unionByName(heard)
+    dealt = told.withColumn("part", F.lit(0).cast("long"))
+    if _some(hubs):
+        each = told.join(hubs, "a").select("a", "parts", F.inline(F.concat(
+            F.transform("ids", lambda x: F.struct(x.alias("id"), F.lit(False).alias("big"))),
+            F.transform("bigs", lambda x: F.struct(x.alias("id"), F.lit(True).alias("big"))),
+        )))
+        each = each.select("a", "parts", "id", "big").distinct()
+        alone = F.array("id")
+        each = each.select("a", F.when(F.col("big"), none).otherwise(alone).alias("ids"), F.when(F.col("big"), alone).otherwise(none).alias("bigs"),
+                           F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+        dealt = dealt.join(hubs, "a", "left_anti").unionByName(each)
+    dealt = dealt.select("a", "part", "ids", "bigs").repartition("a", "part").sortWithinPartitions("a", "part")
+    return materialize(dealt.mapInArrow(_merge(keep_ids), _LISTS), "path-lists")
+
+
+def affected_counts(edges: DataFrame, units: Units | None = None) -> DataFrame:
+    """(asset_id, affected): the exact counts.
+
+    Units are listed from the last layer up: a unit reaches what its links lead to and what those reach. A cycle is one id, however many
+    nodes it has, and what the units of layer 0 reach, which nothing leads to, is counted and not kept. ``units`` can be given if known.
+    """
+    units = units or unit_layers(edges)
+    nodes = units.nodes
+    spark = nodes.sparkSession
+    known, sizes = empty(spark, T.StructType.fromDDL(_LISTS)), [empty(spark, T.StructType.fromDDL("n bigint, listed bigint"))]
+    for k, links in reversed(list(enumerate(units.layers))):
+        found = _reached(links, known, _all(sizes), k > 0)
+        known = known.unionByName(found)
+        sizes.append(found.groupBy(F.col("a").alias("n")).agg(F.sum(F.col("n") + F.size("bigs")).alias("listed")))
+    cycle_sizes = nodes.where("size > 1").select(F.col("unit").alias("big"), "size").distinct()
+    members = known.select("a", F.explode("bigs").alias("big")).join(cycle_sizes, "big").select("a", F.col("size").alias("n"))
+    counts = known.select("a", "n").unionByName(members).groupBy(F.col("a").alias("unit")).agg(F.sum("n").alias("reached"))
+    itself = F.when(F.col("size") > 1, F.col("size")).otherwise(F.col("own").cast("long"))
+    return nodes.join(counts, "unit", "left").select(
+        F.col("name").alias("asset_id"), (F.coalesce("reached", F.lit(0)) + itself).alias("affected")
     )
 
 
-def affected_counts(edges: DataFrame) -> DataFrame:
-    """(asset_id, affected): the exact counts, from the listed closure; for graphs whose closure can be stored."""
-    nodes, links = numbered(_links(edges))
-    steps = links.withColumnRenamed("a", "via")
-    rounds = [links]
-    while True:
-        ahead = rounds[-1].select("a", F.col("b").alias("via")).join(steps, "via").select("a", "b")
-        new = unknown(ahead, rounds, ["a", "b"])
-        if not _some(new):
-            break
-        rounds.append(new)
-    counts = _all(rounds).groupBy(F.col("a").alias("n")).agg(F.count(F.lit(1)).alias("affected"))
-    return nodes.join(counts, "n", "left").select(
-        F.col("node").alias("asset_id"), F.coalesce("affected", F.lit(0)).alias("affected")
+def affected_estimates(edges: DataFrame, lg_registers: int = LG_REGISTERS, units: Units | None = None) -> DataFrame:
+    """(asset_id, estimate): about how many assets each asset affects, over any number of hops.
+
+    One count sketch per unit is merged against the direction of the edges, from the last layer up, so each link is used once. The work
+    is a few kilobytes per edge, however large the sets are; the sets are never listed. An asset on a cycle affects itself. Assets that
+    affect nothing have 0.
+    """
+    units = units or unit_layers(edges)
+    nodes = units.nodes
+    looped = nodes.where("size > 1 or own").groupBy(F.col("unit").alias("n")).agg(F.hll_sketch_agg("n", lg_registers).alias("sketch"))
+    looped = materialize(looped, "path-sketches")
+    held = looped  # copies per unit: what its nodes are themselves, and what it reaches
+    for links in reversed(units.layers):
+        single = links.where("not big").groupBy("a").agg(F.hll_sketch_agg("b", lg_registers).alias("sketch"))
+        heard = links.select("a", "b").join(held.withColumnRenamed("n", "b"), "b").select("a", "sketch")
+        found = single.unionByName(heard).groupBy(F.col("a").alias("n")).agg(F.hll_union_agg("sketch").alias("sketch"))
+        held = held.unionByName(materialize(found, "path-sketches"))
+    whole = held.groupBy(F.col("n").alias("unit")).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+    return nodes.join(whole, "unit", "left").select(
+        F.col("name").alias("asset_id"), F.coalesce("estimate", F.lit(0)).cast("long").alias("estimate")
     )

@@ -100,6 +100,8 @@ def affected_counts(t: Inputs) -> DataFrame:
 def affected_estimates(t: Inputs) -> DataFrame:
     """The sketches' estimates beside the exact counts: within eight standard deviations each."""
     edges = t("deep_edges")
+    units = P.unit_layers(edges)
     off = 8 * 1.04 / 2 ** (P.LG_REGISTERS / 2)
     close = F.abs(F.col("estimate") - F.col("affected")) <= F.col("affected") * off
-    return P.affected_counts(edges).join(P.affected_estimates(edges), "asset_id").select("asset_id", "affected", close.alias("close"))
+    both = P.affected_counts(edges, units=units).join(P.affected_estimates(edges, units=units), "asset_id")
+    return both.select("asset_id", "affected", close.alias("close"))

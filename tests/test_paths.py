@@ -158,3 +158,42 @@ def test_layers_behind_cycles_wait_for_peeled_nodes(spark, rows):
     links = [(f"p{k}", f"p{k + 1}") for k in range(5)] + [("p5", "x"), ("x", "y"), ("y", "x"), ("y", "q"), ("q", "r"), ("p2", "r")]
     links += [("r", "u"), ("u", "v"), ("v", "u"), ("p1", "v"), ("s", "s"), ("s", "q"), ("v", "end"), ("x", "end")]
     assert rows(P.lineage_layers(graph(spark, links)), "asset_id", "layer", "cycle") == sorted(brute_layers(links), key=repr)
+
+
+def test_counts_list_a_row_per_unit_and_deal_hubs(spark, rows, monkeypatch):
+    """Cycles are one unit, pairs are not listed as rows, and what a hub reaches is dealt over rows of bounded length."""
+    links = [(f"top{k}", f"mid{m}") for k in range(12) for m in range(9)] + [(f"mid{m}", f"low{k}") for m in range(9) for k in range(8)]
+    links += [("low0", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "self"), ("self", "self")]
+    written = {}
+
+    def keep(df, purpose):
+        found = materialize(df, purpose)
+        written.setdefault(purpose, []).append(found)
+        return found
+
+    monkeypatch.setattr(P, "materialize", keep)
+    nodes = {x for link in links for x in link}
+    wanted = sorted((n, len(reached(links, n))) for n in nodes)
+    assert rows(P.affected_counts(graph(spark, links)), "asset_id", "affected") == wanted
+    lists = [r for df in written["path-lists"] for r in df.collect()]
+    assert len(lists) == 12 + 9 + 1 + 1 and max(r.n for r in lists) == 9 + 8 + 1 and "path-round" not in written
+    assert sum(len(r.bigs) for r in lists) == 12 + 9 + 1 and all(not r.ids for r in written["path-lists"][-1].collect())
+    monkeypatch.setattr(P, "LISTED", 6)
+    written.clear()
+    assert rows(P.affected_counts(graph(spark, links)), "asset_id", "affected") == wanted
+    assert max(r.n for df in written["path-lists"] for r in df.collect()) < 12
+
+
+def test_estimates_merge_each_link_once(spark, monkeypatch):
+    """A chain of 12: sketches are stored once per unit, not once more for each hop."""
+    links = [(f"c{k:02d}", f"c{k + 1:02d}") for k in range(12)]
+    rows = []
+
+    def count(df, purpose):
+        found = materialize(df, purpose)
+        rows.append(found.count() if purpose == "path-sketches" else 0)
+        return found
+
+    monkeypatch.setattr(P, "materialize", count)
+    found = {r.asset_id: r.estimate for r in P.affected_estimates(graph(spark, links)).collect()}
+    assert found == {f"c{k:02d}": 12 - k for k in range(13)} and sum(rows) == 12
