@@ -65,8 +65,9 @@ _FOUND = ["asset_id", "side", "node"]
 
 
 def hop(frontier: DataFrame, steps: DataFrame) -> DataFrame:
-    """(asset_id, side, node) one hop beyond the frontier, copies included."""
-    return frontier.join(steps, ["side", "node"]).select("asset_id", "side", F.col("next").alias("node"))
+    """(asset_id, side, node) one hop beyond the frontier, copies included; without side where nodes tell it."""
+    sides = ["side"] if "side" in steps.columns else []
+    return frontier.join(steps, [*sides, "node"]).select("asset_id", *sides, F.col("next").alias("node"))
 
 
 def next_round(frontier: DataFrame, steps: DataFrame, known: DataFrame) -> DataFrame:
@@ -80,24 +81,30 @@ def transitive_lineage(requests: DataFrame, edges: DataFrame, max_depth: int | N
     ``requests`` has asset_id and direction as in ``graph.asset_lineage``. The asset itself is not listed, also
     where a cycle leads back to it. Ids of edges need not be registered. ``max_depth`` ends the search earlier.
     """
-    nodes, links = numbered(_links(edges))
-    steps = links.select(F.lit(DOWNSTREAM).alias("side"), F.col("a").alias("node"), F.col("b").alias("next")).unionByName(
-        links.select(F.lit(UPSTREAM).alias("side"), F.col("b").alias("node"), F.col("a").alias("next"))
+    nodes, links = named_ends(edges)
+    links = materialize(links.distinct(), "path-links")
+    # Numbers of nodes are even; the odd number after it stands for a node on the way upstream. So a step joins by one number.
+    steps = links.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(
+        links.select((F.col("b") + 1).alias("node"), (F.col("a") + 1).alias("next"))
     )
     sides = F.when(F.col("direction") == "both", F.array(F.lit(UPSTREAM), F.lit(DOWNSTREAM))).otherwise(F.array("direction"))
     asked = lineage_requests(requests).where("asset_id <> ''").select(F.col("asset_id").alias("node"), F.explode(sides).alias("side"))
     # An id without any edge reaches nothing.
-    first = asked.distinct().join(nodes, "node").select(F.col("n").alias("asset_id"), "side", F.col("n").alias("node"))
+    first = asked.distinct().join(nodes.withColumnRenamed("name", "node"), "node")
+    first = first.select(F.col("n").alias("asset_id"), (F.col("n") + (F.col("side") == UPSTREAM).cast("long")).alias("node"))
     rounds = [materialize(first, "path-round")]
     while max_depth is None or len(rounds) <= max_depth:
-        found = unknown(hop(rounds[-1], steps), rounds, _FOUND)
+        found = unknown(hop(rounds[-1], steps), rounds, ["asset_id", "node"])
         if not _some(found):
             break
         rounds.append(found)
     reach = _all([r.withColumn("depth", F.lit(k)) for k, r in enumerate(rounds)]).where("depth > 0")
-    asked_id = nodes.select(F.col("n").alias("source"), F.col("node").alias("asset_id"))
-    reach = reach.select(F.col("asset_id").alias("source"), "side", F.col("node").alias("n"), "depth")
-    return reach.join(nodes, "n").join(asked_id, "source").select("asset_id", "side", "node", "depth")
+    asked_id = nodes.select(F.col("n").alias("source"), F.col("name").alias("asset_id"))
+    up = F.col("node").bitwiseAND(F.lit(1)) == 1
+    side, n = F.when(up, F.lit(UPSTREAM)).otherwise(F.lit(DOWNSTREAM)), F.when(up, F.col("node") - 1).otherwise(F.col("node"))
+    reach = reach.select(F.col("asset_id").alias("source"), side.alias("side"), n.alias("n"), "depth")
+    found = nodes.select("n", F.col("name").alias("node"))
+    return reach.join(found, "n").join(asked_id, "source").select("asset_id", "side", "node", "depth")
 
 
 # ---- cycles and layers ----------------------------------------------------------
@@ -179,7 +186,8 @@ def _codes(names: DataFrame, seed: int) -> bool:
 
 
 def _code(name: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), name)
+    """An even number."""
+    return F.xxhash64(F.lit(seed), name).bitwiseAND(F.lit(-2))
 
 
 def named_ends(edges: DataFrame) -> tuple[DataFrame, DataFrame]:

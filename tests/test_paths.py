@@ -197,3 +197,22 @@ def test_estimates_merge_each_link_once(spark, monkeypatch):
     monkeypatch.setattr(P, "materialize", count)
     found = {r.asset_id: r.estimate for r in P.affected_estimates(graph(spark, links)).collect()}
     assert found == {f"c{k:02d}": 12 - k for k in range(13)} and sum(rows) == 12
+
+
+def test_a_step_of_lineage_joins_one_number(spark, rows, monkeypatch):
+    """Names are not joined to links, rounds hold two numbers a row, and a node on both ways is told apart."""
+    written = {}
+
+    def keep(df, purpose):
+        found = materialize(df, purpose)
+        written.setdefault(purpose, []).append(found)
+        return found
+
+    monkeypatch.setattr(P, "materialize", keep)
+    asked = spark.createDataFrame([("a", "both"), ("m", "upstream")], "asset_id string, direction string")
+    found = P.transitive_lineage(asked, graph(spark, [("a", "b"), ("b", "a"), ("b", "m"), ("m", "m")]))
+    assert rows(found, "asset_id", "side", "node", "depth") == [
+        ("a", "downstream", "b", 1), ("a", "downstream", "m", 2), ("a", "upstream", "b", 1), ("m", "upstream", "a", 2), ("m", "upstream", "b", 1)
+    ]
+    assert all(dict(df.dtypes) == {"asset_id": "bigint", "node": "bigint"} for df in written["path-round"])
+    assert dict(written["path-links"][-1].dtypes) == {"a": "bigint", "b": "bigint"}
