@@ -4,6 +4,11 @@ import pytest
 
 from stemma.catalog import Catalog
 from stemma.operators import documents
+from stemma.operators import store as ST
+from stemma.operators.refresh import document_vectors
+from stemma.schemas import ASSETS, DOCUMENTS
+from stemma.session import materialize
+from stemma.sources import snapshots as SN
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +98,29 @@ def test_scores_persist_only_when_asked(catalog, rows):
     assert rows(catalog.assets, "asset_id", "impact_score") == before
     catalog.persist_scores()
     assert rows(catalog.assets, "asset_id", "impact_score") == before
+
+
+def test_a_first_refresh_moves_no_whole_documents(spark, tmp_path):
+    """Vectors of documents whose ids come once go to a new store without a shuffle; so do assets, but for the join of scores."""
+    made = [(f"t{k}", f"text {k}", "table", f"t{k}", "o", "d", "{}", []) for k in range(6)]
+    docs = materialize(spark.createDataFrame(made, DOCUMENTS), "test-documents")
+    plans = []
+    for df in (
+        ST.upsert(SN.load_vector_collection(spark, str(tmp_path / "s")), document_vectors(docs), ["id"]),
+        ST.register_assets(SN.load_snapshot(spark, str(tmp_path / "s"), "assets", ASSETS), documents.document_assets(docs), stored=True),
+    ):
+        assert df.count() == 6
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    assert not any(word in plan for plan in plans for word in ("Join", "Aggregate"))
+
+
+def test_a_second_refresh_keeps_replaces_and_adds(spark, tmp_path, rows):
+    def refresh(*given):
+        made = [(i, text, "table", i, "o", "d", "{}", [(i, "hub", "feeds")]) for i, text in given]
+        c.refresh(spark.createDataFrame(made, DOCUMENTS)).collect()
+
+    c = Catalog(spark, str(tmp_path / "s"))
+    refresh(("a", "one"), ("b", "two"))
+    refresh(("b", "three"), ("c", "four"), ("c", "five"))
+    assert rows(c.vectors, "id", "text") == [("a", "one"), ("b", "three"), ("c", "four")]
+    assert rows(c.assets, "asset_id", "impact_score") == [("a", 0.1), ("b", 0.1), ("c", 0.1)] and c.edges.count() == 3
