@@ -51,7 +51,7 @@ def refresh_by_changes(docs: DataFrame, store: ChangeLog) -> int:
     The same relations result as from ``refresh.refresh_catalog``, with the scores of all assets computed anew. Written
     are the rows of the batch, the edges that are really new, and the degrees and assets that they touch.
     """
-    docs = materialize(docs, "documents")
+    docs = materialize(docs, "documents", "zstd")
     assets, degrees = store.read("assets"), store.read("degrees")
     new_edges = _new_edges(ST.valid_edges(D.document_edges(docs)).select(*EDGES.fieldNames()).distinct(), store)
     touched = store.written("degrees", changed_degrees(degree_changes(new_edges.rows), degrees))
