@@ -295,11 +295,27 @@ class Units:
     layers: list[DataFrame]
 
 
+def _peeled(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The links that leave what nothing feeds, round by round, and the links that cannot be peeled; all stored."""
+    layers = []
+    while _some(links):
+        met = _unfed(links).select(F.col("n").alias("a"), F.lit(True).alias("met"))
+        marked = links.join(met, "a", "left").select("a", "b", "big", F.col("met").isNotNull().alias("gone"))
+        marked = materialize(marked, "path-left")
+        if not _some(marked.where("gone")):
+            break
+        layers.append(marked.where("gone").drop("gone"))
+        links = marked.where("not gone").drop("gone")
+    return layers, links
+
+
 def unit_layers(edges: DataFrame) -> Units:
-    """Cycles become units; layers are peeled from the units that nothing feeds, so most links are closed in the first rounds."""
+    """Layers are peeled from what nothing feeds, so most links are closed in the first rounds and only what cannot be peeled is searched
+    for cycles. These become units, and peeling goes on."""
     nodes, links = named_ends(edges)
-    links = materialize(links.distinct(), "path-links")
-    cycles = _cycles_of(links)
+    links = materialize(links.distinct(), "path-links").withColumn("big", F.lit(False))
+    layers, links = _peeled(links)
+    cycles = _cycles_of(links.select("a", "b"))
     sizes = cycles.groupBy("cycle").agg(F.count(F.lit(1)).alias("size"))
     units = materialize(cycles.join(sizes, "cycle").select(F.col("node").alias("n"), F.col("cycle").alias("unit"), "size"), "path-units")
     nodes = nodes.select("name", "n", "own").join(units, "n", "left")
@@ -311,16 +327,9 @@ def unit_layers(edges: DataFrame) -> Units:
         a, b = F.coalesce("from", "a"), F.coalesce("to", "b")
         between = links.join(unit_a, "a", "left").join(unit_b, "b", "left")
         between = between.select(a.alias("a"), b.alias("b"), F.col("to").isNotNull().alias("big")).where("a <> b")
-        links = materialize(between.distinct(), "path-links")
-    else:
-        links = links.withColumn("big", F.lit(False))
-    layers = []
-    while _some(links):
-        met = _unfed(links).select(F.col("n").alias("a"), F.lit(True).alias("met"))
-        marked = links.join(met, "a", "left").select("a", "b", "big", F.col("met").isNotNull().alias("gone"))
-        marked = materialize(marked, "path-left")
-        layers.append(marked.where("gone").select("a", "b", "big"))
-        links = marked.where("not gone").select("a", "b", "big")
+        late, _ = _peeled(materialize(between.distinct(), "path-links"))
+        early = [x.join(unit_b, "b", "left").select("a", b.alias("b"), F.col("to").isNotNull().alias("big")) for x in layers]
+        layers = [materialize(x, "path-left") for x in early] + late
     return Units(nodes, layers)
 
 
